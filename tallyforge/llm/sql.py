@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import jaccard_join, url_filter
 
-ORACLES = {"op7_url_filter": url_filter.oracle()}
+ORACLES = {"op5_jaccard_join": jaccard_join.oracle(), "op7_url_filter": url_filter.oracle()}
