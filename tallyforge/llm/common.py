@@ -84,3 +84,23 @@ def shingle_hashes(word_hash: np.ndarray, width: int, multiplier: int = 0x9E3779
         h *= m
         h += word_hash[k : k + n]
     return mix64(h)
+
+
+def balanced_keys(spark: SparkSession, partitions: int, each: int = 1) -> list[int]:
+    """Integers of which hash partitioning deals exactly ``each`` to every one of ``partitions`` partitions."""
+    found: list[list[int]] = [[] for _ in range(partitions)]
+    missing, start, size = partitions, 0, max(64, 16 * partitions * each)
+    while missing:
+        ids = spark.range(start, start + size, 1, 1).select(F.col("id").cast("int").alias("k"))
+        for k, p in ids.select("k", F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).collect():
+            if len(found[p]) < each:
+                found[p].append(k)
+                missing -= len(found[p]) == each
+        start += size
+    return [k for i in range(each) for k in (f[i] for f in found)]
+
+
+def dealt(keys: list[int], by) -> "F.Column":
+    """The key of ``keys`` that a row goes to by the hash of ``by`` columns."""
+    table = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<int>")
+    return F.get(table, F.pmod(F.xxhash64(*by), F.lit(len(keys))).cast("int"))
