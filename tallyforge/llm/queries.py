@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, langid, media_jpeg, sql, substring_dedup, url_filter
+from . import html_extract, jaccard_join, langid, media_jpeg, packing, sql, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {
     "op1_media_jpeg": lambda spark, d: media_jpeg.media_report(table(spark, d, "documents")),
     "op4_substring_dedup": lambda spark, d: substring_dedup.dedup_report(table(spark, d, "documents")),
     "op5_jaccard_join": lambda spark, d: jaccard_join.join_report(table(spark, d, "documents")),
+    "op6_packing": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter.url_report(table(spark, d, "pages")),
     "op9_html_extract": lambda spark, d: html_extract.extraction_report(table(spark, d, "pages")),
     "op10_langid": lambda spark, d: langid.language_report(table(spark, d, "documents")),
