@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, langid, media_jpeg, packing, sql, substring_dedup, url_filter
+from . import html_extract, jaccard_join, langid, media_jpeg, packing, sql, substring_dedup, topk, url_filter
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_jaccard_join": lambda spark, d: jaccard_join.join_report(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter.url_report(table(spark, d, "pages")),
+    "op8_topk": lambda spark, d: topk.search_report(table(spark, d, "embeddings")),
     "op9_html_extract": lambda spark, d: html_extract.extraction_report(table(spark, d, "pages")),
     "op10_langid": lambda spark, d: langid.language_report(table(spark, d, "documents")),
 }
