@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, langid, media_jpeg, packing, sql, substring_dedup, topk, url_filter
+import corpus_pipeline
+
+from . import html_extract, jaccard_join, langid, media_jpeg, mixing, packing, quality_gam, sql, substring_dedup, topk, url_filter
 from .common import table
 
 QUERIES = {
     "op1_media_jpeg": lambda spark, d: media_jpeg.media_report(table(spark, d, "documents")),
+    "op2_quality_gam": lambda spark, d: quality_gam.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_mixing": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
     "op4_substring_dedup": lambda spark, d: substring_dedup.dedup_report(table(spark, d, "documents")),
     "op5_jaccard_join": lambda spark, d: jaccard_join.join_report(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
@@ -14,6 +18,7 @@ QUERIES = {
     "op8_topk": lambda spark, d: topk.search_report(table(spark, d, "embeddings")),
     "op9_html_extract": lambda spark, d: html_extract.extraction_report(table(spark, d, "pages")),
     "op10_langid": lambda spark, d: langid.language_report(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = sql.ORACLES
