@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ ROOM = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Most distinct words that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Words of letters below U+0100 and trailing ASCII marks are two tokens' worth of pre-tokens: both parts are looked up apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -46,53 +47,73 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
+        #: A word is a head and a tail, each the number of a part; part 0 has no ids.
         self.words: dict[str, int] = {}
-        self.parts: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
+        self.parts: dict[str, int] = {"": 0}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begins, self.sizes = [], []
-
-    def _learn(self, new: list[str]) -> None:
-        split = {w: m.groups() for w in new if (m := SIMPLE.fullmatch(w))}
-        missing = sorted({p for a, b in split.values() for p in (a.lower(), b)} - self.parts.keys())
-        for at in range(0, len(missing), 512):
-            some = missing[at : at + 512]
+        self.begins, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _store(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New parts, their ids end to end."""
+        first, n = len(self.parts), len(names)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while first + n > len(self.begins):
+            self.begins, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.ends))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[first : first + n] = self.used + ends
+        self.begins[first : first + n] = self.used + np.concatenate([[0], ends[:-1]])
+        self.parts.update(zip(names, range(first, first + n), strict=True))
+        self.used += len(ids)
+
+    def _learn(self, new: set[str]) -> None:
+        split, others = {}, []
+        for w in new:
+            if m := SIMPLE.fullmatch(w):
+                split[w] = (m[1].lower(), m[2])
+            else:
+                others.append(w)
+        missing = list({p for pair in split.values() for p in pair} - self.parts.keys())
+        for at in range(0, len(missing), 1024):
+            some = missing[at : at + 1024]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) != len(some):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
                 raise RuntimeError("the vocabulary doesn't mark the ends of words")
-            self.parts.update(zip(some, np.split(ids, cuts[:-1]), strict=True))
-        others = [w for w in new if w not in split]
-        whole = dict(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True)) if others else {}
-        for w in new:
-            ids = np.array(whole[w], np.uint32) if w in whole else self.parts[split[w][0].lower()]
-            tail = self.parts[split[w][1]] if w in split else ids[:0]
-            n = len(ids) + len(tail)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.ids[self.used + len(ids) : self.used + n] = tail
-            self.words[w] = len(self.begins)
-            self.begins.append(self.used)
-            self.sizes.append(n)
-            self.used += n
+            self._store(some, ids, ends)
+        parts = self.parts
+        self.words.update((w, parts[a] << 32 | parts[b]) for w, (a, b) in split.items())
+        if others:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            first = len(parts)
+            self._store(["\n" + w for w in others], np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
+            self.words.update(zip(others, ((first + k) << 32 for k in range(len(others))), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for null."""
         if len(self.words) > REMEMBERED:
             self._forget()
         split = [(t or "").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
-        if new:
-            self._learn(sorted(new))
-        begins, sizes, known = np.array(self.begins, np.int64), np.array(self.sizes, np.int64), self.words
-        out = []
-        for words in split:
-            k = np.fromiter((known[w] for w in words), np.int64, len(words))
-            n = sizes[k]
-            ends = np.cumsum(n)
-            at = np.repeat(begins[k] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)
-            out.append(self.ids[at])
-        return out
+        words = list(chain.from_iterable(split))
+        if new := set(words) - self.words.keys():
+            self._learn(new)
+        code = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        part = np.stack([code >> 32, code & 0xFFFFFFFF], axis=1).ravel()
+        n = self.ends[part] - self.begins[part]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.begins[part] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+        cuts = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+#: A Python worker's tokenizers, by path: what they have learned serves the worker's later tasks.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -106,7 +127,7 @@ def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, wi
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path or tokenizer_path())
+        tokenizer = worker_tokenizer(path or tokenizer_path())
         for batch in batches:
             at = 0
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
