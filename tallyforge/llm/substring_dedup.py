@@ -23,8 +23,9 @@ from .common import NULL_ID, WordHasher, balanced_keys, dealt, mix64, shuffle_pa
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Cells for each shuffle partition: a cell is what one call of a Python function holds.
-CELLS = 4
+#: Cells for each shuffle partition: a cell is what one call of a Python function holds. A cell and a bucket exchange one row, so
+#: there are as many rows as partitions squared; more cells make more and smaller ones.
+CELLS = 1
 
 
 def _hash_at(words: np.ndarray, at: np.ndarray, width: int, multiplier: int) -> np.ndarray:
