@@ -2,13 +2,14 @@
 
 Components are integers, floor(64 x). Vectors are ordered by cluster and id and cut into blocks, each a forward index of its
 vectors with the maximum and minimum of every component (term). A query's bound for a block is the sum of its terms' best
-contributions. The block of the highest bound is scored first; its kth result prunes every block whose bound falls below,
-and the rest is scored. Ties go to the smaller id, so a block whose bound only equals the kth score is pruned too if all its
+contributions. Blocks of the highest bounds are scored first, the square root of their number; the kth result among
+these prunes every block whose bound falls below, and the rest is scored. Ties go to the smaller id, so a block whose bound only equals the kth score is pruned too if all its
 ids are larger.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +132,7 @@ def index(vectors: DataFrame) -> DataFrame:
 
 def _pruned(pairs: DataFrame, best_only: bool) -> DataFrame:
     """For packs of queries against chunks of block summaries: block_id and the queries (ids, vectors, kth score and id) to be
-    scored in it: those whose bound reaches their kth result, or each query's best block of the chunk alone."""
+    scored in it: those whose bound reaches their kth result; or, at first, of a chunk's n blocks the sqrt(n) of highest bound."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,8 +141,9 @@ def _pruned(pairs: DataFrame, best_only: bool) -> DataFrame:
                 high, low = (np.concatenate([_unpacked(x[c], dim, 1) for x in blocks]) if dim else np.zeros((len(blocks), 0), np.int64) for c in ("high", "low"))
                 bound = products(np.maximum(q, 0), high) + products(np.minimum(q, 0), low)
                 if best_only:
+                    m = math.isqrt(len(blocks) - 1) + 1
                     wanted = np.zeros(bound.shape, bool)
-                    wanted[np.arange(len(q)), bound.argmax(1)] = True
+                    np.put_along_axis(wanted, np.argpartition(-bound, m - 1, axis=1)[:, :m], True, axis=1)
                 else:
                     kth, kth_id = (np.array([x[c] for x in queries], dtype=np.int64) for c in ("kth", "kth_id"))
                     least = np.array([x["least"] for x in blocks], dtype=np.int64)
