@@ -16,9 +16,9 @@ def protocol_identity(spark, d):
     return c.single_valued(units, ["nation_size", "version"], by=["n_regionkey"])
 
 
-@query("value_holders", "SELECT n_regionkey, list(n_name ORDER BY n_name) AS holders FROM nation GROUP BY 1")
+@query("value_holders", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS holders FROM nation GROUP BY 1")
 def value_holders(spark, d):
-    return c.holders(table(spark, d, "nation"), "n_regionkey", "n_name")
+    return c.holders(table(spark, d, "nation"), "n_regionkey", "n_name").withColumn("holders", F.array_join("holders", ","))
 
 
 @query("duplicate_keys", "SELECT 'duplicate_keys' AS \"check\", 'FAIL' AS severity, l_orderkey || '/' || l_linenumber || ': ' || count(*) || ' rows' AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")

@@ -69,11 +69,11 @@ def metrics_per_tier(spark, d):
 
 @query(
     "unit_audit",
-    f"""WITH s AS ({V_SAMPLES}) SELECT arm, count(*) AS n_samples, list_sort(list(DISTINCT seed)) AS seeds, sum((truncated AND correct)::INT)::BIGINT AS truncated_correct,
+    f"""WITH s AS ({V_SAMPLES}) SELECT arm, count(*) AS n_samples, array_to_string(list_sort(list(DISTINCT seed)), ',') AS seeds, sum((truncated AND correct)::INT)::BIGINT AS truncated_correct,
     round(sum((correct AND n_tokens > 2048)::INT) / nullif(sum(correct::INT), 0), 9) AS correct_over_2048 FROM s GROUP BY arm""",
 )
 def unit_audit(spark, d):
-    return m.unit_audit(samples(spark, d), ["arm"]).withColumn("correct_over_2048", r("correct_over_2048"))
+    return m.unit_audit(samples(spark, d), ["arm"]).withColumns({"correct_over_2048": r("correct_over_2048"), "seeds": F.array_join(F.col("seeds").cast("array<string>"), ",")})
 
 
 @query("pass8_hist", f"WITH {S} SELECT b.k AS pass8, count(p8.problem_id) AS n_problems FROM (SELECT unnest(range(9)) AS k) b LEFT JOIN p8 ON pass8 = k GROUP BY k")

@@ -150,9 +150,9 @@ def intpipe_answers(spark, d):
     return intpipe.solved(pipelines(spark, d)).select("p_partkey", F.col("answer").cast("bigint").alias("answer"))
 
 
-@query("intpipe_trace_sizes", f"WITH {V_PIPES} SELECT p.k AS p_partkey, [size + 11, coalesce(len(a), 0), coalesce(len(a), 0)] AS sizes FROM p LEFT JOIN g USING (k)")
+@query("intpipe_trace_sizes", f"WITH {V_PIPES} SELECT p.k AS p_partkey, concat_ws(',', size + 11, coalesce(len(a), 0), coalesce(len(a), 0)) AS sizes FROM p LEFT JOIN g USING (k)")
 def intpipe_trace_sizes(spark, d):
-    return intpipe.solved(pipelines(spark, d)).select("p_partkey", F.transform(intpipe.step_sizes(), lambda n: n.cast("bigint")).alias("sizes"))
+    return intpipe.solved(pipelines(spark, d)).select("p_partkey", F.array_join(intpipe.step_sizes().cast("array<string>"), ",").alias("sizes"))
 
 
 @query("reject_reasons", f"""WITH {V_PIPES}, before AS (SELECT k, list(v::BIGINT ORDER BY v) AS b0, list(v::BIGINT ORDER BY v) AS dummy FROM v0 GROUP BY k), mid AS (SELECT k, list(v::BIGINT ORDER BY v) AS b1 FROM v1 GROUP BY k),
