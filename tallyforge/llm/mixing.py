@@ -23,6 +23,8 @@ BLOCK_CHARS, MOST_BLOCKS = 1 << 16, 1 << 18
 FLATTEN = 0.5
 #: Documents of a bucket within which running sums are taken.
 BUCKET_DOCS = 256
+#: Up to so many sources their sizes (some 50 bytes each) are broadcast; beyond, they are joined in SALTS parts each.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 SHARES = 1_000_000
 
 
@@ -59,6 +61,14 @@ def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int,
     return out
 
 
+def _with_sizes(rows: DataFrame, about: DataFrame, sources: int) -> DataFrame:
+    """Rows with what is known of their source, without bringing a source's rows into one task."""
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(about), "s")
+    every = about.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(every, ["s", "part"]).drop("part")
+
+
 def _shares(sizes: list[int], names: list[str | None], weights: Mapping | None) -> list[list[int]]:
     """Whole weights in turns: of the sources that have a target, and for the others by size once those are through."""
     if weights is None:
@@ -96,7 +106,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str =
     about = pd.DataFrame({"s": names, "buckets": buckets, "span": [max(1, round(b**0.5)) for b in buckets], "total": sizes, "blocks": blocks})
     about = spark.createDataFrame(about.astype({"s": str}), "s string, buckets long, span long, total long, blocks long")
     spot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    rows = rows.join(about, "s").withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / (1 << 40) * F.col("buckets")))
+    rows = _with_sizes(rows, about, len(names)).withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / (1 << 40) * F.col("buckets")))
     # text before a bucket: that of the spans before its span, and of the buckets before it there
     sums = rows.groupBy("s", "span", "bucket").agg(F.sum("chars").alias("chars")).withColumn("group", F.floor(F.col("bucket") / F.col("span")))
     up_to = (Window.unboundedPreceding, -1)

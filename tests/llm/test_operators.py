@@ -432,3 +432,9 @@ def test_bundles_are_sums_of_bound_letters():
     vector = lambda x, y, z: e.letters[0][x].astype(int) * e.letters[1][y] * e.letters[2][z]
     want = vector(o, a, b) + vector(a, b, o) + vector(b, o, c) + vector(o, c, o)
     assert has and np.array_equal(got, want)
+
+
+def test_mix_with_many_sources(spark, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(real(spark)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix(real(spark)).collect())) == want
