@@ -53,7 +53,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHasher:
     """64-bit hashes of words, remembered for up to ``most`` distinct words in a Python worker."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 

@@ -25,7 +25,7 @@ TRAINING_DOCS = 2000
 #: How steeply a cosine's lead over the others turns into a score.
 SHARPNESS = 24.0
 #: n-grams whose vectors are at hand at once.
-MOST_GRAMS = 8192
+MOST_GRAMS = 4096
 UNKNOWN = "und"
 
 
@@ -56,7 +56,7 @@ class Encoder:
     def _items(self, grams: np.ndarray) -> np.ndarray:
         """Rows of the item memory for n-gram codes; vectors not yet made are made and kept."""
         new = grams[self.place[grams] < 0]
-        if len(self.items) + len(new) > 16_384:  # few vectors fit in memory: keep those of this batch
+        if len(self.items) + len(new) > 8192:  # few vectors fit in memory: keep those of this batch
             self.place[:] = -1
             self.items = np.empty((0, SIZE), np.float32)
             new = grams

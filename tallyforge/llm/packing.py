@@ -24,7 +24,7 @@ ROOM = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Most distinct words that a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 #: Words of letters below U+0100 and trailing ASCII marks are two tokens' worth of pre-tokens: both parts are looked up apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
