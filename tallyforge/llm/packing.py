@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,27 +24,34 @@ from .common import cut, shuffle_partitions
 ROOM = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Most distinct words that a Python worker remembers.
+#: Most distinct words that a task remembers.
 REMEMBERED = 350_000
 #: Words of letters below U+0100 and trailing ASCII marks are two tokens' worth of pre-tokens: both parts are looked up apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str):
+    """The tokenizer of a file, and which ids end a word; kept for a Python worker's later tasks."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+    return tokenizer, ends_word
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins words, so a text's ids are those of
     its words in order. Each distinct word is tokenised once."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.tokenizer, self.ends_word = loaded(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -106,16 +114,6 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-#: A Python worker's tokenizers, by path: what they have learned serves the worker's later tasks.
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def worker_tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -127,13 +125,13 @@ def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, wi
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = worker_tokenizer(path or tokenizer_path())
+        tokenizer = WordTokenizer(path or tokenizer_path())
         for batch in batches:
             at = 0
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            while at < len(texts):  # texts of some 4 MB at a time
+            while at < len(texts):  # texts of some 1 MB at a time
                 end, total = at, 0
-                while end < len(texts) and (end == at or (end - at < 1024 and total < 4_000_000)):
+                while end < len(texts) and (end == at or (end - at < 1024 and total < 1_000_000)):
                     total += len(texts[end] or "")
                     end += 1
                 rows = []
