@@ -24,8 +24,9 @@ from .common import cut, shuffle_partitions
 ROOM = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Most distinct words that a task remembers.
-REMEMBERED = 350_000
+#: Most distinct words remembered, and characters taken at a time: by a Python worker over its tasks (less time), or by a task that
+#: forgets them at its end (less memory).
+KEPT, BRIEF = (700_000, 4_000_000), (350_000, 1_000_000)
 #: Words of letters below U+0100 and trailing ASCII marks are two tokens' worth of pre-tokens: both parts are looked up apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -50,8 +51,9 @@ class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins words, so a text's ids are those of
     its words in order. Each distinct word is tokenised once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = BRIEF[0]):
         self.tokenizer, self.ends_word = loaded(path)
+        self.most = most
         self._forget()
 
     def _forget(self) -> None:
@@ -99,7 +101,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for null."""
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.most:
             self._forget()
         split = [(t or "").split() for t in texts]
         words = list(chain.from_iterable(split))
@@ -114,24 +116,31 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """A Python worker's tokenizer: what it has learned serves the worker's later tasks."""
+    return WordTokenizer(path, KEPT[0])
+
+
 def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """key, piece, start, length, ids_crc32 (and ids): each document's ids and END_ID, cut every ``room`` ids."""
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path or tokenizer_path())
+        tokenizer = (worker_tokenizer if keep_words else WordTokenizer)(path or tokenizer_path())
+        most_chars = (KEPT if keep_words else BRIEF)[1]
         for batch in batches:
             at = 0
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            while at < len(texts):  # texts of some 1 MB at a time
+            while at < len(texts):  # texts of some megabytes at a time
                 end, total = at, 0
-                while end < len(texts) and (end == at or (end - at < 1024 and total < 1_000_000)):
+                while end < len(texts) and (end == at or (end - at < 1024 and total < most_chars)):
                     total += len(texts[end] or "")
                     end += 1
                 rows = []
@@ -222,12 +231,13 @@ def place(found: DataFrame, room: int = ROOM) -> DataFrame:
     return ranked.select(*columns, "rank").mapInPandas(run, "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None, keep_words: bool = True) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes.
 
     A document is its ids, then END_ID; only one longer than ``room`` is cut. A null or empty text is END_ID alone. Repeated rows and
-    equal texts are packed each; a null key stays null. No rows: none. ``path``: the tokenizer file (default: word_bpe_49k.json)."""
-    return place(pieces(docs, key, text, room, path), room).withColumnRenamed("key", key)
+    equal texts are packed each; a null key stays null. No rows: none. ``path``: the tokenizer file (default: word_bpe_49k.json).
+    ``keep_words``: workers remember words over tasks, for less time and more memory; the result is the same."""
+    return place(pieces(docs, key, text, room, path, keep_words=keep_words), room).withColumnRenamed("key", key)
 
 
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None) -> DataFrame:
