@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, one document of each near-duplicate group, repeated passages out, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. ``run`` writes what a stage returns
-as Parquet and reads it again as the next one's docs.
+as Parquet and reads it again as the next one's docs. The mixed order is that of the rows in the written files; packing takes it
+from there and numbers and fills the sequences by it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, keep_words=False)  # the workers' memory also serves the other stages
+    return packing.pack(docs, keep_words=False, in_order=True)  # the workers' memory also serves the other stages
 
 
 STAGES = [

@@ -12,10 +12,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from .common import cut, shuffle_partitions
 
 ROOM = 2048
 END_ID = 0
+#: Bits of a row's number within its partition.
+PART = 44
 VOCABULARY = "word_bpe_49k.json"
 #: Most distinct words remembered, and characters taken at a time: by a Python worker over its tasks (less time), or by a task that
 #: forgets them at its end (less memory).
@@ -128,9 +131,21 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
-    """key, piece, start, length, ids_crc32 (and ids): each document's ids and END_ID, cut every ``room`` ids."""
-    schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+def written_order(docs: DataFrame):
+    """A row's place as one number, partition << PART | row: in files that Spark wrote, those of the files; else the DataFrame's own."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from Parquet
+        row = F.monotonically_increasing_id()
+        return F.shiftleft(F.shiftright(row, 33), PART) + row.bitwiseAND(F.lit((1 << 33) - 1))
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.shiftleft(number(r"^part-(\d+)"), PART) + F.shiftleft(number(r"-c(\d+)[.]"), 33) + F.col("_metadata.row_index")
+
+
+def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False, keep_words: bool = True, in_order: bool = False) -> DataFrame:
+    """key, piece, start, length, ids_crc32 (and ids, place): each document's ids and END_ID, cut every ``room`` ids."""
+    schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", place long" * in_order
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = (worker_tokenizer if keep_words else WordTokenizer)(path or tokenizer_path())
@@ -144,17 +159,19 @@ def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, wi
                     total += len(texts[end] or "")
                     end += 1
                 rows = []
-                for k, ids in zip(batch["key"].iloc[at:end], tokenizer(texts[at:end]), strict=True):
+                places = batch["place"].iloc[at:end] if in_order else repeat(None, end - at)
+                for k, place, ids in zip(batch["key"].iloc[at:end], places, tokenizer(texts[at:end]), strict=True):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for i, first in enumerate(range(0, len(ids), room)):
                         part = ids[first : first + room]
-                        rows.append((k, i, first, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))[: 5 + with_ids])
-                found = pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+                        rows.append((k, i, first, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * with_ids, *[place] * in_order))
+                found = pd.DataFrame(rows, columns=names)
                 found["key"] = found["key"].astype("Int64")
                 yield found
                 at = end
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    own = [written_order(docs).alias("place")] if in_order else []
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *own).mapInPandas(run, schema)
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
@@ -206,17 +223,33 @@ def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int,
     return out
 
 
+def _numbered(placed: DataFrame) -> DataFrame:
+    """``placed`` with its sequences numbered in the order of their first pieces' places."""
+    spark = placed.sparkSession
+    placed = cut(placed)
+    heads = placed.where("offset = 0").select(F.col("sequence_id").alias("made"), "piece", "place", F.shiftright("place", PART).cast("int").alias("part"))
+    parts = sorted(heads.groupBy("part").agg(F.count("*").alias("n")).collect())  # one for each partition that was written
+    before = pd.DataFrame({"part": [p for p, _ in parts], "before": np.cumsum([0, *[n for _, n in parts]])[:-1]})
+    firsts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("place", "piece")) - 1
+    new = heads.join(firsts, "part").select(F.col("made").alias("sequence_id"), number.alias("number"))
+    return placed.join(new, "sequence_id").select("key", "piece", "start", "length", "ids_crc32", F.col("number").alias("sequence_id"), "offset")
+
+
 def place(found: DataFrame, room: int = ROOM) -> DataFrame:
     """``found`` (key, piece, start, length, ids_crc32) with sequence_id and offset. The driver gets the histogram, ``room`` rows at
-    most; tasks get the plan, an entry for each length of each make of sequence."""
+    most; tasks get the plan, an entry for each length of each make of sequence. With a column place, the pieces of a length are
+    dealt to sequences in its order, and the sequences follow that of their first pieces."""
     buckets = shuffle_partitions(found.sparkSession)
-    found = cut(found.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int")))
+    in_order = "place" in found.columns
+    bucket = F.shiftright("place", PART) if in_order else F.pmod(F.xxhash64("key", "piece"), F.lit(buckets))
+    found = cut(found.withColumn("bucket", bucket.cast("int")))
     counts = found.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     entries = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, room)
     entries = np.array(sorted(entries), np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("key", "piece")
+    within = Window.partitionBy("length", "bucket").orderBy(*["place"] * in_order, "key", "piece")
     ranked = found.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,17 +260,20 @@ def place(found: DataFrame, room: int = ROOM) -> DataFrame:
             k = rank - e[:, 1]
             yield batch.drop(columns="rank").assign(sequence_id=e[:, 2] + k // np.maximum(e[:, 3], 1), offset=e[:, 4] + k % np.maximum(e[:, 3], 1) * length)
 
-    columns = ["key", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(run, "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["key", "piece", "start", "length", "ids_crc32", *["place"] * in_order]
+    schema = "key long, piece int, start long, length long, ids_crc32 long" + ", place long" * in_order + ", sequence_id long, offset long"
+    placed = ranked.select(*columns, "rank").mapInPandas(run, schema)
+    return _numbered(placed) if in_order else placed
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None, keep_words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None, keep_words: bool = True, in_order: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes.
 
     A document is its ids, then END_ID; only one longer than ``room`` is cut. A null or empty text is END_ID alone. Repeated rows and
     equal texts are packed each; a null key stays null. No rows: none. ``path``: the tokenizer file (default: word_bpe_49k.json).
-    ``keep_words``: workers remember words over tasks, for less time and more memory; the result is the same."""
-    return place(pieces(docs, key, text, room, path, keep_words=keep_words), room).withColumnRenamed("key", key)
+    ``keep_words``: workers remember words over tasks, for less time and more memory; the result is the same. ``in_order``: documents
+    of a length are packed in the order of the rows, and sequences are numbered by it (by their first pieces')."""
+    return place(pieces(docs, key, text, room, path, keep_words=keep_words, in_order=in_order), room).withColumnRenamed("key", key)
 
 
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None) -> DataFrame:

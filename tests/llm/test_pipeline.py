@@ -3,7 +3,7 @@
 import pandas as pd
 
 import corpus_pipeline
-from tallyforge.llm import jaccard_join, langid, packing, substring_dedup
+from tallyforge.llm import jaccard_join, langid, mixing, packing, substring_dedup
 
 D = "/root/testdata/sf0.001"
 
@@ -29,3 +29,24 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, D).toPandas()
     assert isinstance(out, pd.DataFrame) and len(out) and langid.UNKNOWN == "und"
+
+
+def test_mixing_takes_effect(spark, monkeypatch):
+    def run(weights):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixture", lambda s, docs, d: mixing.mixed(docs, weights)), ("packed", corpus_pipeline.packed)])
+        return corpus_pipeline.run(spark, D).toPandas().sort_values(["sequence_id", "offset"])
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    a, b = sorted(r["source"] for r in docs.select("source").where("source is not null").distinct().collect())[:2]
+    found = {}
+    for weights in ({a: 1000, b: 1}, {a: 1, b: 1000}):
+        out = run(weights)
+        order = {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.mix(docs, weights).collect()}
+        heads = [(*order[r.doc_id], r.piece) for r in out[out.offset == 0].itertuples()]
+        assert heads == sorted(heads) and sorted(set(out.sequence_id)) == list(range(len(heads)))
+        for _, same in out.groupby("length"):  # pieces of a length are dealt out in the mixed order
+            firsts = [order[i] for i in same.doc_id[same.offset == 0]]
+            assert firsts == sorted(firsts)
+        assert set(out.doc_id) == set(order)
+        found[max(weights, key=weights.get)] = set(map(tuple, out[["doc_id", "piece", "sequence_id"]].to_numpy()))
+    assert found[a] != found[b]
