@@ -262,6 +262,21 @@ def test_join_odd_rows(spark, odd):
     assert jaccard_join.join(odd.where("false")).count() == 0
 
 
+def test_join_of_texts_that_share_an_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [" ".join(words[:50] + [f"x{v}"] + words[50:]) for v in range(3)]
+    other = [" ".join(f"{c}{k}" for k in range(40)) for c in "pqrs"]
+    rows = [(None, near[0]), (None, near[1]), (None, other[0]), (None, other[1]), (5, near[2]), (5, other[2]), (5, other[3]), (5, other[3]), (6, other[3])]
+    df = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    out = [tuple(r) for r in jaccard_join.join(df).collect()]
+    # id, class_id, n_links, n_linked_docs, group_id
+    want = [(None, None, 2, 2, None)] * 2 + [(None, None, 0, 0, None)] * 2 + [(5, 5, 2, 2, None)] + [(5, 5, 0, 0, 5)] * 3 + [(6, 5, 0, 0, 5)]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.first_of_each_group(df).collect()]
+    assert len(kept) == 5 and {(None, other[0]), (None, other[1]), (5, other[2]), (5, other[3])} < set(kept)
+    assert sum(k in ((None, near[0]), (None, near[1])) for k in kept) == 1
+
+
 def test_bands_reach_their_recall():
     b, r = jaccard_join.choose_bands()
     assert 1 - (1 - 0.8**r) ** b >= jaccard_join.RECALL and 1 - (1 - 0.3**r) ** b <= 0.2
