@@ -277,6 +277,13 @@ def test_join_of_texts_that_share_an_id(spark):
     assert sum(k in ((None, near[0]), (None, near[1])) for k in kept) == 1
 
 
+def test_join_with_an_empty_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 100)  # some components of two or three documents have all in one of two blocks or more
+    rows = [(10 * c + v, " ".join([f"c{c}w{k}" for k in range(60)] + [f"v{v}"])) for c in range(40) for v in range(2 + c % 2)]
+    out = jaccard_join.join(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert all(r["n_links"] == r["n_linked_docs"] == 1 + r["doc_id"] // 10 % 2 for r in out) and len(out) == 100
+
+
 def test_bands_reach_their_recall():
     b, r = jaccard_join.choose_bands()
     assert 1 - (1 - 0.8**r) ** b >= jaccard_join.RECALL and 1 - (1 - 0.3**r) ** b <= 0.2
