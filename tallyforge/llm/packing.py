@@ -34,6 +34,18 @@ KEPT, BRIEF = (700_000, 4_000_000), (350_000, 1_000_000)
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: U+001C to U+001F divide words for str.split(), but aren't white space to the tokenizer, which gives them ids.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """What the tokenizer's white space divides."""
+    if not text:
+        return []
+    return WORD.findall(text) if SEPARATORS.search(text) else text.split()
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str):
     """The tokenizer of a file, and which ids end a word; kept for a Python worker's later tasks."""
@@ -106,7 +118,7 @@ class WordTokenizer:
         """The ids of each text; none for null."""
         if len(self.words) > self.most:
             self._forget()
-        split = [(t or "").split() for t in texts]
+        split = [words_of(t) for t in texts]
         words = list(chain.from_iterable(split))
         if new := set(words) - self.words.keys():
             self._learn(new)

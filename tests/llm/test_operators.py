@@ -332,6 +332,16 @@ def test_words_give_the_tokenizers_ids():
     assert [x.tolist() for x in mine] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_separators_that_are_no_white_space_get_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["a\x1cb", "\x1d", "a \x1e b\x1f", "x\x1c\x1dY\x85z\u2003w\u3000v", "\x1f\u0301 '\x1cs", "plain words"]
+    texts += ["\x1ca" + chr(c) + "b" for c in [*range(0x3100), 0xFEFF] if not 0xD800 <= c < 0xE000]
+    mine = packing.WordTokenizer(packing.tokenizer_path())(texts)
+    assert [x.tolist() for x in mine] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_plan_fills_tightly():
     rng = np.random.default_rng(4)
     counts = collections.Counter(int(x) for x in rng.integers(1, 2049, 4000))
