@@ -28,7 +28,8 @@ BROADCAST_HOSTS = 100_000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|audio|video|select|button"
+RAW = "script|style|title|textarea"  # without an end tag they go on to the end of the page
+LOOSE = "noscript|template|iframe|svg|math|object|canvas|audio|video|select|button"  # without one, their tag alone is dropped
 NOT_ARTICLE = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Words of class, id and role that mark parts around an article.
 MARKS = re.compile(
@@ -36,10 +37,13 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</\1\s*+>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    rf"|<({LOOSE})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
+#: Where a LOOSE element ends; a select or button also ends, as if it had no end tag, where the next one begins.
+ENDS = {t: re.compile(rf"</{t}\s*+>" + rf"|<{t}\b" * (t in ("select", "button")), re.IGNORECASE) for t in LOOSE.split("|")}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
@@ -50,26 +54,35 @@ class Page:
         self.paths: list[str] = [""]  # of each element, generalised
         self.parents: list[int] = [-1]
         self.can_hold: list[bool] = [False]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, True)]  # tag, element, part of an article
         self.links, self.open, self.linked = 0, [], 0
-        at, source = 0, source or ""
-        for m in TOKEN.finditer(source):
+        at, source, endless = 0, source or "", set()
+        while m := TOKEN.search(source, at):
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            if m[3]:
-                tag = m[3].lower()
+            if m[2]:
+                tag = m[2].lower()
+                if not m[0].endswith("/>") and tag not in endless:
+                    end = ENDS[tag].search(source, at)
+                    if end is None:
+                        endless.add(tag)  # nor has a later one an end
+                    elif end[0].startswith("</"):
+                        at = end.end()
+            elif m[4]:
+                tag = m[4].lower()
                 if tag == "a":
-                    self.links = 0 if m[2] else 1
+                    self.links = 0 if m[3] else 1
                 elif tag == "br":
                     self.open.append(" ")
                 elif tag in BLOCKS:
                     self._flush()
-                    if m[2]:
+                    if m[3]:
                         self._close(tag)
                     elif tag not in VOID:
-                        self._open(tag, m[4])
+                        self._open(tag, m[5])
         self._text(source[at:])
         self._flush()
 
@@ -104,6 +117,7 @@ class Page:
         self.paths.append(f"{self.paths[parent]}/{name}")
         self.parents.append(parent)
         self.can_hold.append(tag in CONTAINERS)
+        self.tags.append(tag)
         self.stack.append((tag, len(self.paths) - 1, kept))
 
     def _close(self, tag: str) -> None:
@@ -113,17 +127,35 @@ class Page:
                 return
 
     def best(self) -> int:
-        """Element number of the deepest container with COVER of the running text; 0 if the page has none."""
-        held, total = [0] * len(self.paths), 0
+        """Element number of the container of the article; 0 if the page has none. That is the deepest one with COVER of the running
+        text, or what holds it and the rest of the article: the outermost article (or else main) element around it, and from
+        there up all containers that add running text alone, but none out of an article or main element."""
+        held, other, total = [0] * len(self.paths), [0] * len(self.paths), 0
         for text, linked, element, kept in self.blocks:
-            if kept and (n := max(0, len(text) - 2 * linked)):
-                total += n
-                while element >= 0:
+            n = max(0, len(text) - 2 * linked) if kept else 0
+            total += n
+            while element >= 0:
+                if n:
                     held[element] += n
-                    element = self.parents[element]
+                else:
+                    other[element] += 1
+                element = self.parents[element]
         if not total:
             return 0
-        return max((k for k in range(len(held)) if self.can_hold[k] and held[k] >= COVER * total), default=0)
+        best = max((k for k in range(len(held)) if self.can_hold[k] and held[k] >= COVER * total), default=0)
+        above, k = [], best
+        while k > 0:
+            above.append(k)
+            k = self.parents[k]
+        marked = [k for k in above if self.tags[k] == "article"] or [k for k in above if self.tags[k] == "main"]
+        last = 0
+        if marked:
+            best = marked[-1]
+            last = min(k for k in above if self.tags[k] in ("article", "main"))
+        for k in above:
+            if last <= k < best and other[k] == other[best] and self.can_hold[k]:
+                best = k
+        return best
 
     def text(self, path: str | None) -> str:
         """The kept blocks within the elements at ``path``; within the best container if the page has none there."""

@@ -442,6 +442,23 @@ def test_extraction_of_other_layouts(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_extraction_keeps_the_whole_article(spark):
+    long = "Running text that goes on and on. " * 20
+    clean = long.strip()
+    menu = '<div class="menu"><a href=/>Home</a></div>'
+    article = f"<article><h1>Title</h1><p>lead</p><div class=body><p>{long}</p></div><section class=last><p>end</p></section></article>"
+    pages = {
+        "article": f"<body>{menu}<main><p>{article}</main><div>imprint</div></body>",
+        "divs": f"<body>{menu}<div class=post><h1>Title</h1><p>lead</p><div class=body>{long}</div><section class=last>end</section></div><aside>x</aside></body>",
+        "button": f"<body>{menu}<article><h1>Title</h1><button>lead<p>{long}</p><svg><p>end</article></body>",
+        "buttons": f"<body>{menu}<article><h1>Title</h1><svg/><button>lead<p>{long}</p><button>gone</button><p>end</article></body>",
+        "script": f"<body>{menu}<article><h1>Title</h1><p>lead<p>{long}<p>end</article><script><p>not closed",
+    }
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", html) for h, html in pages.items() for k in range(3)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert r["text"] == f"Title\n\nlead\n\n{clean}\n\nend", r["url"]
+
+
 # -- 10: language
 
 
