@@ -349,6 +349,12 @@ def _shrunk(thumb: np.ndarray, high: int, wide: int) -> np.ndarray:
     return sums / area
 
 
+def stacked(pictures: list[np.ndarray]) -> np.ndarray:
+    """A file's pictures one below the other; narrower ones are filled up on the right with their last column."""
+    wide = max(p.shape[1] for p in pictures)
+    return np.concatenate([p if p.shape[1] == wide else np.pad(p, ((0, 0), (0, wide - p.shape[1])), "edge") for p in pictures])
+
+
 def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     """Of a grid of 8 x 9 cells: which are above their mean (18 hexadecimal digits), and which are brighter than their left
     neighbour (16)."""
@@ -379,9 +385,9 @@ READ = "width int, height int, n_pictures int, payload binary, mean_hash string,
 
 
 def read_media(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` and the media column, and from its bytes: pixel dimensions of the first picture, number of pictures,
-    the DC-only luminance thumbnails' samples (for files of store_texts: the payload), two thumbnail hashes of the first
-    picture. A null media column or bytes that are no baseline JPEG: nulls, and the reason in ``problem``."""
+    """The columns ``keep`` and the media column, and from its bytes: number of pictures, pixel dimensions of them all stacked,
+    the DC-only luminance thumbnails' samples (for files of store_texts: the payload), two thumbnail hashes of the stacked
+    pictures. A null media column or bytes that are no baseline JPEG: nulls, and the reason in ``problem``."""
     own = [f.strip().split()[0] for f in READ.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,8 +400,8 @@ def read_media(stored: DataFrame, media: str = "media", keep: tuple[str, ...] =
                     if isinstance(x, str):
                         out.append((None, None, None, None, None, None, x))
                         continue
-                    first = x[0]
-                    out.append((first.shape[1] * 8, first.shape[0] * 8, len(x), b"".join(t.tobytes() for t in x), *thumbnail_hashes(first), None))
+                    whole = stacked(x)
+                    out.append((whole.shape[1] * 8, whole.shape[0] * 8, len(x), b"".join(t.tobytes() for t in x), *thumbnail_hashes(whole), None))
                 found = pd.DataFrame(out, columns=own)
                 for c in ("width", "height", "n_pictures"):
                     found[c] = found[c].astype("Int32")

@@ -67,6 +67,15 @@ def test_jpeg_of_many_pictures_and_broken_files():
     assert [isinstance(x, str) for x in bad] == [True, True, True, True, False]
 
 
+def test_feature_covers_all_pictures(spark):
+    first = "a" * (576 * 8191)
+    out = {r["doc_id"]: r for r in media_jpeg.media_report(docs(spark, [(1, first + "b" * 900_000, "en", "s"), (2, first + "!" * 900_000, "en", "s")])).collect()}
+    assert out[1]["feature"] != out[2]["feature"]
+    for r in out.values():
+        assert r["n_pictures"] == 2 and r["width"] * r["height"] == 64 * r["payload_bytes"]
+    assert media_jpeg.stacked([np.array([[1, 2, 3]]), np.array([[4]])]).tolist() == [[1, 2, 3], [4, 4, 4]]
+
+
 def test_jpeg_with_colour_and_ac_coefficients():
     """A hand-made 4:2:0 picture without restart markers: 2x2 luminance and two chrominance blocks in one MCU."""
     dc, ac = bytes([0, 3] + [0] * 14) + bytes([0, 2, 3]), bytes([0, 2, 1] + [0] * 13) + bytes([0x00, 0x01, 0x11])
