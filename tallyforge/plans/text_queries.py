@@ -191,6 +191,21 @@ def pool_account(spark, d):
     return generate.pool(spark, 64)[1]
 
 
+#: Problems of the reference's pool; the two queries above make a small one.
+POOL = 6000
+
+
+@query("problem_pool_whole")
+def problem_pool_whole(spark, d):
+    problems, _ = generate.pool(spark, POOL)
+    return problems.select("problem_id", "answer", "range_scale", "total_steps", generate.render().alias("text"))
+
+
+@query("pool_account_whole")
+def pool_account_whole(spark, d):
+    return generate.pool(spark, POOL)[1]
+
+
 @query("dedup_exact_docs", "SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, sum(first::INT)::BIGINT AS kept FROM (SELECT source, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1 AS first FROM documents) GROUP BY source")
 def dedup_exact_docs(spark, d):
     from tallyforge.operators.tiering import rejection_select

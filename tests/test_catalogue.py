@@ -38,3 +38,10 @@ def test_pool_fills_every_cell(spark):
     assert all("{" not in r["text"] and "First, " in r["text"] for r in problems)
     account = catalogue.QUERIES["pool_account"](spark, D).collect()
     assert all(r["accepted"] == 8 <= r["attempts"] for r in account)
+
+
+def test_whole_pool(spark):
+    problems = catalogue.QUERIES["problem_pool_whole"](spark, D).select("problem_id", "range_scale", "total_steps").collect()
+    assert len(problems) == len({r["problem_id"] for r in problems}) == 6000
+    account = catalogue.QUERIES["pool_account_whole"](spark, D).collect()
+    assert len(account) == 8 and all(r["accepted"] == 750 <= r["attempts"] for r in account)
