@@ -81,12 +81,12 @@ def bootstrap_native(spark, d):
 
 @query("bootstrap_hashed")
 def bootstrap_hashed(spark, d):
-    return stats.bootstrap(stats.seed_averaged(scores(spark, d)), ["arm"], resamples=500)
+    return stats.bootstrap(stats.seed_averaged(scores(spark, d)), ["arm"])
 
 
 @query("bootstrap_compat")
 def bootstrap_compat(spark, d):
-    return stats.bootstrap_numpy(stats.seed_averaged(scores(spark, d)), ["arm"], resamples=1000)
+    return stats.bootstrap_numpy(stats.seed_averaged(scores(spark, d)), ["arm"])
 
 
 LENGTHS = "SELECT l_returnflag || l_linestatus AS cell, floor(l_quantity * 60)::BIGINT AS n_tokens, l_discount >= 0.05 AS correct FROM lineitem"

@@ -45,3 +45,20 @@ def test_whole_pool(spark):
     assert len(problems) == len({r["problem_id"] for r in problems}) == 6000
     account = catalogue.QUERIES["pool_account_whole"](spark, D).collect()
     assert len(account) == 8 and all(r["accepted"] == 750 <= r["attempts"] for r in account)
+
+
+def test_registered_bootstraps_take_all_resamples(spark):
+    import numpy as np
+
+    from tallyforge.operators import stats
+    from tallyforge.plans import stats_queries
+
+    scores = stats.seed_averaged(stats_queries.scores(spark, D)).toPandas().sort_values("problem_id")
+    got = {r["arm"]: r for r in catalogue.QUERIES["bootstrap_compat"](spark, D).collect()}
+    assert set(got) == set(scores.arm)
+    for arm, part in scores.groupby("arm"):
+        values, rng = part.score.to_numpy(float), np.random.default_rng(0)
+        means = [values[rng.integers(0, len(values), len(values))].mean() for _ in range(10_000)]
+        assert (got[arm]["low"], got[arm]["high"]) == tuple(np.quantile(means, [0.025, 0.975]))
+    plan = catalogue.QUERIES["bootstrap_hashed"](spark, D)._jdf.queryExecution().logical().toString()
+    assert "Range (0, 10000" in plan
