@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,71 @@ class WordHasher:
         return np.array(out, dtype=np.uint64)
 
 
+#: Bytes (or symbols) whose prefix sums are taken at a time.
+SPAN = 1 << 20
+#: Odd multipliers of two independent polynomial hashes.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+@lru_cache(maxsize=4)
+def _powers(multiplier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, up to SPAN."""
+    out = []
+    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
+        p = np.full(SPAN + 1, m, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def run_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, multiplier: int = FIRST) -> np.ndarray:
+    """64-bit hashes of the runs values[begins:ends], which come one after another; equal runs get equal hashes wherever they are.
+    A polynomial in the multiplier, read off prefix sums; a run longer than SPAN is hashed part by part."""
+    power, inverse = _powers(multiplier)
+    out, at = np.zeros(len(begins), np.uint64), 0
+    while at < len(begins):
+        base = int(begins[at])
+        to = int(np.searchsorted(ends, base + SPAN, "right"))
+        if to <= at:
+            h, last = np.zeros(1, np.uint64), int(ends[at])
+            for k in range(base, last, SPAN):
+                part = values[k : min(k + SPAN, last)].astype(np.uint64) + np.uint64(1)
+                h = mix64(h + (part * power[: len(part)]).sum(dtype=np.uint64))
+            out[at] = h[0]
+            at += 1
+            continue
+        part = values[base : ends[to - 1]].astype(np.uint64)
+        part += np.uint64(1)
+        part *= power[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        b, e = begins[at:to] - base, ends[at:to] - base
+        out[at:to] = (sums[e] - sums[b]) * inverse[b]
+        at = to
+    return mix64(out)
+
+
+class Words:
+    r"""The words ``[^\x20\x09-\x0D]+`` of some texts (UTF-8; None: no words), end to end: where they begin and end in ``data``,
+    and the number of each text's first (and, at the end, of all). Texts are set apart by one space."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.data = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
+        sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
+        self.at = np.cumsum(np.concatenate([[0], sizes + 1]))
+        white = _WHITE[self.data]
+        edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edges = np.concatenate([[0], edges])
+        self.begins, self.ends = edges[::2], edges[1::2]
+        self.first = np.searchsorted(self.begins, self.at)
+
+    def hashes(self, multiplier: int = FIRST) -> np.ndarray:
+        return run_hashes(self.data, self.begins, self.ends, multiplier)
+
+
 def shingle_hashes(word_hash: np.ndarray, width: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every run of ``width`` words, from the words' hashes; empty if there are fewer words."""
     n = len(word_hash) - width + 1

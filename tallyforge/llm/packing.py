@@ -8,79 +8,114 @@ all the sequences of one make. Each piece finds its sequence and offset from its
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import FIRST, SECOND, cut, run_hashes, shuffle_partitions
 
 ROOM = 2048
 END_ID = 0
 #: Bits of a row's number within its partition.
 PART = 44
 VOCABULARY = "word_bpe_49k.json"
-#: Most distinct words remembered, and characters taken at a time: by a Python worker over its tasks (less time), or by a task that
-#: forgets them at its end (less memory).
-KEPT, BRIEF = (700_000, 4_000_000), (350_000, 1_000_000)
-#: Words of letters below U+0100 and trailing ASCII marks are two tokens' worth of pre-tokens: both parts are looked up apart.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-#: U+001C to U+001F divide words for str.split(), but aren't white space to the tokenizer, which gives them ids.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    """What the tokenizer's white space divides."""
-    if not text:
-        return []
-    return WORD.findall(text) if SEPARATORS.search(text) else text.split()
+#: Most distinct parts of words that a Python worker remembers, and characters that it takes at a time.
+KEPT, CHARS = 1 << 19, 1_000_000
+#: Characters: white space to the tokenizer (U+001C to U+001F aren't), letters of a head, marks of a tail (no apostrophe).
+_WHITE, _MARK, _OTHER = 0, 1, 2
+_TABLE = np.full((1 << 16) + 1, _OTHER, np.uint8)
+_TABLE[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _WHITE
+_TABLE[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = _MARK
+#: A letter is 3 or more, small and large ones alike.
+_LETTERS = [*range(97, 123), *(c for c in range(0xDF, 0x100) if c != 0xF7)]
+_TABLE[_LETTERS] = np.arange(3, 3 + len(_LETTERS))
+_TABLE[[c - 32 for c in _LETTERS if c not in (0xDF, 0xFF)]] = _TABLE[[c for c in _LETTERS if c not in (0xDF, 0xFF)]]
+_LONGEST = 1 << 10
 
 
 @lru_cache(maxsize=2)
 def loaded(path: str):
-    """The tokenizer of a file, and which ids end a word; kept for a Python worker's later tasks."""
+    """The tokenizer of a file, and which ids end a word."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text, as the vocabulary's description has it
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
     ends_word[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
     return tokenizer, ends_word
 
 
+class Parts:
+    """Numbers of parts by two 64-bit hashes: an open-addressing table in arrays, looked up for many at once."""
+
+    def __init__(self, most: int):
+        self.bits = max(8, int(most).bit_length() + 1)
+        self.keys = np.zeros((1 << self.bits, 2), np.uint64)
+        self.numbers = np.zeros(1 << self.bits, np.int32)  # 0: free
+
+    def _slots(self, first: np.ndarray) -> np.ndarray:
+        return (first >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The number of each, 0 for those not known."""
+        out = np.zeros(len(first), np.int32)
+        slots, rest = self._slots(first), None
+        while len(slots):
+            a, b = (first, second) if rest is None else (first[rest], second[rest])
+            numbers, keys = self.numbers[slots], self.keys[slots]
+            same = (keys[:, 0] == a) & (keys[:, 1] == b) & (numbers > 0)
+            if rest is None:
+                out[same] = numbers[same]
+            else:
+                out[rest[same]] = numbers[same]
+            on = np.flatnonzero(~same & (numbers > 0))
+            rest = on if rest is None else rest[on]
+            slots = (slots[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        """New parts, each once."""
+        slots, rest = self._slots(first), np.arange(len(first))
+        while len(rest):
+            free = np.flatnonzero(self.numbers[slots] == 0)
+            self.numbers[slots[free]] = numbers[rest[free]]  # of several for one slot the last stays
+            won = np.zeros(len(rest), bool)
+            won[free] = self.numbers[slots[free]] == numbers[rest[free]]
+            self.keys[slots[won], 0], self.keys[slots[won], 1] = first[rest[won]], second[rest[won]]
+            slots, rest = (slots[~won] + 1) & ((1 << self.bits) - 1), rest[~won]
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins words, so a text's ids are those of
-    its words in order. Each distinct word is tokenised once."""
+    its words in order. A word of Latin letters and trailing marks is two parts, letters in lower case and marks; each distinct
+    part is tokenised once and found again by 128 bits of hash. Other words are looked up as they are."""
 
-    def __init__(self, path: str, most: int = BRIEF[0]):
+    def __init__(self, path: str, most: int = KEPT):
         self.tokenizer, self.ends_word = loaded(path)
         self.most = most
         self._forget()
 
     def _forget(self) -> None:
-        #: A word is a head and a tail, each the number of a part; part 0 has no ids.
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {"": 0}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.parts, self.count = Parts(self.most), 2  # part 0 has no ids, part 1 ends a document
+        self.others: dict[str, int] = {}
+        self.ids, self.used = np.full(1 << 16, END_ID, np.uint32), 1
         self.begins, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ends[1] = 1
 
-    def _store(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """New parts, their ids end to end."""
-        first, n = len(self.parts), len(names)
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new parts, their ids end to end."""
+        first, n = self.count, len(ends)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while first + n > len(self.begins):
@@ -88,53 +123,87 @@ class WordTokenizer:
         self.ids[self.used : self.used + len(ids)] = ids
         self.ends[first : first + n] = self.used + ends
         self.begins[first : first + n] = self.used + np.concatenate([[0], ends[:-1]])
-        self.parts.update(zip(names, range(first, first + n), strict=True))
         self.used += len(ids)
-
-    def _learn(self, new: set[str]) -> None:
-        split, others = {}, []
-        for w in new:
-            if m := SIMPLE.fullmatch(w):
-                split[w] = (m[1].lower(), m[2])
-            else:
-                others.append(w)
-        missing = list({p for pair in split.values() for p in pair} - self.parts.keys())
-        for at in range(0, len(missing), 1024):
-            some = missing[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
-                raise RuntimeError("the vocabulary doesn't mark the ends of words")
-            self._store(some, ids, ends)
-        parts = self.parts
-        self.words.update((w, parts[a] << 32 | parts[b]) for w, (a, b) in split.items())
-        if others:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-            first = len(parts)
-            self._store(["\n" + w for w in others], np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
-            self.words.update(zip(others, ((first + k) << 32 for k in range(len(others))), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; none for null."""
-        if len(self.words) > self.most:
+        self.count += n
+        return np.arange(first, first + n, dtype=np.int32)
+
+    def _numbers(self, text: str, values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the parts text[begins:ends]; those not known are tokenised."""
+        first, second = run_hashes(values, begins, ends, FIRST), run_hashes(values, begins, ends, SECOND)
+        out = self.parts.find(first, second)
+        while len(missing := np.flatnonzero(out == 0)):
+            _, new = np.unique(first[missing], return_index=True)
+            new = missing[new]
+            for at in range(0, len(new), 1024):
+                some = new[at : at + 1024]
+                names = " ".join([text[b:e] for b, e in zip(begins[some].tolist(), ends[some].tolist(), strict=True)])
+                ids = np.array(self.tokenizer.encode_batch_fast([names], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(cuts) != len(some):
+                    raise RuntimeError("the vocabulary doesn't mark the ends of words")
+                while 2 * (self.count + len(some)) > len(self.parts.numbers):  # many parts at once: a table twice the size
+                    old, self.parts = self.parts, Parts(len(self.parts.numbers))
+                    used = np.flatnonzero(old.numbers)
+                    self.parts.add(old.keys[used, 0], old.keys[used, 1], old.numbers[used])
+                self.parts.add(first[some], second[some], self._store(ids, cuts))
+            out[missing] = self.parts.find(first[missing], second[missing])
+        return out
+
+    def _other(self, words: list[str]) -> list[int]:
+        known = self.others
+        new = list(dict.fromkeys(w for w in words if w not in known))
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            known.update(zip(some, self._store(np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found])).tolist(), strict=True))
+        return [known[w] for w in words]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, END_ID after each, and where each begins (and the last ends). Null: END_ID alone."""
+        if self.count > self.most or len(self.others) > self.most // 8:
             self._forget()
-        split = [words_of(t) for t in texts]
-        words = list(chain.from_iterable(split))
-        if new := set(words) - self.words.keys():
-            self._learn(new)
-        code = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        part = np.stack([code >> 32, code & 0xFFFFFFFF], axis=1).ravel()
-        n = self.ends[part] - self.begins[part]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.begins[part] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
-        cuts = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        text = "\n".join([t or "" for t in texts]) + "\n"
+        at = np.cumsum(np.concatenate([[0], [len(t or "") + 1 for t in texts]]))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _TABLE[np.minimum(codes, 1 << 16)]
+        white = kind == _WHITE
+        edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edges = np.concatenate([[0], edges])
+        begins, ends = edges[::2], edges[1::2]
+        letter = kind > _OTHER
+        odd = kind == _OTHER
+        odd[1:] |= letter[1:] & (kind[:-1] == _MARK)  # letters behind marks
+        count = lambda x: (lambda s: s[ends] - s[begins])(np.concatenate([[0], np.cumsum(x, dtype=np.int32)]))
+        heads = count(letter)
+        simple = (count(odd) == 0) & letter[begins] & (ends - begins <= _LONGEST)
+        values = np.where(kind == _MARK, codes + 128, kind).astype(np.uint8)  # letters and marks differ
+        part = np.zeros((len(begins), 2), np.int32)
+        own = np.flatnonzero(simple)
+        part[own, 0] = self._numbers(text, values, begins[own], begins[own] + heads[own])
+        own = own[heads[own] < (ends - begins)[own]]
+        part[own, 1] = self._numbers(text, values, begins[own] + heads[own], ends[own])
+        own = np.flatnonzero(~simple)
+        part[own, 0] = self._other([text[b:e] for b, e in zip(begins[own].tolist(), ends[own].tolist(), strict=True)])
+        # a part that ends each document
+        first = np.searchsorted(begins, at)
+        part = np.insert(part.ravel(), 2 * first[1:], 1)
+        n = (self.ends - self.begins)[part]
+        stops = np.cumsum(n)
+        step = np.ones(int(stops[-1]) if len(n) else 0, np.int64)  # from id to id of the store: on by one, or to the next part
+        full = np.flatnonzero(n)
+        starts = self.begins[part[full]]
+        jump = starts[1:] - self.ends[part[full[:-1]]] + 1
+        step[stops[full[:-1]]] = jump
+        step[:1] = starts[:1]
+        ids = self.ids[np.cumsum(step)]
+        return ids, np.concatenate([[0], stops])[2 * first + np.arange(len(first))]
 
 
 @lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> WordTokenizer:
     """A Python worker's tokenizer: what it has learned serves the worker's later tasks."""
-    return WordTokenizer(path, KEPT[0])
+    return WordTokenizer(path)
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -154,36 +223,39 @@ def written_order(docs: DataFrame):
     return F.shiftleft(number(r"^part-(\d+)"), PART) + F.shiftleft(number(r"-c(\d+)[.]"), 33) + F.col("_metadata.row_index")
 
 
-def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False, keep_words: bool = True, in_order: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, with_ids: bool = False, in_order: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 (and ids, place): each document's ids and END_ID, cut every ``room`` ids."""
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", place long" * in_order
-    names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = (worker_tokenizer if keep_words else WordTokenizer)(path or tokenizer_path())
-        most_chars = (KEPT if keep_words else BRIEF)[1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = worker_tokenizer(path or tokenizer_path())
         for batch in batches:
-            at = 0
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            at, texts = 0, batch.column("text").to_pylist()
             while at < len(texts):  # texts of some megabytes at a time
                 end, total = at, 0
-                while end < len(texts) and (end == at or (end - at < 1024 and total < most_chars)):
+                while end < len(texts) and (end == at or total + len(texts[end] or "") <= CHARS):
                     total += len(texts[end] or "")
                     end += 1
-                rows = []
-                places = batch["place"].iloc[at:end] if in_order else repeat(None, end - at)
-                for k, place, ids in zip(batch["key"].iloc[at:end], places, tokenizer(texts[at:end]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for i, first in enumerate(range(0, len(ids), room)):
-                        part = ids[first : first + room]
-                        rows.append((k, i, first, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * with_ids, *[place] * in_order))
-                found = pd.DataFrame(rows, columns=names)
-                found["key"] = found["key"].astype("Int64")
-                yield found
+                ids, cuts = tokenizer(texts[at:end])
+                each = -(-np.diff(cuts) // room)
+                row = np.repeat(np.arange(end - at), each)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                begins = cuts[row] + piece * room
+                ends = np.minimum(begins + room, cuts[row + 1])
+                ids = ids.astype("<u4")
+                view = memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                source = pa.array(at + row)
+                found = [batch.column("key").take(source), pa.array(piece, pa.int32()), pa.array(begins - cuts[row]), pa.array(ends - begins), pa.array(crc, pa.int64())]
+                if with_ids:
+                    found.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]), pa.int32()), pa.array(ids.astype(np.int32))))
+                if in_order:
+                    found.append(batch.column("place").take(source))
+                yield pa.RecordBatch.from_arrays(found, [f.split()[0] for f in schema.split(", ")])
                 at = end
 
     own = [written_order(docs).alias("place")] if in_order else []
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *own).mapInPandas(run, schema)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *own).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
@@ -249,7 +321,7 @@ def _numbered(placed: DataFrame) -> DataFrame:
 
 
 def place(found: DataFrame, room: int = ROOM) -> DataFrame:
-    """``found`` (key, piece, start, length, ids_crc32) with sequence_id and offset. The driver gets the histogram, ``room`` rows at
+    """``found`` (key, piece, start, length, ids_crc32, and what else it has) with sequence_id and offset. The driver gets the histogram, ``room`` rows at
     most; tasks get the plan, an entry for each length of each make of sequence. With a column place, the pieces of a length are
     dealt to sequences in its order, and the sequences follow that of their first pieces."""
     buckets = shuffle_partitions(found.sparkSession)
@@ -264,35 +336,34 @@ def place(found: DataFrame, room: int = ROOM) -> DataFrame:
     within = Window.partitionBy("length", "bucket").orderBy(*["place"] * in_order, "key", "piece")
     ranked = found.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (entries[:, 0] << 48) + entries[:, 1]
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            e = entries[np.searchsorted(key, (length << 48) + rank, "right") - 1] if len(batch) else entries[:0]
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            e = entries[np.searchsorted(key, (length << 48) + rank, "right") - 1] if len(length) else entries[:0]
             k = rank - e[:, 1]
-            yield batch.drop(columns="rank").assign(sequence_id=e[:, 2] + k // np.maximum(e[:, 3], 1), offset=e[:, 4] + k % np.maximum(e[:, 3], 1) * length)
+            made = [pa.array(e[:, 2] + k // np.maximum(e[:, 3], 1)), pa.array(e[:, 4] + k % np.maximum(e[:, 3], 1) * length)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + made, [*columns, "sequence_id", "offset"])
 
-    columns = ["key", "piece", "start", "length", "ids_crc32", *["place"] * in_order]
-    schema = "key long, piece int, start long, length long, ids_crc32 long" + ", place long" * in_order + ", sequence_id long, offset long"
-    placed = ranked.select(*columns, "rank").mapInPandas(run, schema)
+    columns = [c for c in found.columns if c != "bucket"]
+    schema = "".join(f"{c} {found.schema[c].dataType.simpleString()}, " for c in columns) + "sequence_id long, offset long"
+    placed = ranked.select(*columns, "rank").mapInArrow(run, schema)
     return _numbered(placed) if in_order else placed
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None, keep_words: bool = True, in_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None, in_order: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes.
 
     A document is its ids, then END_ID; only one longer than ``room`` is cut. A null or empty text is END_ID alone. Repeated rows and
     equal texts are packed each; a null key stays null. No rows: none. ``path``: the tokenizer file (default: word_bpe_49k.json).
-    ``keep_words``: workers remember words over tasks, for less time and more memory; the result is the same. ``in_order``: documents
-    of a length are packed in the order of the rows, and sequences are numbered by it (by their first pieces')."""
-    return place(pieces(docs, key, text, room, path, keep_words=keep_words, in_order=in_order), room).withColumnRenamed("key", key)
+    ``in_order``: documents of a length are packed in the order of the rows, and sequences are numbered by it (by their first
+    pieces'). ``key`` is taken as a long; one that is no number fails, or is null where the session's ANSI mode is off."""
+    return place(pieces(docs, key, text, room, path, in_order=in_order), room).withColumnRenamed("key", key)
 
 
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM, path: str | None = None) -> DataFrame:
     """sequence_id, ids (array of int), docs (array of key, piece and offset): the packed sequences themselves."""
-    placed = pack(docs, key, text, room, path).dropDuplicates([key, "piece"]).withColumnRenamed(key, "key")
-    whole = pieces(docs, key, text, room, path, with_ids=True).dropDuplicates(["key", "piece"]).select("key", "piece", "ids")
-    joined = whole.join(placed, ["key", "piece"])
+    joined = place(pieces(docs, key, text, room, path, with_ids=True), room)
     parts = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "key", "piece", "ids"))).alias("p"))
     return parts.select("sequence_id", F.flatten("p.ids").alias("ids"), F.transform("p", lambda x: F.struct(x["key"].alias(key), x["piece"], x["offset"])).alias("docs"))
 
