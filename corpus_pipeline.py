@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, keep_words=False, in_order=True)  # the workers' memory also serves the other stages
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [
