@@ -4,111 +4,143 @@ A word is removed if it lies in a window of 20 words whose sequence also starts
 difference cover modulo 13: for any two places there is an offset below 13 that brings both onto cover positions. So two
 equal windows share an aligned anchor: 8 words that begin, in both, at cover positions within the first 13 places. Only
 anchors are hashed and shuffled at first; where one recurs, the windows around it are taken (the extension), and these
-alone are compared exactly.
+alone are compared.
 
-Documents are dealt into cells. A cell sends each distinct hash once, however often it holds it, in packed arrays; it is
-told a bit for each. So a passage that a third of all documents share costs one entry for each cell.
+Documents are dealt into cells of about CELL_BYTES, by id and text; a Python function holds one cell. A cell sends a row for
+each distinct anchor, and later window, however often it holds it. So a passage that a third of all documents share costs one
+row for each cell, and no task gathers more than the cells' rows of one hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHasher, balanced_keys, dealt, mix64, shuffle_partitions, split_words
+from .common import FIRST, NULL_ID, SECOND, SPAN, Words, _powers, mix64, shuffle_partitions
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Cells for each shuffle partition: a cell is what one call of a Python function holds. A cell and a bucket exchange one row, so
-#: there are as many rows as partitions squared; more cells make more and smaller ones.
-CELLS = 1
-
-
-def _hash_at(words: np.ndarray, at: np.ndarray, width: int, multiplier: int) -> np.ndarray:
-    m, h = np.uint64(multiplier), words[at]
-    for k in range(1, width):
-        h = h * m + words[at + k]
-    return mix64(h)
+#: Bits of an anchor's hash: anchors that collide only bring windows that are then told apart.
+ANCHOR_BITS = 48
+#: Text of a cell; a longer document is a cell of its own or shares one. There are at least CELLS for each shuffle partition.
+CELL_BYTES, CELLS = 1 << 20, 4
+#: A shorter text can't hold a window: one byte for each word and between two.
+LEAST_BYTES = 2 * WINDOW - 1
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def rolled(words: np.ndarray, width: int, multiplier: int) -> np.ndarray:
+    """A hash for every run of ``width`` words (of whatever documents), by prefix sums of their hashes."""
+    power, inverse = _powers(multiplier)
+    n = max(0, len(words) - width + 1)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, SPAN // 2):
+        size = min(SPAN // 2, n - at)
+        sums = np.zeros(size + width, np.uint64)
+        part = words[at : at + size + width - 1]
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        out[at : at + size] = (sums[width:] - sums[:size]) * inverse[:size]
+    return mix64(out)
 
 
 class Cell:
-    """The words of a cell's documents, in order of id and text, end to end."""
-
-    def __init__(self, docs: pd.DataFrame, hasher: WordHasher):
-        self.docs = docs.sort_values(["doc_key", "text_hash"], kind="stable").reset_index(drop=True)
-        self.texts = [t if isinstance(t, str) else None for t in self.docs["text"]]
-        hashes = [hasher(split_words(t)) for t in self.texts]
-        self.sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-        self.words = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        self.ends = np.cumsum(self.sizes)
-        self.begins = self.ends - self.sizes
-        n = len(self.words)
-        self.owner = np.repeat(np.arange(len(hashes)), self.sizes)
-        place = np.arange(n) - self.begins[self.owner] if n else np.empty(0, np.int64)
-        #: Where whole windows start, and where anchors do.
-        self.starts = np.zeros(n, bool)
-        self.anchors = np.empty(0, np.int64)
-        if n:
-            left = self.sizes[self.owner] - place
-            self.starts = left >= WINDOW
-            self.anchors = np.flatnonzero(np.isin(place % PERIOD, COVER) & (left >= ANCHOR) & (self.sizes[self.owner] >= WINDOW))
-
-    def anchor_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes in order, which of them recur here, and the number of each anchor's hash."""
-        u, inverse, count = np.unique(_hash_at(self.words, self.anchors, ANCHOR, 0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
-        return u, count > 1, inverse
-
-    def windows(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold a repeated anchor within their first PERIOD places."""
-        n = len(self.words)
-        at = self.anchors[repeated]
-        first = np.maximum(at - PERIOD + 1, self.begins[self.owner[at]])
-        change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1) if n else np.zeros(1, np.int64)
-        return np.flatnonzero((np.cumsum(change)[:n] > 0) & self.starts)
-
-    def window_hashes(self, at: np.ndarray):
-        """Distinct windows in order of their hashes (64 and 32 bits), the number of the first of each, and of each window's group."""
-        h = _hash_at(self.words, at, WINDOW, 0xD1342543DE82EF95)
-        g = (_hash_at(mix64(self.words), at, WINDOW, 0xAF251AF3B0F025B5) >> np.uint64(32)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
-        order = np.lexsort((g, h))
-        h, g = h[order], g[order]
+    """A cell's documents in order of id and text, and their words end to end."""
+
+    def __init__(self, docs: pa.Table):
+        self.docs = docs.sort_by([("doc_key", "ascending"), ("tag", "ascending")])
+        self.words = Words(self.docs.column("text").cast(pa.large_binary()).to_pylist())
+        self.first = self.words.first
+        self.sizes = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(self.first[-1]) - self.first[self.owner]
+        self.left = self.sizes[self.owner] - self.place
+        self.hashes = self.words.hashes(FIRST)
+
+    def column(self, name: str) -> np.ndarray:
+        return self.docs.column(name).to_numpy()
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where anchors begin, and their hashes of ANCHOR_BITS."""
+        at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[self.place % PERIOD] & (self.left >= ANCHOR) & (self.sizes[self.owner] >= WINDOW))
+        return at, (rolled(self.hashes, ANCHOR, FIRST)[at] >> np.uint64(64 - ANCHOR_BITS)).view(np.int64)
+
+    def windows(self, around: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold one of these anchors within their first PERIOD places."""
+        n = len(self.hashes)
+        first = np.maximum(around - PERIOD + 1, self.first[self.owner[around]])
+        change = np.bincount(first, minlength=n + 1) - np.bincount(around + 1, minlength=n + 1)
+        return np.flatnonzero((np.cumsum(change)[:n] > 0) & (self.left >= WINDOW))
+
+    def grouped(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows: the hashes (64 and 32 bits) of each distinct one, the number of the first that is alike, and each one's group."""
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        h = rolled(self.hashes, WINDOW, FIRST)[at].view(np.int64)
+        g = (rolled(self.words.hashes(SECOND), WINDOW, SECOND)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        if (same & (g[order][1:] != g[order][:-1])).any():
+            order = np.lexsort((g, h))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(new) - 1
-        return h[new], g[new], order[new], group
-
-
-def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, numbers of its hashes), in a fixed order."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield int(b), order[cuts[b] : cuts[b + 1]]
-
-
-def _bits(told: pd.DataFrame, hashes: np.ndarray, keys: list[int]) -> np.ndarray:
-    """What a cell was told of each of its hashes."""
-    out = np.zeros(len(hashes), bool)
-    by_key = dict(zip(told["bucket"], told["bits"], strict=True))
-    for b, numbers in _by_bucket(hashes, len(keys)):
-        out[numbers] = np.unpackbits(np.frombuffer(by_key[keys[b]], np.uint8), count=len(numbers))
-    return out
-
-
-def _answer(cells, buckets, sizes, flags) -> pd.DataFrame:
-    cuts = np.cumsum([0, *sizes])
-    return pd.DataFrame({"cell": cells, "bucket": buckets, "bits": [np.packbits(flags[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
-
-
-def _gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True) if parts else None
+        return h[order][new], g[order][new], order[new], group
+
+
+def _send_anchors(docs: pa.Table) -> pa.Table:
+    """Each distinct anchor of a cell, twice if it has it more than once."""
+    hashes, count = np.unique(Cell(docs).anchors()[1], return_counts=True)
+    hashes = np.repeat(hashes, np.minimum(count, 2))
+    return pa.table({"cell": pa.repeat(docs.column("cell")[0], len(hashes)), "h": hashes})
+
+
+def _send_windows(docs: pa.Table, hits: pa.Table) -> pa.Table:
+    """Each distinct window around a cell's recurring anchors, with the first document that has it."""
+    cell = Cell(docs)
+    at, hashes = cell.anchors()
+    at = cell.windows(at[np.isin(hashes, hits.column("h").to_numpy())])
+    h, g, first, _ = cell.grouped(at)
+    order = np.argsort(first)  # rows of a document together, which makes the shuffle's blocks smaller
+    h, g, owner = h[order], g[order], cell.owner[at[first[order]]]
+    ids = {c: cell.column(c)[owner] for c in ("doc_key", "tag")}
+    return pa.table({"cell": pa.repeat(docs.column("cell")[0], len(h)), "h": h, "g": g, **ids})
+
+
+def _finish(docs: pa.Table, later: pa.Table, columns: list[str]) -> pa.Table:
+    """A cell's documents without the windows that an earlier cell has, and those that the cell has earlier itself."""
+    cell = Cell(docs)
+    n = len(cell.hashes)
+    at = np.flatnonzero(cell.left >= WINDOW)
+    h, _, first, group = cell.grouped(at)
+    # within a cell 64 bits tell windows apart
+    lost = np.isin(h, later.column("h").to_numpy(), assume_unique=False, kind="sort")
+    # the first of its sequence stays, and so do its likes in rows that repeat the document
+    doc, tag, f = cell.column("doc_key")[cell.owner[at]], cell.column("tag")[cell.owner[at]], first[group]
+    gone = at[lost[group] | (doc != doc[f]) | (tag != tag[f]) | (cell.place[at] != cell.place[at[f]])]
+    change = np.zeros(n + 1, np.int32)
+    change[gone] += 1
+    change[gone + WINDOW] -= 1
+    removed = np.cumsum(change)[:n] > 0
+    sums = np.concatenate([[0], np.cumsum(removed)])
+    n_removed = sums[cell.first[1:]] - sums[cell.first[:-1]]
+    # kept words with the one byte behind each, but for a text's last
+    kept = np.flatnonzero(~removed)
+    begins, ends = cell.words.begins[kept], cell.words.ends[kept] + 1
+    last = np.ones(len(kept), bool)
+    last[:-1] = cell.owner[kept][1:] != cell.owner[kept][:-1]
+    ends = ends - last
+    change = np.zeros(len(cell.words.data) + 1, np.int8)
+    change[begins] += 1
+    change[ends] -= 1
+    data = cell.words.data[np.cumsum(change[:-1], dtype=np.int8) > 0]
+    data = np.where((data >= 9) & (data <= 13), 32, data).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)])[np.searchsorted(kept, cell.first)]
+    texts = pa.LargeStringArray.from_buffers(len(cell.sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+    out = [cell.docs.column(c) for c in columns]
+    return pa.table([*out, pa.array(cell.sizes), pa.array(n_removed), texts], [*columns, "n_words", "n_removed", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,106 +148,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word is removed if a window of 20 words of its document covers it whose sequence also
     starts earlier: in a document of a smaller id, or before it in the same one; all windows are judged on the input. A null text
-    has no words; kept_text is then ''. A null id comes before all others. Rows that repeat an id and its text are one document;
-    of different texts under one id that with the smaller hash counts as earlier. No rows: none."""
+    has no words; kept_text is then ''. A null id comes before all others; one that is no number fails, or is null where the
+    session's ANSI mode is off. Rows that repeat an id and its text are one document; of different texts under one id that with the
+    smaller hash counts as earlier. A very long text is a cell of its own and is held whole. Rows alike in all columns share a cell.
+    No rows: none. Words are compared by hashes of 96 bits of a window."""
     spark = docs.sparkSession
     new = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in new]
     partitions = shuffle_partitions(spark)
-    cells, keys = balanced_keys(spark, partitions, CELLS), balanced_keys(spark, partitions)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("n")).first()["n"] or 0
+    cells = max(CELLS * partitions, -(-size // CELL_BYTES))
     doc_key = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID))
-    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], doc_key.alias("doc_key"), F.col(f"`{text}`").alias("text"))
-    named = named.drop(f"c{kept.index(text)}").withColumn("text_hash", F.xxhash64("text")).withColumn("cell", dealt(cells, ["doc_key"]))
-    dealt_docs = named.repartition(partitions, "cell")
-    own = [f for f in named.schema.fields if f.name not in ("doc_key", "text_hash", "cell", "text")]
-
-    def send_anchors(part: pd.DataFrame) -> pd.DataFrame:
-        cell = Cell(part, WordHasher())
-        hashes, recurs, _ = cell.anchor_hashes()
-        rows = [(part["cell"].iloc[0], keys[b], hashes[k].tobytes(), np.packbits(recurs[k]).tobytes()) for b, k in _by_bucket(hashes, len(keys))]
-        return pd.DataFrame(rows, columns=["cell", "bucket", "hashes", "recurs"])
-
-    def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _gathered(batches)
-        if rows is None:
-            return
-        parts = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        flat = np.concatenate(parts)
-        recurs = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8), count=len(p)) for r, p in zip(rows["recurs"], parts, strict=True)])
-        _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        yield _answer(rows["cell"], rows["bucket"], [len(p) for p in parts], (recurs > 0) | (count[inverse] > 1))
-
-    def send_windows(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["cell", "bucket", "hashes", "more", "docs", "which"]
-        if not len(part):
-            return pd.DataFrame(columns=columns)
-        cell = Cell(part, WordHasher())
-        hashes, _, inverse = cell.anchor_hashes()
-        at = cell.windows(_bits(told, hashes, keys)[inverse])
-        h, g, first, _ = cell.window_hashes(at)
-        ids = cell.docs["doc_key"].to_numpy()[cell.owner[at[first]]] if len(at) else np.empty(0, np.int64)
-        rows = []
-        for b, k in _by_bucket(h, len(keys)):
-            names, which = np.unique(ids[k], return_inverse=True)
-            rows.append((part["cell"].iloc[0], keys[b], h[k].tobytes(), g[k].tobytes(), names.tobytes(), which.astype(np.uint32 if len(names) > 65535 else np.uint16).tobytes()))
-        return pd.DataFrame(rows, columns=columns)
-
-    def find_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _gathered(batches)
-        if rows is None:
-            return
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
-        g = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["more"]])
-        ids = []
-        for names, which in zip(rows["docs"], rows["which"], strict=True):
-            names = np.frombuffer(names, np.int64)
-            ids.append(names[np.frombuffer(which, np.uint32 if len(names) > 65535 else np.uint16)])
-        sizes, ids = [len(x) for x in ids], np.concatenate(ids)
-        order = np.lexsort((ids, g, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        flags = np.empty(len(h), bool)
-        flags[order] = ids[order] == ids[order][new][np.cumsum(new) - 1]  # holds the first window of this sequence
-        yield _answer(rows["cell"], rows["bucket"], sizes, flags)
-
-    def finish(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = [f.name for f in own] + ["text", *new]
-        if not len(part):
-            return pd.DataFrame(columns=columns)
-        cell = Cell(part, WordHasher())
-        hashes, _, inverse = cell.anchor_hashes()
-        at = cell.windows(_bits(told[told["step"] == 0], hashes, keys)[inverse])
-        h, _, first, group = cell.window_hashes(at)
-        owned = _bits(told[told["step"] == 1], h, keys)
-        # the windows that are the first of their sequence: in the cell that has it, the first and its likes in repeated rows
-        doc = cell.docs["doc_key"].to_numpy()[cell.owner[at]] if len(at) else np.empty(0, np.int64)
-        tag = cell.docs["text_hash"].to_numpy()[cell.owner[at]] if len(at) else np.empty(0, np.int64)
-        place = at - cell.begins[cell.owner[at]] if len(at) else np.empty(0, np.int64)
-        f = first[group]
-        keeps = owned[group] & (doc == doc[f]) & (tag == tag[f]) & (place == place[f])
-        n = len(cell.words)
-        gone = at[~keeps]
-        change = np.bincount(gone, minlength=n + WINDOW + 1)
-        change[WINDOW:] -= np.bincount(gone, minlength=n + WINDOW + 1)[:-WINDOW]
-        removed = np.cumsum(change)[:n] > 0
-        sums = np.concatenate([[0], np.cumsum(removed)])
-        n_removed = sums[cell.ends] - sums[cell.begins]
-        texts = []
-        for k, t in enumerate(cell.texts):
-            words = split_words(t)
-            if n_removed[k]:
-                words = [w for w, r in zip(words, removed[cell.begins[k] : cell.ends[k]].tolist(), strict=True) if not r]
-            texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        return cell.docs.assign(n_words=cell.sizes, n_removed=n_removed, kept_text=texts)[columns]
-
-    bits = "cell int, bucket int, bits binary"
-    anchors = dealt_docs.groupBy("cell").applyInPandas(send_anchors, "cell int, bucket int, hashes binary, recurs binary")
-    hits = anchors.repartition(partitions, "bucket").mapInPandas(find_anchors, bits)
-    windows = dealt_docs.groupBy("cell").cogroup(hits.groupBy("cell")).applyInPandas(send_windows, "cell int, bucket int, hashes binary, more binary, docs binary, which binary")
-    firsts = windows.repartition(partitions, "bucket").mapInPandas(find_windows, bits)
-    told = hits.select("cell", "bucket", "bits", F.lit(0).alias("step")).union(firsts.select("cell", "bucket", "bits", F.lit(1).alias("step")))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
-    out = dealt_docs.groupBy("cell").cogroup(told.groupBy("cell")).applyInPandas(finish, f"{schema}text string, n_words long, n_removed long, kept_text string")
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], doc_key.alias("doc_key"))
+    named = named.withColumnRenamed(f"c{kept.index(text)}", "text").withColumn("tag", F.xxhash64("text"))
+    own = [f.name for f in named.schema.fields if f.name not in ("doc_key", "tag")]
+    by = [f.name for f in named.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    has_windows = F.coalesce(F.octet_length("text"), F.lit(0)) >= LEAST_BYTES
+    dealt = named.where(has_windows).withColumn("cell", F.pmod(F.xxhash64(*by), F.lit(cells))).repartition(partitions, "cell")
+
+    anchors = dealt.groupBy("cell").applyInArrow(_send_anchors, "cell long, h long")
+    recurring = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("cell", "h")
+    windows = dealt.groupBy("cell").cogroup(recurring.groupBy("cell")).applyInArrow(_send_windows, "cell long, h long, g int, doc_key long, tag long")
+    later = windows.withColumn("k", F.rank().over(Window.partitionBy("h", "g").orderBy("doc_key", "tag"))).where("k > 1").select("cell", "h")
+    schema = "".join(f"`{c}` {named.schema[c].dataType.simpleString()}, " for c in own)
+    finish = lambda left, right: _finish(left, right, own)
+    long = dealt.groupBy("cell").cogroup(later.groupBy("cell")).applyInArrow(finish, f"{schema}n_words long, n_removed long, kept_text string")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1)
+    short = named.where(~has_windows).select(*own, F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept_text"))
+    out = long.unionByName(short)
     return out.select(*[F.col("text" if c == text else f"c{i}").alias(c) for i, c in enumerate(kept)], *new)
 
 
