@@ -63,11 +63,15 @@ def read_meta(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("path", F.col("_metadata.file_path"))
 
 
-def read_units(spark: SparkSession, plan: DataFrame, schema: str = schemas.SAMPLES) -> DataFrame:
-    """The units of a plan (run, split, decoding, path), and no others: one scan over the planned paths, joined to the plan."""
-    paths = [r["path"] for r in plan.select("path").distinct().collect()]
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(paths).withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"))
-    return rows.join(F.broadcast(plan), "path")
+def read_units(spark: SparkSession, plan: DataFrame, schema: str = schemas.SAMPLES, most: int = 100_000) -> DataFrame:
+    """The units of a plan (run, split, decoding, path), and no others: one scan over the planned paths, joined to the plan. A plan is a
+    configuration's; one of more than ``most`` rows is an error."""
+    rows = plan.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a plan of more than {most} units")
+    paths = sorted({r["path"] for r in rows})
+    answers = spark.read.schema(schema).option("mode", "FAILFAST").json(paths).withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"))
+    return answers.join(F.broadcast(plan), "path")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +108,13 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> Non
     rows.write.json(path)
 
 
+def write_jsonl_once(df: DataFrame, path: str, order: list[str]) -> None:
+    """``write_jsonl`` that refuses to overwrite."""
+    if exists(df.sparkSession, path):
+        raise FileExistsError(f"{path} already exists")
+    write_jsonl(df, path, order)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Refuses to overwrite."""
     df.write.mode("errorifexists").parquet(path)
