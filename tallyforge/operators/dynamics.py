@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 EPS = 1e-6
 
 
@@ -81,15 +83,14 @@ def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, batch: int) ->
     """A seeded permutation in batches: place and batch of each row."""
     from tallyforge.functions.hashrng import sha_int
 
-    place = F.row_number().over(Window.orderBy(sha_int(seed, epoch, F.col(key)), key)) - 1
-    return rows.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / batch))
+    drawn = numbered(rows.withColumn("drawn_", sha_int(seed, epoch, F.col(key))), ["drawn_", key], "place").drop("drawn_")
+    return drawn.withColumn("batch", F.floor(F.col("place") / batch))
 
 
 def curve_rises(curve: DataFrame, step: str, value: str) -> DataFrame:
     """Whether the last quarter's mean is above the first's; null under four points."""
-    w = Window.orderBy(step)
-    n = F.count("*").over(Window.partitionBy())
-    ranked = curve.where(F.col(value).isNotNull()).select(F.row_number().over(w).alias("r"), n.alias("n"), F.col(value).alias("v"))
+    known = curve.where(F.col(value).isNotNull()).select(F.col(step).alias("at"), F.col(value).alias("v"))
+    ranked = numbered(known, ["at", "v"], "r").withColumn("r", F.col("r") + 1).crossJoin(F.broadcast(known.agg(F.count("*").alias("n"))))
     q = F.floor(F.col("n") / 4)
     out = ranked.agg(F.max("n").alias("n"), F.avg(F.when(F.col("r") <= q, F.col("v"))).alias("first"), F.avg(F.when(F.col("r") > F.col("n") - q, F.col("v"))).alias("last"))
     return out.select(F.when(F.col("n") >= 4, F.col("last") > F.col("first")).alias("rises"))

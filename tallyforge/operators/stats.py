@@ -64,15 +64,15 @@ def bootstrap(scores: DataFrame, by: list[str], resamples: int = 10_000, seed: i
 
 def bootstrap_sql(scores: DataFrame, resamples: int, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """The same over one group, long, with SHA-256 draws that other engines can repeat."""
-    from pyspark.sql import Window
-
     from tallyforge.functions.hashrng import sha_int
 
-    numbered = scores.withColumn("i", F.row_number().over(Window.orderBy("problem_id")) - 1)
-    n = numbered.count()
+    from .ordering import numbered
+
+    placed = numbered(scores, ["problem_id"], "i")
+    n = scores.count()
     draws = scores.sparkSession.range(resamples).withColumnRenamed("id", "trial").crossJoin(scores.sparkSession.range(n).withColumnRenamed("id", "draw"))
     draws = draws.withColumn("i", F.pmod(sha_int(seed, F.col("trial"), F.col("draw")), F.lit(n)).cast("int"))
-    means = draws.join(F.broadcast(numbered), "i").groupBy("trial").agg(F.avg("score").alias("m"))
+    means = draws.join(placed, "i").groupBy("trial").agg(F.avg("score").alias("m"))
     return means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("resamples"))
 
 

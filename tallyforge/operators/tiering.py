@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.hashrng import sha_int
 
+from .ordering import numbered
+
 TIERS = ("easy", "medium", "hard")
 
 
@@ -72,8 +74,8 @@ def interleave(rows: DataFrame, order: str) -> DataFrame:
     sizes = {r["rank"]: r["n"] for r in keyed.where("last = 0").groupBy("rank").agg(F.count("*").alias("n")).collect()}
     earlier = [F.least(F.lit(n), F.col("turn") - F.when(F.lit(other) < F.col("rank"), 0).otherwise(1)) for other, n in sizes.items()]
     placed = keyed.where("last = 0").select(*rows.columns, sum(earlier, F.lit(0)).cast("bigint").alias("position"))
-    rest = keyed.where("last = 1")
-    return placed.unionByName(rest.select(*rows.columns, (sum(sizes.values()) + F.row_number().over(Window.orderBy("tier", order)) - 1).cast("bigint").alias("position")))
+    rest = numbered(keyed.where("last = 1").select(*rows.columns), ["tier", order], "rest_")
+    return placed.unionByName(rest.select(*rows.columns, (F.lit(sum(sizes.values())) + F.col("rest_")).cast("bigint").alias("position")))
 
 
 def build_splits(problems: DataFrame, wanted: list[tuple[str, dict[str, int]]], seed: int = 0) -> DataFrame:

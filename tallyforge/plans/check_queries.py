@@ -35,9 +35,9 @@ def missing_units(spark, d):
     return c.units_present(e, e.where("(a + b) % 7 <> 0"), ["a", "b"], e.where("a % 2 = 0"))
 
 
-@query("never_results", "SELECT 'never_results' AS \"check\", 'FAIL' AS severity, 'loaded: ' || p_name AS message FROM part WHERE contains(p_name, '7') OR contains(p_name, 'zz')")
+@query("never_results", "SELECT 'never_results' AS \"check\", 'FAIL' AS severity, 'loaded: ' || p_name AS message FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'hot g')")
 def never_results(spark, d):
-    return c.paths_without(table(spark, d, "part"), ["7", "zz"], "p_name")
+    return c.paths_without(table(spark, d, "part"), ["ring", "hot g"], "p_name")
 
 
 @query("excluded_topmost", "WITH p AS (SELECT DISTINCT 'r/' || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/' || (p_partkey % 7) END AS path FROM part) SELECT path FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE starts_with(a.path, b.path || '/'))")
@@ -47,12 +47,11 @@ def excluded_topmost(spark, d):
     return c.topmost(table(spark, d, "part").select(path.alias("path")))
 
 
-@query("stored_metrics", f"WITH s AS ({V_SAMPLES}) SELECT 'stored_equals_recomputed' AS \"check\", 'FAIL' AS severity, problem_id::VARCHAR AS unit FROM s GROUP BY problem_id HAVING problem_id % 10 = 3")
+@query("stored_metrics", f"WITH s AS ({V_SAMPLES}), p AS (SELECT problem_id, avg(correct::INT) AS x FROM s GROUP BY problem_id) SELECT 'stored_equals_recomputed' AS \"check\", 'FAIL' AS severity, problem_id || ': ' || (x + 0.5) || ' is not ' || x AS message FROM p WHERE problem_id % 10 = 3")
 def stored_metrics(spark, d):
     now = m.per_problem(samples(spark, d)).select("problem_id", "score")
     stored = now.withColumn("score", F.col("score") + F.when(F.col("problem_id") % 10 == 3, 0.5).otherwise(0.0))
-    found = c.equal_values(stored, now, ["problem_id"], "score")
-    return found.select("check", "severity", F.split("message", ":")[0].alias("unit"))
+    return c.equal_values(stored, now, ["problem_id"], "score")
 
 
 @query("splits_disjoint", f"WITH b AS ({_splits_sql()}) SELECT 'splits_disjoint' AS \"check\", 'FAIL' AS severity, x.split || ' and ' || y.split || ' share ' || count(DISTINCT x.problem_id) || ' of problem_id' AS message FROM (SELECT * FROM b UNION ALL SELECT problem_id, 'extra', tier, structure_id FROM b WHERE split = 'val') x JOIN (SELECT * FROM b UNION ALL SELECT problem_id, 'extra', tier, structure_id FROM b WHERE split = 'val') y ON x.problem_id = y.problem_id AND x.split < y.split GROUP BY x.split, y.split")
@@ -61,24 +60,25 @@ def splits_disjoint(spark, d):
     return c.disjoint(b.union(b.where("split = 'val'").withColumn("split", F.lit("extra")).select(*b.columns)), "problem_id")
 
 
-@query("rate_limits", f"WITH s AS ({V_SAMPLES}), r AS (SELECT problem_id, avg(truncated::INT) AS rate FROM s GROUP BY 1) SELECT 'truncation' AS \"check\", 'note' AS severity, problem_id || ': rate ' AS message FROM r WHERE rate > 0.3 AND problem_id % 2 = 0")
+@query("rate_limits", f"WITH s AS ({V_SAMPLES}), r AS (SELECT problem_id, avg(truncated::INT) AS rate FROM s GROUP BY 1) SELECT 'truncation' AS \"check\", 'note' AS severity, problem_id || ': rate ' || round(rate, 4) AS message FROM r WHERE rate > 0.25 AND problem_id % 2 = 0")
 def rate_limits(spark, d):
     rates = m.per_problem(samples(spark, d)).select("problem_id", F.col("truncated_rate").alias("rate"))
-    found = c.rate_limits(rates, "problem_id", "rate", 0.3, "truncation", "note", excuse=F.col("problem_id") % 2 == 1)
-    return found.withColumn("message", F.regexp_replace("message", r"rate .*", "rate "))
+    return c.rate_limits(rates, "problem_id", "rate", 0.25, "truncation", "note", excuse=F.col("problem_id") % 2 == 1)
 
 
-@query("bernoulli_mean", "SELECT 'random_reward_mean' AS \"check\", 'FAIL' AS severity, l_linenumber::VARCHAR AS unit FROM lineitem GROUP BY l_linenumber HAVING NOT avg((l_discount > 0.05)::INT) BETWEEN 0.4 AND 0.6")
+@query("bernoulli_mean", "SELECT 'random_reward_mean' AS \"check\", 'FAIL' AS severity, k || ': ' || round(avg(x), 4) AS message FROM (SELECT l_linenumber AS k, (l_discount > CASE WHEN l_linenumber < 4 THEN 0.045 ELSE 0.025 END)::INT::DOUBLE AS x FROM lineitem) GROUP BY k HAVING NOT avg(x) BETWEEN 0.4 AND 0.6")
 def bernoulli_mean(spark, d):
-    rows = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_discount") > 0.05).cast("double").alias("reward"))
-    found = c.bernoulli_mean(rows, "l_linenumber")
-    return found.select("check", "severity", F.split("message", ":")[0].alias("unit"))
+    rows = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_discount") > F.when(F.col("l_linenumber") < 4, 0.045).otherwise(0.025)).cast("double").alias("reward"))
+    return c.bernoulli_mean(rows, "l_linenumber")
 
 
-@query("outputs_differ", f"WITH s AS ({V_SAMPLES}), j AS (SELECT (a.completion <> b.completion)::INT AS x FROM s a JOIN s b ON a.problem_id = b.problem_id AND a.sample_idx = b.sample_idx) SELECT 'outputs_differ' AS \"check\", 'FAIL' AS severity, 'share that differs: 0.0' AS message FROM j HAVING avg(x) < 0.1")
+@query("outputs_differ", f"WITH s AS ({V_SAMPLES}), j AS (SELECT arm, (problem_id % (CASE WHEN arm = 1 THEN 23 ELSE 2 END) = 0)::INT AS x FROM s) SELECT 'outputs_differ' AS \"check\", 'FAIL' AS severity, 'share that differs: ' || round(avg(x), 4) AS message FROM j GROUP BY arm HAVING avg(x) < 0.1")
 def outputs_differ(spark, d):
-    s = samples(spark, d).select("problem_id", "sample_idx", "completion")
-    return c.outputs_differ(s, s, ["problem_id", "sample_idx"])
+    """The adapter of arm 1 changes hardly any text, that of arm 0 half of them."""
+    s = samples(spark, d).select("arm", "problem_id", "sample_idx", "completion")
+    changed = s.withColumn("completion", F.when(F.col("problem_id") % F.when(F.col("arm") == 1, 23).otherwise(2) == 0, F.concat("completion", F.lit("!"))).otherwise(F.col("completion")))
+    found = [c.outputs_differ(s.where(F.col("arm") == arm), changed.where(F.col("arm") == arm), ["problem_id", "sample_idx"]) for arm in (0, 1)]
+    return found[0].unionByName(found[1])
 
 
 @query("required_fields", "SELECT 'required_fields' AS \"check\", 'FAIL' AS severity, c_custkey || ': balance' AS message FROM customer WHERE c_acctbal < 0")
