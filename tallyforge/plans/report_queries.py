@@ -1,12 +1,12 @@
 """Table diffs, sweeps, budgets, long and wide results, and streams."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics as m
 from tallyforge.operators import reports as p
+from tallyforge.sources.files import shared_folder
 from tallyforge.sources.adapters import V_SAMPLES, samples, table
 from tallyforge.streaming import logs
 
@@ -116,7 +116,7 @@ def curves_by_step(spark, d):
 
 
 def _reward_files(spark, d):
-    folder = tempfile.mkdtemp(prefix="tallyforge-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = samples(spark, d).select((F.col("sample_idx") % 20).cast("int").alias("step"), F.col("problem_id").cast("string").alias("problem_id"), F.col("correct").cast("double").alias("reward"), "correct", F.col("n_tokens").cast("int").alias("n_tokens"), "truncated")
     rows.write.mode("overwrite").json(folder)
     return folder

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder with all that is in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for intermediate data, which driver and executors share. Where it names none, a temporary one
+    on a single machine; on a cluster that is an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="tallyforge-")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """Records of a fixed schema; blank lines are skipped and malformed ones are an error. ``strict``: a field that the schema
     doesn't have is an error too (Spark's reader alone would ignore it)."""
