@@ -52,8 +52,12 @@ def _pick(names: list[str], number: Column) -> Column:
 
 def candidates(cells: DataFrame, attempts: int, config: PoolConfig = PoolConfig()) -> DataFrame:
     """``cells`` (scale, total_steps) times 0..attempts-1, each with an unchecked pipeline."""
+    return drawn(cells.crossJoin(cells.sparkSession.range(attempts).withColumnRenamed("id", "attempt")), config)
+
+
+def drawn(rows: DataFrame, config: PoolConfig = PoolConfig()) -> DataFrame:
+    """``rows`` (scale, total_steps, attempt), each with an unchecked pipeline."""
     draw = lambda *slot: hash_int(config.seed, F.col("scale"), F.col("total_steps"), F.col("attempt"), *slot)
-    rows = cells.crossJoin(cells.sparkSession.range(attempts).withColumnRenamed("id", "attempt"))
     low, high = (F.element_at(F.create_map(*[x for b in config.bands for x in (F.lit(b[0]), F.lit(b[k]))]), F.col("scale")).cast("bigint") for k in (1, 2))
     span = between(draw("span"), low, high)
     rows = rows.withColumn("span", span).withColumn("lo", between(draw("lo"), config.lo_min, F.lit(config.lo_min) + high - F.col("span"))).withColumn("hi", F.col("lo") + F.col("span"))
@@ -123,6 +127,21 @@ def pool(spark: SparkSession, n: int, config: PoolConfig = PoolConfig(), attempt
     return problems, account
 
 
+def pool_uniform(spark: SparkSession, n: int, config: PoolConfig = PoolConfig(), attempts: int | None = None) -> DataFrame:
+    """A pool without strata: each attempt is in a cell by its own hash, and the first ``n`` acceptable ones stay."""
+    names = [(b[0], s) for b in config.bands for s in range(config.steps[0], config.steps[1] + 1)]
+    cells = F.array(*[F.struct(F.lit(a).alias("scale"), F.lit(b).alias("total_steps")) for a, b in names])
+    attempts = attempts or max(64, 8 * n)
+    while True:
+        rows = spark.range(attempts).select(F.col("id").alias("attempt"), F.get(cells, F.pmod(hash_int(config.seed, F.lit("cell"), F.col("id")), F.lit(len(names))).cast("int")).alias("c"))
+        good = checked(drawn(rows.select("c.*", "attempt"), config), config.least_final).where("reason is null").orderBy("attempt").limit(n)
+        if good.count() == n:
+            return good.select("problem_id", "pipeline", F.col("answer").cast("bigint").alias("answer"), F.col("scale").alias("range_scale"), "total_steps", "attempt")
+        if attempts >= wanted_attempts(n):
+            raise RuntimeError(f"{attempts} attempts aren't enough for {n} problems")
+        attempts *= 2
+
+
 def summaries(problems: DataFrame) -> DataFrame:
     """Counts by scale, by steps and by final operation, in one pass."""
     named = problems.withColumn("op", F.col("pipeline.op.name"))
@@ -201,6 +220,11 @@ def prompt(text: Column, template: str = TEMPLATE) -> Column:
     return F.replace(F.lit(template), F.lit("{problem_text}"), text)
 
 
+def chat(text: Column, turns: str = "{user}", system: str = "") -> Column:
+    """A prompt in the turns of a chat model, given as text with {system} and {user}. The model's own template is its tokenizer's matter."""
+    return F.replace(F.replace(F.lit(turns), F.lit("{system}"), F.lit(system)), F.lit("{user}"), text)
+
+
 def val_candidates(pool_rows: DataFrame, n: int = 500, seed: int = 0, key: str = "problem_id", order: str = "pool_idx") -> DataFrame:
     """``n`` problems without replacement by hash, in the pool's order."""
     return pool_rows.orderBy(hash_int(seed, F.col(key)), key).limit(n).orderBy(order)

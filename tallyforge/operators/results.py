@@ -15,6 +15,18 @@ from .resample import intervals, ratio_interval
 from .units import MOST_TRUNCATED
 
 MISSING = "missing"
+#: Result metrics by name, with their split, decoding and k of pass@k.
+METRICS = {
+    "val_greedy": ("val_mixed_100", "greedy", None),
+    "test_greedy": ("test_300", "greedy", None),
+    "ood_greedy": ("ood_hard_200", "greedy", None),
+    "test_mean8": ("test_300", "mean_at_k", None),
+    "ood_mean8": ("ood_hard_200", "mean_at_k", None),
+    "test_pass8": ("test_300", "pass_at_k", 8),
+    "test_pass64": ("test_300", "pass_at_k", 64),
+    "gsm8k_greedy": ("gsm8k_500", "greedy", None),
+    "gsm8k_mean8": ("gsm8k_500", "mean_at_k", None),
+}
 
 
 @dataclass(frozen=True)
@@ -27,6 +39,31 @@ class Spec:
     single: bool = False
 
 
+#: The contrasts, and those that count only where their arms are there.
+CONTRASTS = (
+    Spec("H1_rft", "rft_mixed", "rft_easy"),
+    Spec("H1_grpo", "grpo_mixed", "grpo_easy"),
+    Spec("H2_num", "rft_curated", "rft_mixed"),
+    Spec("H2_den", "grpo_curated", "rft_mixed"),
+    Spec("H3", "grpo_curated", "rft_curated"),
+    Spec("C1", "c1_random_reward", "base", True),
+    Spec("C2", "c2_format_only", "base", True),
+    Spec("aux_grpo_curation", "grpo_curated", "grpo_mixed"),
+)
+SECONDARY = (Spec("S1_iter_vs_rft", "iter_rft_curated", "rft_curated"), Spec("S2_grpo_vs_iter", "grpo_curated", "iter_rft_curated"))
+
+
+def named_scores(problems: DataFrame, metrics: Mapping[str, tuple[str, str, int | None]] = METRICS) -> DataFrame:
+    """arm, seed, problem_id, tier, metric, score of the named metrics, from derived units with split and decoding."""
+    from tallyforge.functions.passk import pass_at_k
+
+    names = [
+        F.when((F.col("split") == split) & (F.col("decoding") == decoding), F.struct(F.lit(name).alias("metric"), (F.col("score") if k is None else pass_at_k("n", "c", k)).alias("score")))
+        for name, (split, decoding, k) in metrics.items()
+    ]
+    return problems.select("arm", "seed", "problem_id", "tier", F.explode(F.array_compact(F.array(*names))).alias("m")).select("arm", "seed", "problem_id", "tier", "m.*").where("score is not null")
+
+
 def active(specs: Sequence[Spec], secondary: Sequence[Spec], arms: Sequence[str]) -> list[Spec]:
     """All of ``specs``, and of the secondary ones those whose arms are there."""
     return [*specs, *(s for s in secondary if {s.a, s.b} <= set(arms))]
@@ -115,9 +152,7 @@ def ratios(scores: DataFrame, top: str, bottom: str, common: str, resamples: int
 def bound_contrasts(scores: DataFrame, specs: DataFrame) -> DataFrame:
     """Every contrast and metric in four scenarios: cut answers as scored, or all right in the first arm, the second, both. ``scores`` has
     truncated (share of each problem's answers); a cut answer that counts as right is an error."""
-    bad = scores.where("score + truncated > 1 + 1e-9")
     upper = F.when(F.col("score") + F.col("truncated") > 1 + 1e-9, F.raise_error(F.concat(F.lit("a cut answer counts as right: "), F.col("problem_id").cast("string"))).cast("double")).otherwise(F.col("score") + F.col("truncated"))
-    del bad
     low = _paired(scores, specs).groupBy("key", "metric", "seed").agg(F.avg("a").alias("a0"), F.avg("b").alias("b0"))
     high = _paired(scores.withColumn("score", upper), specs).groupBy("key", "metric", "seed").agg(F.avg("a").alias("a1"), F.avg("b").alias("b1"))
     scenarios = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), (F.col(a) - F.col(b)).alias("delta")) for n, a, b in (("as_scored", "a0", "b0"), ("a_up", "a1", "b0"), ("b_up", "a0", "b1"), ("both_up", "a1", "b1"))]))
@@ -225,3 +260,33 @@ def acceptance_report(checks: DataFrame) -> str:
     rows = checks.orderBy(F.col("severity") != "FAIL", "check", "message").collect()
     verdict = "not accepted" if any(r["severity"] == "FAIL" for r in rows) else "accepted"
     return _markdown(f"Run {verdict}", ["check", "severity", "message"], [[r["check"], r["severity"], r["message"]] for r in rows])
+
+
+def bounds_table(bounds: DataFrame) -> str:
+    """Contrasts in their four scenarios, and whether the sign is the same in all."""
+    names = ["as_scored", "a_up", "b_up", "both_up"]
+    wide = bounds.groupBy("key", "metric").pivot("scenario", names).agg(F.first("delta"))
+    same = (F.signum(F.greatest(*names)) == F.signum(F.least(*names))).alias("same")
+    rows = wide.select("key", "metric", *[number(F.col(n), signed=True).alias(n) for n in names], same).orderBy("key", "metric").collect()
+    return _markdown("Bounds", ["contrast", "metric", *names, "identified"], [[*map(str, r[:6]), "yes" if r["same"] else "no"] for r in rows])
+
+
+def packet(sections: Mapping[str, str]) -> str:
+    """Reports as numbered sections of one document, from 0."""
+    return "\n".join(f"# {k}. {title}\n\n{text.rstrip()}\n" for k, (title, text) in enumerate(sections.items()))
+
+
+def figure_frames(scores: DataFrame, cells: DataFrame, found: DataFrame, log: DataFrame, bounds: DataFrame, budgets: DataFrame, curve: DataFrame, lengths: DataFrame) -> dict[str, DataFrame]:
+    """The tables behind the figures: accuracy by arm, by tier, contrasts, training curves, pass@k, bounds, budgets, lengths."""
+    from .dynamics import trailing_mean
+
+    return {
+        "accuracy": cells.select("arm", "metric", "mean", "std", "low", "high"),
+        "tiers": scores.groupBy("arm", "tier", "metric").agg(F.avg("score").alias("mean")),
+        "contrasts": found.select("key", "metric", "delta", "low", "high"),
+        "training": trailing_mean(log, "step", "reward_mean", by=["arm", "seed"]),
+        "pass_at_k": curve,
+        "bounds": bounds,
+        "budgets": budgets.groupBy("arm").agg(F.sum("completions").alias("completions"), F.sum("tokens").alias("tokens")),
+        "lengths": lengths,
+    }

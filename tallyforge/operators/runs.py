@@ -174,3 +174,23 @@ def seed_table(units: DataFrame, metrics: list[str]) -> DataFrame:
 def ordered_ids(rows: DataFrame, key: str = "problem_id") -> DataFrame:
     """Positions in order of id within each unit."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("unit").orderBy(key)) - 1)
+
+
+def configured(plan: DataFrame, models: list[str] | None = None, n_problems: int | None = None) -> DataFrame:
+    """A plan's rows of some models and of the first problems of each split (by split_idx)."""
+    out = plan if models is None else plan.where(F.col("model").isin(*models))
+    return out if n_problems is None else out.where(F.col("split_idx") < n_problems)
+
+
+def keyed_samples(samples: DataFrame) -> DataFrame:
+    """Tiering answers by condition, problem and number; a repeated key is an error."""
+    keys = ["condition", "problem_id", "sample_idx"]
+    if bad := samples.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
+        raise ValueError(f"repeated answers: {[tuple(r)[:3] for r in bad]}")
+    return samples.select(*keys, *[c for c in samples.columns if c not in keys])
+
+
+def prompt_hashes(prompts: DataFrame, stored: DataFrame, key: str = "problem_id") -> DataFrame:
+    """Prompts whose digest isn't the stored one (key, sha256), or that have none."""
+    j = prompts.select(key, F.sha2(F.col("prompt").cast("binary"), 256).alias("now")).join(stored.select(key, F.col("sha256").alias("was")), key, "left")
+    return _rows(j.where("was is null"), "prompt_hash", _say(F.col(key), ": no stored hash")).unionByName(_rows(j.where("was <> now"), "prompt_hash", _say(F.col(key), ": another prompt")))

@@ -99,3 +99,31 @@ def test_reports(spark):
     assert results.acceptance_report(checks).splitlines()[0] == "## Run not accepted" and results.acceptance_report(checks.where("severity = 'note'")).startswith("## Run accepted")
     specs = [results.Spec("p", "a", "b")]
     assert [x.key for x in results.active(specs, [results.Spec("s", "a", "c"), results.Spec("t", "a", "b")], ["a", "b"])] == ["p", "t"]
+
+
+def test_named_metrics_and_frames(spark):
+    rows = [("a", 1, split, decoding, p, "easy", 8, c) for split, decoding, _ in results.METRICS.values() for p, c in ((1, 8), (2, 2))]
+    problems = spark.createDataFrame(rows, "arm string, seed int, split string, decoding string, problem_id long, tier string, n int, c int").distinct().withColumn("score", F.col("c") / F.col("n"))
+    got = {(r["metric"], r["problem_id"]): r["score"] for r in results.named_scores(problems).collect()}
+    assert {m for m, _ in got} == set(results.METRICS) - {"test_pass64"} and got["test_pass8", 2] == 1.0 and got["test_greedy", 2] == 0.25
+    assert [x.key for x in results.active(results.CONTRASTS, results.SECONDARY, ["rft_curated"])] == [x.key for x in results.CONTRASTS]
+    bounds = spark.createDataFrame([("k", "m", s, d) for s, d in (("as_scored", 0.1), ("a_up", 0.2), ("b_up", -0.1), ("both_up", 0.1))], "key string, metric string, scenario string, delta double")
+    assert results.bounds_table(bounds).splitlines()[-1] == "| k | m | +0.100 | +0.200 | -0.100 | +0.100 | no |"
+    assert results.packet({"A": "x\n", "B": "y"}) == "# 0. A\n\nx\n\n# 1. B\n\ny\n"
+
+
+def test_small_pieces(spark):
+    from tallyforge.operators import generate, runs
+
+    plan = spark.createDataFrame([(m, i) for m in "xyz" for i in range(5)], "model string, split_idx int")
+    assert runs.configured(plan, ["x", "y"], 2).count() == 4 and runs.configured(plan).count() == 15
+    samples = spark.createDataFrame([("c", 1, 0, "t"), ("c", 1, 1, "t")], "condition string, problem_id long, sample_idx int, completion string")
+    assert runs.keyed_samples(samples).columns[:3] == ["condition", "problem_id", "sample_idx"]
+    with pytest.raises(ValueError, match="repeated"):
+        runs.keyed_samples(samples.union(samples))
+    prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "problem_id long, prompt string")
+    stored = prompts.where("problem_id < 3").select("problem_id", F.sha2(F.when(F.col("problem_id") == 2, "x").otherwise(F.col("prompt")).cast("binary"), 256).alias("sha256"))
+    assert sorted(r["message"] for r in runs.prompt_hashes(prompts, stored).collect()) == ["2: another prompt", "3: no stored hash"]
+    assert spark.range(1).select(generate.chat(F.lit("hi"), "<s>{system}</s><u>{user}</u>", "be brief").alias("c")).first()["c"] == "<s>be brief</s><u>hi</u>"
+    pool = generate.pool_uniform(spark, 40).collect()
+    assert len({r["problem_id"] for r in pool}) == 40 and {r["total_steps"] for r in pool} <= {2, 3, 4, 5} and len({(r["range_scale"], r["total_steps"]) for r in pool}) >= 4
