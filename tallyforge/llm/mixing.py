@@ -4,60 +4,95 @@ Each source's documents, in the order of a hash of their ids, are cut into block
 weights that sum to 1) is due one block in each 1/w slots: its j-th block is released at floor((j-1)/w) and must be done by
 ceil(j/w). Of the released blocks, the one of the earliest deadline gets the slot. So at every slot each source has had its
 weight's share to within less than one block. Where a source runs dry, the others' weights are scaled up and their times
-start anew from that slot; no document is left out or repeated.
+start anew from that slot (a phase); no document is left out or repeated.
+
+Weights are whole numbers, so after as many slots as they sum to, each source has had its weight's number of blocks and a
+phase's schedule starts over. Only one such period of each phase is scheduled; a block's slot follows from its period and its
+number within it, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of a block; with more text than MOST_BLOCKS such blocks, blocks are larger.
-BLOCK_CHARS, MOST_BLOCKS = 1 << 16, 1 << 18
+#: Characters of a block.
+BLOCK_CHARS = 1 << 16
 #: Without given weights, a source's weight is its characters to this power.
 FLATTEN = 0.5
 #: Documents of a bucket within which running sums are taken.
 BUCKET_DOCS = 256
 #: Up to so many sources their sizes (some 50 bytes each) are broadcast; beyond, they are joined in SALTS parts each.
 BROADCAST_SOURCES, SALTS = 100_000, 64
-SHARES = 1_000_000
+#: What weights sum to, but that each is 1 at least: the slots of a period.
+SHARES = 1 << 16
+
+
+def period(weights: list[int], most: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) for each slot of a period of whole weights above 0. Deadlines are slots that the block
+    comes before; release <= slot < deadline. Ties go to the earlier source. ``most``: ends once a source has had so many blocks."""
+    total = sum(weights)
+    waiting = [(0, i, 0) for i in range(len(weights))]  # release, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    out = []
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        out.append((i, k, release, deadline))
+        if k + 1 < weights[i]:
+            heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
+        if most and k + 1 == most[i]:
+            break
+    return out
+
+
+@dataclass
+class Phase:
+    """From ``start`` on, ``length`` slots in which ``sources`` have the period ``slots``, again and again; ``first``: the number of
+    each one's first block."""
+
+    start: int
+    length: int
+    sources: list[int]
+    weights: list[int]
+    first: list[int]
+    slots: list[tuple[int, int, int, int]]
+
+
+def phases(blocks: list[int], weights: list[int]) -> list[Phase]:
+    """The phases of sources with so many blocks and whole weights above 0."""
+    out, left, start = [], list(blocks), 0
+    while active := [i for i, n in enumerate(left) if n]:
+        w = [weights[i] for i in active]
+        whole = min((left[i] - 1) // weights[i] for i in active)  # periods after which all have a block left
+        slots = period(w, None if whole else [left[i] for i in active])
+        dry = next(t for t, (i, k, *_) in enumerate(slots) if whole * w[i] + k + 1 == left[active[i]])
+        out.append(Phase(start, whole * sum(w) + dry + 1, active, w, [blocks[i] - left[i] for i in active], slots))
+        for i, n in enumerate(w):
+            left[active[i]] -= whole * n
+        for i, *_ in slots[: dry + 1]:
+            left[active[i]] -= 1
+        start += out[-1].length
+    return out
 
 
 def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, int, int, int]]:
-    """(source, block, slot, release, deadline, phase) for sources with so many blocks and whole weights above 0.
-
-    Deadlines are slots that the block comes before; release <= slot < deadline. Ties go to the earlier source."""
-    out, done, slot, phase = [], [0] * len(blocks), 0, 0
-    active = [i for i, n in enumerate(blocks) if n]
-    while active:
-        total, start = sum(weights[i] for i in active), slot
-        first = dict.fromkeys(active, 0)
-        times = lambda i: (first[i] * total // weights[i], -(-(first[i] + 1) * total // weights[i]))
-        waiting = [(0, i) for i in active]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, int, int]] = []
-        dry = None
-        while dry is None:
-            while waiting and waiting[0][0] <= slot - start:
-                _, i = heapq.heappop(waiting)
-                release, deadline = times(i)
-                heapq.heappush(ready, (deadline, i, release))
-            deadline, i, release = heapq.heappop(ready)
-            out.append((i, done[i], slot, start + release, start + deadline, phase))
-            done[i] += 1
-            first[i] += 1
-            slot += 1
-            if done[i] == blocks[i]:
-                dry = i
-            else:
-                heapq.heappush(waiting, (times(i)[0], i))
-        active.remove(dry)
-        phase += 1
+    """(source, block, slot, release, deadline, phase) of all blocks, written out."""
+    out = []
+    for number, p in enumerate(phases(blocks, weights)):
+        for t in range(p.length):
+            turn, (i, k, release, deadline) = t // sum(p.weights), p.slots[t % sum(p.weights)]
+            begin = p.start + turn * sum(p.weights)
+            out.append((p.sources[i], p.first[i] + turn * p.weights[i] + k, p.start + t, begin + release, begin + deadline, number))
     return out
 
 
@@ -86,26 +121,40 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str =
     ``weights``: target weights by source (default: the square root of a source's text). Sources without a positive weight come
     after the others, mixed by size. Null is a source of its own. A null or empty text counts as one character. A document
     longer than a block stands in the block where it begins. Repeated rows are placed each. No rows: none.
-    The driver holds a row for each source and, in the schedule, for each block (MOST_BLOCKS, and one for each source)."""
+    A key that is no number fails, or is null where the session's ANSI mode is off. Documents are in the order of a hash of their
+    ids; those without one in that of their texts. The driver holds a row for each source, and for each phase (there are as many as
+    sources) a period of SHARES slots, or the phase's if it has fewer."""
+    placed = _placed(docs, weights, key, text, source)
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "block", "slot", "place", "release", "deadline", "phase")
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, key: str, text: str, source: str) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)).cast("long").alias("chars"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)).cast("long").alias("chars"), F.xxhash64(text).alias("tag"))
     rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # null is a source too
     found = sorted(rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect())
     names, counts, sizes = ([r[c] for r in found] for c in ("s", "n", "chars"))
-    block = max(BLOCK_CHARS, -(-sum(sizes) // MOST_BLOCKS))
-    blocks = [max(1, -(-n // block)) for n in sizes]
-    plan, offset, phases = [], 0, 0
+    blocks = [-(-n // BLOCK_CHARS) for n in sizes]
+    plan: list[tuple[int, Phase]] = []
+    slot = 0
     for turn in _shares(sizes, [n[1:] if n else None for n in names], weights):
-        made = schedule([b if w else 0 for b, w in zip(blocks, turn, strict=True)], turn)
-        plan += [(names[i], b, t + offset, r + offset, d + offset, p + phases) for i, b, t, r, d, p in made]
-        offset, phases = len(plan), phases + (made[-1][5] + 1 if made else 0)
-    slots = pd.DataFrame(plan, columns=["s", "block", "slot", "release", "deadline", "phase"])
-    slots = spark.createDataFrame(slots.astype({"s": str}), "s string, block long, slot long, release long, deadline long, phase int")
+        made = phases([b if w else 0 for b, w in zip(blocks, turn, strict=True)], turn)
+        plan += [(slot, p) for p in made]
+        slot += sum(p.length for p in made)
+    # of each source, where its blocks of each phase begin, and that phase's weight, number of slots and first slot
+    parts: list[list[tuple[int, int, int, int, int]]] = [[] for _ in names]
+    periods = []
+    for number, (offset, p) in enumerate(plan):
+        for i, w, first in zip(p.sources, p.weights, p.first, strict=True):
+            parts[i].append((first, number, w, sum(p.weights), offset + p.start))
+        periods += [(names[p.sources[i]], number, k, t, release, deadline) for t, (i, k, release, deadline) in enumerate(p.slots)]
+    slots = pd.DataFrame(periods, columns=["s", "phase", "within", "t", "release", "deadline"])
+    slots = spark.createDataFrame(slots.astype({"s": str}), "s string, phase int, within long, t long, release long, deadline long")
 
     buckets = [max(1, -(-n // BUCKET_DOCS)) for n in counts]
-    about = pd.DataFrame({"s": names, "buckets": buckets, "span": [max(1, round(b**0.5)) for b in buckets], "total": sizes, "blocks": blocks})
-    about = spark.createDataFrame(about.astype({"s": str}), "s string, buckets long, span long, total long, blocks long")
-    spot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    about = pd.DataFrame({"s": names, "buckets": buckets, "span": [max(1, round(b**0.5)) for b in buckets], "total": sizes, "blocks": blocks, "parts": parts})
+    about = spark.createDataFrame(about.astype({"s": str}), "s string, buckets long, span long, total long, blocks long, parts array<struct<first: long, phase: int, weight: long, slots: long, start: long>>")
+    spot = F.pmod(F.when(F.col("key").isNull(), F.col("tag")).otherwise(F.xxhash64("key")), F.lit(1 << 40))
     rows = _with_sizes(rows, about, len(names)).withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / (1 << 40) * F.col("buckets")))
     # text before a bucket: that of the spans before its span, and of the buckets before it there
     sums = rows.groupBy("s", "span", "bucket").agg(F.sum("chars").alias("chars")).withColumn("group", F.floor(F.col("bucket") / F.col("span")))
@@ -114,21 +163,27 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str =
     grouped = grouped.select("s", "group", F.coalesce(F.sum("chars").over(Window.partitionBy("s").orderBy("group").rowsBetween(*up_to)), F.lit(0)).alias("before"))
     sums = sums.withColumn("within", F.coalesce(F.sum("chars").over(Window.partitionBy("s", "group").orderBy("bucket").rowsBetween(*up_to)), F.lit(0)))
     starts = sums.join(grouped, ["s", "group"]).select("s", "bucket", (F.col("before") + F.col("within")).alias("before"))
-    own = Window.partitionBy("s", "bucket").orderBy("spot", "key", "chars")
+    own = Window.partitionBy("s", "bucket").orderBy("spot", "key", "chars", "tag")
     placed = rows.join(starts, ["s", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("chars").over(own.rowsBetween(*up_to)), F.lit(0)))
-    # exact: at * blocks stays below 2**63 up to 10**13 characters of a source in 10**5 blocks
-    number = F.floor(F.col("at").cast("decimal(38,0)") * F.col("blocks") / F.col("total")).cast("long")
+    number = F.expr("cast(at as decimal(38, 0)) * blocks div total")
     placed = placed.withColumn("block", F.least(number, F.col("blocks") - 1))
-    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("s", "block").orderBy("at", "spot", "key")) - 1)
-    joined = placed.join(slots, ["s", "block"])
-    return joined.select(F.col("key").alias(key), F.col("source").alias(source), "block", "slot", "place", "release", "deadline", "phase")
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("s", "block").orderBy("at", "spot", "key", "tag")) - 1)
+    # the phase is the last one that begins at the block or before
+    placed = placed.withColumn("part", F.element_at(F.filter("parts", lambda p: p["first"] <= F.col("block")), -1)).drop("parts")
+    placed = placed.select("*", "part.phase", F.expr("block - part.first").alias("since")).select(
+        "*", F.expr("since % part.weight").alias("within"), F.expr("part.start + (since div part.weight) * part.slots").alias("begin")
+    )
+    joined = placed.join(slots, ["s", "phase", "within"])
+    times = [(F.col("begin") + F.col(c)).alias(name) for c, name in (("t", "slot"), ("release", "release"), ("deadline", "deadline"))]
+    return joined.select("key", "tag", "source", "block", "place", *times, "phase")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """``docs`` in the mixed order: its rows, all columns, in partitions that follow one another and are sorted. Rows of a repeated
-    id stand together, at the first of their places."""
-    order = mix(docs, weights).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("o")).select(F.col("doc_id").alias("order_id"), F.col("o.slot").alias("order_slot"), F.col("o.place").alias("order_place"))
-    joined = docs.join(order, docs["doc_id"].eqNullSafe(order["order_id"]))
+    id and text stand together, at the first of their places."""
+    first = _placed(docs, weights, "doc_id", "text", "source").groupBy("key", "tag").agg(F.min(F.struct("slot", "place")).alias("o"))
+    order = first.select(F.col("key").alias("order_id"), F.col("tag").alias("order_tag"), F.col("o.slot").alias("order_slot"), F.col("o.place").alias("order_place"))
+    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["order_id"]) & (F.xxhash64(docs["text"]) == order["order_tag"]))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return joined.repartitionByRange(spread, "order_slot", "order_place").sortWithinPartitions("order_slot", "order_place").select(*[docs[c] for c in docs.columns])
 
