@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.files import shared_folder
+
 #: Stands for a null id inside packed arrays; sorts before every real id.
 NULL_ID = -(2**63)
 
@@ -23,10 +24,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder all executors share and read it from there, so a lost executor costs no
-    recomputation. The folder is the session's; a local one is made only where the session names none (tests)."""
+    recomputation. The folder is the session's (``spark.cleaner.referenceTracking.cleanCheckpoints`` has Spark remove what isn't needed)."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -46,36 +47,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def split_words(text: str | None) -> list[bytes]:
-    r"""Words ``[^\x20\x09-\x0D]+`` as UTF-8; bytes.split() splits on exactly these six ASCII characters."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def give_back() -> None:
+    """Freed memory of a Python worker goes back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
 
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-class WordHasher:
-    """64-bit hashes of words, remembered for up to ``most`` distinct words in a Python worker."""
 
-    def __init__(self, most: int = 200_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+def released(run):
+    """``run``, an iterator over a task's batches, after whose end the worker gives its memory back."""
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-        known, new = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        add = out.append
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = new(w)
-            add(h)
-        return np.array(out, dtype=np.uint64)
+    return wrapped
 
 
 #: Bytes (or symbols) whose prefix sums are taken at a time.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Odd multipliers of two independent polynomial hashes.
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _WHITE = np.zeros(256, bool)
@@ -137,36 +138,3 @@ class Words:
 
     def hashes(self, multiplier: int = FIRST) -> np.ndarray:
         return run_hashes(self.data, self.begins, self.ends, multiplier)
-
-
-def shingle_hashes(word_hash: np.ndarray, width: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of every run of ``width`` words, from the words' hashes; empty if there are fewer words."""
-    n = len(word_hash) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    m = np.uint64(multiplier)
-    h = word_hash[:n].copy()
-    for k in range(1, width):
-        h *= m
-        h += word_hash[k : k + n]
-    return mix64(h)
-
-
-def balanced_keys(spark: SparkSession, partitions: int, each: int = 1) -> list[int]:
-    """Integers of which hash partitioning deals exactly ``each`` to every one of ``partitions`` partitions."""
-    found: list[list[int]] = [[] for _ in range(partitions)]
-    missing, start, size = partitions, 0, max(64, 16 * partitions * each)
-    while missing:
-        ids = spark.range(start, start + size, 1, 1).select(F.col("id").cast("int").alias("k"))
-        for k, p in ids.select("k", F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).collect():
-            if len(found[p]) < each:
-                found[p].append(k)
-                missing -= len(found[p]) == each
-        start += size
-    return [k for i in range(each) for k in (f[i] for f in found)]
-
-
-def dealt(keys: list[int], by) -> "F.Column":
-    """The key of ``keys`` that a row goes to by the hash of ``by`` columns."""
-    table = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<int>")
-    return F.get(table, F.pmod(F.xxhash64(*by), F.lit(len(keys))).cast("int"))

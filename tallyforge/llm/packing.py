@@ -19,15 +19,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, cut, run_hashes, shuffle_partitions
+from .common import FIRST, SECOND, cut, released, run_hashes, shuffle_partitions
 
 ROOM = 2048
 END_ID = 0
 #: Bits of a row's number within its partition.
 PART = 44
 VOCABULARY = "word_bpe_49k.json"
-#: Most distinct parts of words that a Python worker remembers, and characters that it takes at a time.
-KEPT, CHARS = 1 << 19, 1_000_000
+#: Most distinct parts of words that a task remembers, and characters that it takes at a time.
+KEPT, CHARS = 1 << 18, 500_000
 #: Characters: white space to the tokenizer (U+001C to U+001F aren't), letters of a head, marks of a tail (no apostrophe).
 _WHITE, _MARK, _OTHER = 0, 1, 2
 _TABLE = np.full((1 << 16) + 1, _OTHER, np.uint8)
@@ -200,12 +200,6 @@ class WordTokenizer:
         return ids, np.concatenate([[0], stops])[2 * first + np.arange(len(first))]
 
 
-@lru_cache(maxsize=1)
-def worker_tokenizer(path: str) -> WordTokenizer:
-    """A Python worker's tokenizer: what it has learned serves the worker's later tasks."""
-    return WordTokenizer(path)
-
-
 def tokenizer_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -228,7 +222,7 @@ def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, wi
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", place long" * in_order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_tokenizer(path or tokenizer_path())
+        tokenizer = WordTokenizer(path or tokenizer_path())
         for batch in batches:
             at, texts = 0, batch.column("text").to_pylist()
             while at < len(texts):  # texts of some megabytes at a time
@@ -255,7 +249,7 @@ def pieces(docs: DataFrame, key: str, text: str, room: int, path: str | None, wi
                 at = end
 
     own = [written_order(docs).alias("place")] if in_order else []
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *own).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *own).mapInArrow(released(run), schema)
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
