@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import html_extract, jaccard_join, langid, media_jpeg, mixing, packing, quality_gam, sql, substring_dedup, topk, url_filter
 from .common import table
 
@@ -18,7 +16,6 @@ QUERIES = {
     "op8_topk": lambda spark, d: topk.search_report(table(spark, d, "embeddings")),
     "op9_html_extract": lambda spark, d: html_extract.extraction_report(table(spark, d, "pages")),
     "op10_langid": lambda spark, d: langid.language_report(table(spark, d, "documents")),
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = sql.ORACLES
