@@ -105,6 +105,28 @@ def test_jpeg_with_colour_and_ac_coefficients():
     assert thumb.tolist() == [[134, 130], [124, 128]]
 
 
+def test_features_by_hand(spark):
+    """Thumbnail hashes from the payload's bytes, cell by cell in plain Python."""
+    rng = np.random.default_rng(3)
+    texts = ["", "short", "".join(map(chr, rng.integers(32, 127, 700))), "".join(map(chr, rng.integers(32, 127, 40_000))), "a" * 200_000 + "b" * 150_000]
+    out = {r["doc_id"]: r for r in media_jpeg.media_report(docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        payload = media_jpeg.padded(t.encode())
+        wide, high = out[k]["width"] // 8, out[k]["height"] // 8
+        assert wide * high == len(payload)
+        rows = [list(payload[y * wide : (y + 1) * wide]) for y in range(high)]
+        if high < 8 or wide < 9:
+            ty, tx = -(-8 // high), -(-9 // wide)
+            rows = [[v for v in row for _ in range(tx)] for row in rows for _ in range(ty)]
+        h, w = len(rows), len(rows[0])
+        ys, xs = [y * h // 8 for y in range(8)] + [h], [x * w // 9 for x in range(9)] + [w]
+        cells = [[sum(sum(r[xs[x] : xs[x + 1]]) for r in rows[ys[y] : ys[y + 1]]) / ((ys[y + 1] - ys[y]) * (xs[x + 1] - xs[x])) for x in range(9)] for y in range(8)]
+        mean = sum(map(sum, cells)) / 72
+        bits = lambda b: int("".join("01"[x] for x in b), 2).to_bytes(len(b) // 8, "big").hex()
+        want = bits([c > mean for row in cells for c in row]), bits([row[x + 1] > row[x] for row in cells for x in range(8)])
+        assert out[k]["feature"] == f"{out[k]['width']}x{out[k]['height']}:{want[0]}:{want[1]}"
+
+
 # -- 2: quality
 
 
@@ -122,6 +144,27 @@ def test_quality(spark, odd):
     assert quality_gam.quality_report(odd, one).count() == 10 and quality_gam.quality_report(odd.where("false"), one).count() == 0
 
 
+def test_scores_are_plain_sums_of_trees(spark, monkeypatch):
+    """Every tree of the fit is kept; a document's score is the sum of its leaves over all trees, one at a time."""
+    singles, pairs, fitted = [], [], []
+    tree, pair_tree, fit = quality_gam._tree, quality_gam._pair_tree, quality_gam.fit
+    monkeypatch.setattr(quality_gam, "_tree", lambda *a: singles.append(tree(*a)) or singles[-1])
+    monkeypatch.setattr(quality_gam, "_pair_tree", lambda *a: pairs.append(pair_tree(*a)) or pairs[-1])
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: fitted.append(fit(x, y)) or fitted[-1])
+    out = {r["doc_id"]: r for r in queries.QUERIES["op2_quality_gam"](spark, D).collect()}
+    (model,) = fitted
+    n = len(quality_gam.FEATURES)
+    assert len(singles) == n * quality_gam.ROUNDS
+    later = [p[1] for p in pairs[n * (n - 1) // 2 :]]  # those before only rank the pairs
+    for r in real(spark).collect()[::7]:
+        x = quality_gam.describe(r["text"])
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        coarse = [b * quality_gam.PAIR_BINS // (len(e) + 1) for b, e in zip(bins, model.edges, strict=True)]
+        raw = model.intercept + sum(quality_gam.RATE * t[bins[k % n]] for k, t in enumerate(singles))
+        raw += sum(quality_gam.RATE * t[coarse[i], coarse[j]] for k, t in enumerate(later) for i, j in [model.pairs[k % len(model.pairs)]])
+        assert abs(out[r["doc_id"]]["score"] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
 def test_pair_terms_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 3))
@@ -144,6 +187,39 @@ def test_schedule_stays_within_a_block(case):
     assert mixing.deviation(plan, weights) < 1
 
 
+def test_periods_repeat(monkeypatch):
+    """The schedule written out from periods is that of blocks taken one by one."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(1, 6))
+        blocks, weights = [int(x) for x in rng.integers(0, 90, n)], [int(x) for x in rng.integers(1, 8, n)]
+        want, left, start, phase = [], list(blocks), 0, 0
+        while active := [i for i in range(n) if left[i]]:
+            total, had, t = sum(weights[i] for i in active), dict.fromkeys(active, 0), 0
+            while all(left[i] for i in active):
+                free = [i for i in active if had[i] * total // weights[i] <= t]
+                i = min(free, key=lambda i: (-(-(had[i] + 1) * total // weights[i]), i))
+                want.append((i, blocks[i] - left[i], start + t, start + had[i] * total // weights[i], start - (-(had[i] + 1) * total // weights[i]), phase))
+                had[i] += 1
+                left[i] -= 1
+                t += 1
+            start, phase = start + t, phase + 1
+        assert mixing.schedule(blocks, weights) == want
+
+
+def test_mix_of_many_periods_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 16)
+    monkeypatch.setattr(mixing, "SHARES", 8)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 4)
+    rows = [(None if i % 3 == 0 else 2**53 + 2 * i + 1, f"text {i} " + "x" * (i % 7), "en", "abc"[i % 3] if i % 11 else None) for i in range(500)]
+    df = docs(spark, rows)
+    out = mixing.mix(df).toPandas()
+    assert len(out) == 500 and (out.release <= out.slot).all() and (out.slot < out.deadline).all() and out.phase.max() > 0
+    assert sorted(r["doc_id"] for r in mixing.mix(df).where("doc_id is not null").collect()) == sorted(i for i, *_ in rows if i is not None)
+    assert not out[["slot", "place"]].duplicated().any()
+    assert sorted(map(str, mixing.mixed(df).collect())) == sorted(map(str, df.collect()))
+
+
 def test_mix_places_every_row(spark, odd):
     out = mixing.mix(odd).collect()
     assert len(out) == 10 and all(r["release"] <= r["slot"] < r["deadline"] for r in out)
@@ -293,9 +369,70 @@ def test_join_with_an_empty_block(spark, monkeypatch):
     assert all(r["n_links"] == r["n_linked_docs"] == 1 + r["doc_id"] // 10 % 2 for r in out) and len(out) == 100
 
 
+def template_pages(n, rng):
+    """Texts that share 100 of their 210 words: no two alike enough, but many in one bucket."""
+    shared = " ".join(f"t{k}" for k in range(100))
+    return [shared + " " + " ".join(f"o{x}" for x in rng.integers(0, 10**6, 110)) for _ in range(n)]
+
+
+def test_join_of_templates_verifies_no_component(spark, monkeypatch):
+    verified = []
+    plain = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda rows, t: verified.append(rows.select("node").distinct().count()) or plain(rows, t))
+    rng = np.random.default_rng(3)
+    rows = list(enumerate(template_pages(600, rng)))
+    words = rows[5][1].split()
+    rows += [(1000 + v, " ".join([*words[:60], f"v{v}", *words[60:]])) for v in range(4)]
+    out = jaccard_join.join(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out if r["n_links"]} == dict.fromkeys([5, 1000, 1001, 1002, 1003], 4)
+    assert verified[0] == 5
+
+
+def test_clusters_miss_no_pair():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        n, least = int(rng.integers(2, 40)), 12
+        base = rng.integers(0, 256, (4, 16), dtype=np.uint8)
+        x = base[rng.integers(0, 4, n)]
+        x = np.where(rng.random(x.shape) < rng.choice([0.05, 0.15, 0.3]), rng.integers(0, 256, x.shape), x).astype(np.uint8)
+        pairs = (x[:, None] == x[None]).sum(2) >= least
+        label = np.arange(n)
+        while True:
+            new = np.where(pairs, label[None], n).min(1)
+            if (new == label).all():
+                break
+            label = new
+        got = jaccard_join.hang_together(x, least)
+        assert np.array_equal(got, label)
+
+
+def test_join_in_small_blocks_agrees(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.integers(0, 80, int(rng.integers(0, 3))):
+            w[k] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    df = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    want = sorted(map(tuple, jaccard_join.join(df).collect()))
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(t, i)
+    brute = brute_links([(i, t) for t, i in by_text.items()])
+    assert all(r[2] == brute[r[1]] for r in want)
+    for name, value in (("BUCKET_DOCS", 16), ("BLOCK_DOCS", 32), ("FEW", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert sorted(map(tuple, jaccard_join.join(df).collect())) == want
+
+
 def test_bands_reach_their_recall():
     b, r = jaccard_join.choose_bands()
     assert 1 - (1 - 0.8**r) ** b >= jaccard_join.RECALL and 1 - (1 - 0.3**r) ** b <= 0.2
+    k = jaccard_join.least_agreement(b * r)
+    draws = np.random.default_rng(0).binomial(b * r, 0.8, 1_000_000)
+    assert 40 <= k <= 50 and (draws < k).mean() <= 3e-5
 
 
 def test_components(spark):
@@ -323,6 +460,8 @@ def test_packing(spark, odd):
     s = out.sort_values(["sequence_id", "offset"])
     assert (s.offset == s.groupby("sequence_id").length.cumsum() - s.length).all() and s.groupby("sequence_id").length.sum().max() <= 2048
     assert packing.pack(odd.where("false")).count() == 0
+    twice = packing.sequences(odd.where("doc_id = 5")).collect()
+    assert sum(len(r["ids"]) for r in twice) == 2 * out[out.doc_id == 4].length.sum() and sum(len(r["docs"]) for r in twice) == 2 * (out.doc_id == 4).sum()
     whole = packing.sequences(odd.where("doc_id in (1, 2, 9)")).collect()
     assert len(whole) == 1 and len(whole[0]["ids"]) == sum(len(t.encode(rows[i] or "", add_special_tokens=False).ids) + 1 for i in (1, 2, 9))
 
@@ -337,8 +476,8 @@ def test_words_give_the_tokenizers_ids():
     parts = ["a", "Bc", "é", "İ", "Σ", "\u0301", "\u00a0", " ", "\n", "'s", "1", "中", "😀", "!!", "#", "<|endoftext|>", "ﬁ", "\x85", "\u2028", "\x00"]
     random.seed(2)
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)]
-    mine = packing.WordTokenizer(packing.tokenizer_path())(texts)
-    assert [x.tolist() for x in mine] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, cuts = packing.WordTokenizer(packing.tokenizer_path(), 500)(texts)  # the table of parts has to grow
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
 def test_separators_that_are_no_white_space_get_ids():
@@ -347,8 +486,8 @@ def test_separators_that_are_no_white_space_get_ids():
     t = Tokenizer.from_file(packing.tokenizer_path())
     texts = ["a\x1cb", "\x1d", "a \x1e b\x1f", "x\x1c\x1dY\x85z\u2003w\u3000v", "\x1f\u0301 '\x1cs", "plain words"]
     texts += ["\x1ca" + chr(c) + "b" for c in [*range(0x3100), 0xFEFF] if not 0xD800 <= c < 0xE000]
-    mine = packing.WordTokenizer(packing.tokenizer_path())(texts)
-    assert [x.tolist() for x in mine] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, cuts = packing.WordTokenizer(packing.tokenizer_path(), 500)(texts)  # the table of parts has to grow
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
 
 
 def test_plan_fills_tightly():
@@ -386,6 +525,20 @@ def test_url_filter(spark):
     assert set(empty["weights"]) == {0.0}
 
 
+def test_url_filter_on_held_out_rows(spark):
+    """Each fifth of the labelled table is judged by a model of the rest."""
+    right, rows = 0, list(url_filter.LABELLED)
+    for fold in range(5):
+        weights = url_filter.fit(url_filter.labelled(spark, [r for k, r in enumerate(rows) if k % 5 != fold]))
+        held = spark.createDataFrame([(k, f"http://{h}{p}", y) for k, (h, p, y) in enumerate(rows) if k % 5 == fold], "page_id long, url string, y int")
+        right += url_filter.judge(held, weights, rules=()).where("(verdict = 'block') = (y = 1)").count()
+    assert right / len(rows) >= 0.85
+    words = ["carpet", "ferry", "juniper", "marble", "quilts", "saddle", "tulips", "walnut"]
+    unseen = spark.createDataFrame([(k, f"https://{w}.example.org/en/{k}") for k, w in enumerate(words)] + [(100 + k, f"https://{w}.example.com/de/{k}") for k, w in enumerate(["best-casino", "pills-online", "adult-cams", "sports-bets-24"])], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(unseen, url_filter.fit(url_filter.labelled(spark)), rules=()).collect()}
+    assert [out[k] for k in range(8)].count("allow") >= 7 and [out[100 + k] for k in range(4)].count("block") >= 3
+
+
 # -- 8: top-k
 
 
@@ -407,6 +560,16 @@ def test_search_odd_rows(spark):
     assert topk.search_report(df.where("false")).count() == 0
 
 
+def test_search_with_huge_components(spark):
+    rows = [(20, [3e30, 1.0]), (1, [2e30, 1.0]), (2, [0.0, 1.0]), (3, [-2e30, 5.0]), (4, [1e15, 1.0]), (40, [1e10, 1e10]), (5, [3e9, -3e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search_report(df).collect()}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    ints = {i: [clip(int(np.floor(64 * c))) for c in v] for i, v in rows}
+    assert got == {(q, i): clip(sum(a * b for a, b in zip(ints[q], ints[i], strict=True))) for q in (20, 40) for i in ints if i != q}
+    assert got[20, 2] == 4096
+
+
 def test_search_with_ties_and_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "CHUNK", 8)
@@ -468,6 +631,54 @@ def test_extraction_keeps_the_whole_article(spark):
         assert r["text"] == f"Title\n\nlead\n\n{clean}\n\nend", r["url"]
 
 
+def test_extraction_of_odd_markup(spark):
+    long = "Running text that goes on and on. " * 20
+    pages = [
+        (f"<article><p>{long}</p><p><a title=don't>He's here</a> and it's fine</p></article>", f"{long.strip()}\n\nHe's here and it's fine"),
+        (f"<article><p>{long}</p><a title='x>y' alt=\"a>b\">in</a><img alt=don't src=it's>side</article>", f"{long.strip()}\n\ninside"),
+        (f"<article><p>{long}</p><select><option>one<p>end</p></article>", f"{long.strip()}\n\none\n\nend"),
+        (f"<article><p class='a b>{long}</p><p>end</p></article>", f"{long.strip()}\n\nend"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}/", html) for k, (html, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    for k, (_, want) in enumerate(pages):
+        assert got[k] == want
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = html_extract.Page("<div class=x>" * 60_000 + "deep" + "</div>" * 60_000)
+    assert page.text(page.path(page.best())) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_votes_by_hand(spark):
+    """Votes, winners (ties too) and re-extraction, counted in plain Python."""
+    rng = np.random.default_rng(2)
+    layouts = ["<body><div class='m{0}'><p>{1}</p></div><div class=nav>menu</div></body>", "<body><section id=s><p>{1}</p></section><p>{2}</p></body>", "<body><article><p>{1}</p></article></body>"]
+    rows = []
+    for k in range(60):
+        text, short = " ".join(f"w{x}" for x in rng.integers(0, 99, 60)), f"s{k}"
+        rows.append((k, f"http://h{k % 5}/{k}", layouts[int(rng.integers(0, 3))].format(k, text, short)))
+    rows += [(100, "http://tie/1", layouts[0].format(1, "a " * 50, "")), (101, "http://tie/2", layouts[2].format(1, "b " * 50, ""))]
+    counts = collections.defaultdict(collections.Counter)
+    for _, url, html in rows:
+        page = html_extract.Page(html)
+        counts[url.split("/")[2]][page.path(page.best())] += 1
+    want = {h: max(c, key=lambda p: (c[p], len(p), p)) for h, c in counts.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert dict(map(tuple, html_extract.votes(df).collect())) == want
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    for k, url, html in rows:
+        page, path = html_extract.Page(html), want[url.split("/")[2]]
+        at = [e for e in range(1, len(page.names)) if page.path(e) == path] or [page.best()]
+        inside = lambda e: e in at or (e > 0 and inside(page.parents[e]))
+        assert got[k] == "\n\n".join(t for t, _, e, kept in page.blocks if kept and inside(e))
+
+
 # -- 10: language
 
 
@@ -483,6 +694,44 @@ def test_language(spark, odd):
     assert langid.language_report(odd.where("false")).count() == 0
 
 
+def test_predictions_by_hand(spark):
+    """Bundles, prototypes, cosines and scores from letter vectors in plain Python; scripts outside Latin, and a text that ties."""
+    said = {"el": "καλημέρα σε όλους τους φίλους της θάλασσας", "en": "good morning to all the friends of the sea", "ru": "доброе утро всем друзьям синего моря"}
+    rows = [(k, " ".join(np.random.default_rng(k).permutation(said[l].split())), l, "s") for k, l in enumerate(list(said) * 8)]
+    rows += [(100, "утро моря the friends", None, "s"), (101, "θάλασσας", "en", None), (102, "Ω", None, None), (103, "42!", "en", None)]
+    df = docs(spark, rows)
+    letters = langid._letter_vectors().astype(int)
+
+    def bundle(text):
+        number = lambda c: (ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 101) if c.isalpha() else 0
+        s = [0]
+        for c in map(number, (text or "").lower()):
+            if c or s[-1]:
+                s.append(c)
+        s = s + [0] if s[-1] or len(s) == 1 else s
+        out = np.zeros(langid.SIZE, int)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            out += letters[a] * np.roll(letters[b], 1) * np.roll(letters[c], 2)
+        return out
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    learned = [(t, l) for k, t, l, _ in rows if l and zlib.crc32(str(k).encode()) % 5 and any(c.isalpha() for c in t)]
+    prototypes = {l: unit(sum(unit(bundle(t)) for t, x in learned if x == l)) for l in sorted({l for _, l in learned})}
+    for r in langid.language_report(df).collect():
+        text = rows[[i for i, *_ in rows].index(r["doc_id"])][1]
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = {l: unit(bundle(text)) @ p for l, p in prototypes.items()}
+        best = max(cosine, key=lambda l: (cosine[l], [-ord(c) for c in l]))
+        weights = [np.exp(langid.SHARPNESS * (c - cosine[best])) for c in cosine.values()]
+        assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(weights)) < 1e-4
+        if r["doc_id"] < 100:
+            assert best == rows[r["doc_id"]][2]
+    same = langid.Profiles(["a", "b"], np.stack([unit(bundle("abc"))] * 2))
+    assert same.predict(np.array([bundle("abc")], dtype=np.float32), np.array([True]))[0] == ["a"]
+
+
 def test_bundles_are_sums_of_bound_letters():
     e = langid.Encoder()
     (got,), (has,) = e.bundles(["Ab c"])
@@ -496,3 +745,45 @@ def test_mix_with_many_sources(spark, monkeypatch):
     want = sorted(map(tuple, mixing.mix(real(spark)).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     assert sorted(map(tuple, mixing.mix(real(spark)).collect())) == want
+
+
+# -- ids that a floating-point number can't hold, beside a null id, and a nullable column of such numbers
+
+BIG = 2**53 + 1
+LABELS = "doc_id long, quality int, toxic int"
+KEYED = {
+    "op1": lambda spark, d: media_jpeg.media_report(d),
+    "op1_files": lambda spark, d: media_jpeg.read_media(media_jpeg.store_texts(d), keep=("doc_id",)),
+    "op2": lambda spark, d: quality_gam.quality_report(d, spark.createDataFrame([(BIG, 1, 0), (5, 0, 0)], LABELS)),
+    "op3": lambda spark, d: mixing.mix(d),
+    "op3_rows": lambda spark, d: mixing.mixed(d),
+    "op4": lambda spark, d: substring_dedup.dedup_report(d),
+    "op4_rows": lambda spark, d: substring_dedup.without_repeats(d),
+    "op5": lambda spark, d: jaccard_join.join(d),
+    "op5_rows": lambda spark, d: jaccard_join.first_of_each_group(d),
+    "op6": lambda spark, d: packing.pack(d),
+    "op6_order": lambda spark, d: packing.pack(d, in_order=True),
+    "op10": lambda spark, d: langid.identify(d, langid.train(d)),
+}
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_large_ids_beside_null(spark, name):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(BIG, f"one text {long}", "en", "a", BIG + 2, "k", 0.5, 7), (None, "another text " + long.replace("w", "v"), "en", "a", None, "k", None, None), (5, "Short and plain words", "de", "b", 3, None, 0.5, 7)]
+    out = KEYED[name](spark, spark.createDataFrame(rows, DOCS).coalesce(1))
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == {BIG, None, 5} and len(got) == 3
+    if "n_chars" in out.columns and name != "op4_rows":
+        assert {r["n_chars"] for r in got} == {BIG + 2, None, 3}
+
+
+def test_large_ids_of_pages_and_vectors(spark):
+    pages = spark.createDataFrame([(BIG, "http://a/b", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html_extract.extract(pages).collect()} == {BIG, None}
+    assert {r["page_id"] for r in url_filter.judge(pages, url_filter.fit(url_filter.labelled(spark))).collect()} == {BIG, None}
+    big = BIG + 3
+    vectors = spark.createDataFrame([(big, [1.0, 2.0]), (None, [1.0, 1.0]), (big + 16, [2.0, 1.0])], "vec_id long, embedding array<float>").coalesce(1)
+    assert big % 20 == 16 and (big + 16) % 20 == 12
+    more = vectors.union(spark.createDataFrame([(20 * (big // 20), [1.0, 0.0])], vectors.schema))
+    assert {r["vec_id"] for r in topk.search_report(more).collect()} == {big, big + 16}
