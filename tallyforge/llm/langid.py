@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id
+from .common import released, remainder_of_id
 
 #: Components of a vector; symbols that letters are mapped to (0: between words); letters of an n-gram.
-SIZE, SYMBOLS, GRAM = 1024, 64, 3
+SIZE, SYMBOLS, GRAM = 1024, 128, 3
 #: At most about so many training documents are read for each language (a documented bound; by hash of the id).
 TRAINING_DOCS = 2000
 #: How steeply a cosine's lead over the others turns into a score.
@@ -34,7 +34,8 @@ def _letter_vectors() -> np.ndarray:
 
 
 def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 65,536: a to z are 1 to 26, other letters share 27 to 63 by code point, the rest 0."""
+    """Symbol of each code point below 65,536: a to z are 1 to 26, other letters share 27 to 127 by code point (so the letters
+    of an alphabet of up to 101 differ), the rest 0."""
     out = np.zeros(1 << 16, np.uint8)
     for cp in range(1 << 16):
         c = chr(cp)
@@ -147,7 +148,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             yield pd.DataFrame({"l": list(total), "v": [np.asarray(v, dtype=np.float64).tobytes() for v in total.values()]})
 
     found: dict[str, np.ndarray] = {}
-    for r in picked.mapInPandas(sums, "l string, v binary").collect():  # a vector for each language and task
+    for r in picked.mapInPandas(released(sums), "l string, v binary").collect():  # a vector for each language and task
         found[r["l"]] = found.get(r["l"], 0) + np.frombuffer(r["v"])
     langs = sorted(l for l, v in found.items() if np.linalg.norm(v) > 0)
     vectors = np.array([found[l] / np.linalg.norm(found[l]) for l in langs]).reshape(len(langs), SIZE)
@@ -162,17 +163,19 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if text not in kept:
         raise ValueError(f"no column {text}")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                rows = batch.iloc[at : at + 1024]
-                langs, score = profiles.predict(*encoder.bundles([t if isinstance(t, str) else None for t in rows[text]]))
-                yield rows.assign(lang_pred=langs, score=score)
-
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInPandas(run, f"{schema}, lang_pred string, score double")
+            parts = [(np.empty(0, object), np.empty(0))]
+            for at in range(0, len(batch), 512):
+                parts.append(profiles.predict(*encoder.bundles([t if isinstance(t, str) else None for t in batch.iloc[at : at + 512]])))
+            yield pd.DataFrame({"lang_pred": np.concatenate([p[0] for p in parts]), "score": np.concatenate([p[1] for p in parts])})
+
+    # only texts go to Python, once (an expression that can't be repeated isn't); other columns stay as they are
+    found = F.pandas_udf(released(run), "lang_pred string, score double").asNondeterministic()
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], found(F.col(f"`{text}`")).alias("found"))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "found.lang_pred", "found.score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
