@@ -9,7 +9,9 @@ for each restart interval) and reconstructs DC-only luminance thumbnails: one pi
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: A payload is filled up with bytes 255 to a positive multiple of this.
 UNIT = 576
 #: Blocks in a restart interval and in a row of a small picture.
@@ -362,70 +366,78 @@ def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     return tuple(np.packbits(x).tobytes().hex() for x in (cells > cells.mean(), cells[:, 1:] > cells[:, :-1]))
 
 
-STORED = "n_bytes long, payload_bytes long, media binary"
+def store(texts: list[str | None]) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Of whole texts: their bytes, padded payloads, and JPEG files that hold these."""
+    raw = [b"" if not isinstance(t, str) else t.encode("utf-8", "surrogatepass") for t in texts]
+    payloads = [padded(x) for x in raw]
+    return [len(x) for x in raw], payloads, encode(payloads)
 
 
-def store_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One JPEG column from whole texts: key, n_bytes (unpadded), payload_bytes, media. A null or empty text gives one unit
-    of bytes 255; equal texts give equal files; repeated rows stay; other columns are left out. No rows: none."""
+READ = "width int, height int, n_pictures int, payload binary, mean_hash string, gradient_hash string, problem string"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read(files: list[bytes | None]) -> list[tuple]:
+    """The fields of READ for each file."""
+    out = []
+    for x in thumbnails([b"" if f is None else bytes(f) for f in files]):
+        if isinstance(x, str):
+            out.append((None, None, None, None, None, None, x))
+            continue
+        whole = stacked(x)
+        out.append((whole.shape[1] * 8, whole.shape[0] * 8, len(x), b"".join(t.tobytes() for t in x), *thumbnail_hashes(whole), None))
+    return out
+
+
+def _by_column(source, schema: str, make):
+    """A column of structs: ``make`` turns lists of values into lists of rows, a few at a time. Evaluated once for each row."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    whole = [f.split()[0] for f in schema.split(", ") if f.split()[1] in ("int", "long")]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.iloc[at : at + 512]
-                raw = [b"" if not isinstance(t, str) else t.encode("utf-8", "surrogatepass") for t in rows["text"]]
-                payloads = [padded(x) for x in raw]
-                yield pd.DataFrame({"key": rows["key"].array, "n_bytes": [len(x) for x in raw], "payload_bytes": [len(x) for x in payloads], "media": encode(payloads)})
+            rows = [r for at in range(0, len(batch), 256) for r in make(list(batch.iloc[at : at + 256]))]
+            found = pd.DataFrame(rows, columns=names)
+            found[whole] = found[whole].astype("Int64")
+            yield found
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return source.mapInPandas(run, f"key {source.schema['key'].dataType.simpleString()}, {STORED}").withColumnRenamed("key", key)
+    return F.pandas_udf(released(run), schema).asNondeterministic()(source)
 
 
-READ = "width int, height int, n_pictures int, payload binary, mean_hash string, gradient_hash string, problem string"
+STORED = "n_bytes long, payload_bytes long, media binary"
+
+
+def store_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One JPEG column from whole texts: key, n_bytes (unpadded), payload_bytes, media. A null or empty text gives one unit
+    of bytes 255; equal texts give equal files; repeated rows stay; other columns are left out. No rows: none."""
+    make = lambda texts: [(n, len(p), m) for n, p, m in zip(*store(texts), strict=True)]
+    rows = docs.select(F.col(f"`{key}`").alias("key"), _by_column(F.col(f"`{text}`"), STORED, make).alias("made"))
+    return rows.select(F.col("key").alias(key), "made.*")
 
 
 def read_media(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and the media column, and from its bytes: number of pictures, pixel dimensions of them all stacked,
     the DC-only luminance thumbnails' samples (for files of store_texts: the payload), two thumbnail hashes of the stacked
     pictures. A null media column or bytes that are no baseline JPEG: nulls, and the reason in ``problem``."""
-    own = [f.strip().split()[0] for f in READ.split(",")]
+    rows = stored.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{media}`").alias("media"), _by_column(F.col(f"`{media}`"), READ, read).alias("made"))
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("media").alias(media), "made.*")
+
+
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, n_pictures int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.iloc[at : at + 512].reset_index(drop=True)
-                files = [bytes(x) if x is not None else b"" for x in rows["media"]]
-                out = []
-                for x in thumbnails(files):
-                    if isinstance(x, str):
-                        out.append((None, None, None, None, None, None, x))
-                        continue
-                    whole = stacked(x)
-                    out.append((whole.shape[1] * 8, whole.shape[0] * 8, len(x), b"".join(t.tobytes() for t in x), *thumbnail_hashes(whole), None))
-                found = pd.DataFrame(out, columns=own)
-                for c in ("width", "height", "n_pictures"):
-                    found[c] = found[c].astype("Int32")
-                yield pd.concat([rows, found], axis=1)
-
-    source = stored.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(media).alias("media"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInPandas(run, f"{kept}, {READ}").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)} | {"media": media})
+
+def digests(texts: list[str | None]) -> list[tuple]:
+    """The fields of DIGEST: texts are stored as JPEG files, and all but n_bytes is told from the files' bytes alone."""
+    sizes, _, files = store(texts)
+    out = []
+    for n, file, (width, height, pictures, payload, mean, gradient, problem) in zip(sizes, files, read(files), strict=True):
+        if problem:
+            raise ValueError(f"a stored file can't be read: {problem}")
+        feature = f"{width}x{height}:{mean}:{gradient}"
+        out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, width, height, pictures))
+    return out
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of ``op1``: payload and file digests, both from the bytes read back, and the feature string."""
-    stored = store_texts(docs)
-    read = read_media(stored, keep=("doc_id", "n_bytes", "payload_bytes"))
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        "payload_bytes",
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.concat_ws("x", "width", "height"), "mean_hash", "gradient_hash").alias("feature"),
-        "width",
-        "height",
-        "n_pictures",
-    )
+    """The digest columns of ``op1``. Files of a few rows are stored and read back in one Python function, so that they don't
+    pass through the JVM; store_texts and read_media are the same in two steps, with the files themselves."""
+    return docs.select("doc_id", _by_column(F.col("text"), DIGEST, digests).alias("made")).select("doc_id", "made.*")
