@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id
+from .common import released, remainder_of_id
 
 FOLD, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: The model is fitted on about so many labelled documents at most (a documented bound; by hash of the id).
@@ -184,7 +184,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the labelled documents that aren't held out, about ``sample`` of them at most."""
+    """A model from the labelled documents that aren't held out, about ``sample`` of them at most (rows of an id go or stay together).
+
+    Labels without an id, or other than 0 and 1, are left out; so are documents without an id. An id with several labels or
+    documents counts once for each pair of them. Rows are sorted before the fit, so that their order and partitions don't matter."""
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("y")).where("label_id is not null and y in (0, 1)")
     marked = marked.where(remainder_of_id("label_id", FOLD) != HELD_OUT)
     n = marked.count()
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"].array, "y": batch["y"].array, "x": [describe(t) for t in batch["text"]]})
 
-    found = sorted(rows.mapInPandas(run, "id long, y double, x array<double>").collect())  # the bounded sample
+    found = sorted(rows.mapInPandas(released(run), "id long, y double, x array<double>").collect())  # the bounded sample
     return fit(np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES)), np.array([r["y"] for r in found], dtype=float))
 
 
@@ -207,14 +210,15 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     Null and empty texts have all features 0 and are scored as such. Very long texts count whole; equal texts get equal scores;
     repeated rows stay. No labels: 0.5 throughout. No rows: none. Other columns are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array([describe(t if isinstance(t, str) else None) for t in batch["text"]], dtype=float).reshape(len(batch), len(FEATURES))
+            x = np.array([describe(t if isinstance(t, str) else None) for t in batch], dtype=float).reshape(len(batch), len(FEATURES))
             score = model.score(x)
-            yield pd.DataFrame({"key": batch["key"].array, "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
+            yield pd.DataFrame({"score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return source.mapInPandas(run, f"key {source.schema['key'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("key", key)
+    found = F.pandas_udf(released(run), "score double, predicted int").asNondeterministic()  # evaluated once; keys don't pass through Python
+    rows = docs.select(F.col(f"`{key}`").alias("key"), found(F.col(f"`{text}`")).alias("found"))
+    return rows.select(F.col("key").alias(key), "found.score", "found.predicted")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
