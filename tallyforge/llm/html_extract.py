@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 #: Share of a page's running text that its best container must hold.
 COVER = 0.75
@@ -36,10 +36,10 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|navi|newsletter|notice|notification|pagination|pager|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|widgets|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: What stands in a tag behind its name: values are quoted only right behind a =; other quotes are ordinary characters.
+INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
-    rf"|<({LOOSE})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{INSIDE}>.*?(?:</\1\s*+>|\Z)|<({LOOSE})\b{INSIDE}>|<(/?)([a-zA-Z][^\s/>]*+)({INSIDE})>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 #: Where a LOOSE element ends; a select or button also ends, as if it had no end tag, where the next one begins.
@@ -51,7 +51,9 @@ class Page:
     """The blocks of a page in order: (text, characters in links, chain of the elements around it, kept or not)."""
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = [""]  # of each element, generalised
+        self.names: list[str] = [""]  # of each element, generalised
+        self.paths: list[int] = [0]  # the number of its path; a path is its parent's and a name
+        self.known: dict[tuple[int, str], int] = {}
         self.parents: list[int] = [-1]
         self.can_hold: list[bool] = [False]
         self.tags: list[str] = [""]
@@ -114,11 +116,12 @@ class Page:
                     name += "".join("." + re.sub(r"\d+", "0", c) for c in sorted(value.split()))
         _, parent, kept = self.stack[-1]
         kept = kept and tag not in NOT_ARTICLE and not (marks and tag not in ("html", "body", "article", "main") and MARKS.search(marks))
-        self.paths.append(f"{self.paths[parent]}/{name}")
+        self.names.append(name)
+        self.paths.append(self.known.setdefault((self.paths[parent], name), len(self.known) + 1))
         self.parents.append(parent)
         self.can_hold.append(tag in CONTAINERS)
         self.tags.append(tag)
-        self.stack.append((tag, len(self.paths) - 1, kept))
+        self.stack.append((tag, len(self.names) - 1, kept))
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -130,16 +133,17 @@ class Page:
         """Element number of the container of the article; 0 if the page has none. That is the deepest one with COVER of the running
         text, or what holds it and the rest of the article: the outermost article (or else main) element around it, and from
         there up all containers that add running text alone, but none out of an article or main element."""
-        held, other, total = [0] * len(self.paths), [0] * len(self.paths), 0
+        held, other = [0] * len(self.names), [0] * len(self.names)
         for text, linked, element, kept in self.blocks:
             n = max(0, len(text) - 2 * linked) if kept else 0
-            total += n
-            while element >= 0:
-                if n:
-                    held[element] += n
-                else:
-                    other[element] += 1
-                element = self.parents[element]
+            if n:
+                held[element] += n
+            else:
+                other[element] += 1
+        for k in range(len(self.names) - 1, 0, -1):  # an element comes behind its parent
+            held[self.parents[k]] += held[k]
+            other[self.parents[k]] += other[k]
+        total = held[0]
         if not total:
             return 0
         best = max((k for k in range(len(held)) if self.can_hold[k] and held[k] >= COVER * total), default=0)
@@ -157,12 +161,23 @@ class Page:
                 best = k
         return best
 
+    def path(self, element: int) -> str | None:
+        """The generalised tag-class path of an element: names without white space, joined by spaces. None for the page itself."""
+        names = []
+        while element > 0:
+            names.append(self.names[element])
+            element = self.parents[element]
+        return " ".join(reversed(names)) or None
+
     def text(self, path: str | None) -> str:
         """The kept blocks within the elements at ``path``; within the best container if the page has none there."""
-        wanted = {k for k, p in enumerate(self.paths) if p == path} if path else set()
-        wanted = wanted or {self.best()}
-        inside = [k in wanted for k in range(len(self.paths))]
-        for k in range(1, len(self.paths)):
+        number = 0
+        for name in (path or "").split(" "):
+            number = self.known.get((number, name), -1)
+        inside = [k > 0 and p == number for k, p in enumerate(self.paths)]
+        if not any(inside):
+            inside[self.best()] = True
+        for k in range(1, len(inside)):
             inside[k] = inside[k] or inside[self.parents[k]]
         return "\n\n".join(text for text, _, element, kept in self.blocks if kept and inside[element])
 
@@ -174,17 +189,16 @@ def host_of(url):
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path: the winning path of each host that has a vote. Most votes win, then the longer, then the smaller path."""
+    """host, path: the winning path of each host that has a vote. Most votes win; of equal ones the longer path, then the
+    later one in the order of its characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = []
-            for source in batch["html"]:
-                page = Page(source)
-                found.append(page.paths[page.best()] or None)
-            yield pd.DataFrame({"host": batch["host"].array, "path": found})
+            pages = map(Page, batch)
+            yield pd.Series([page.path(page.best()) for page in pages], dtype=object)
 
-    cast = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInPandas(run, "host string, path string")
+    vote = F.pandas_udf(released(run), "string").asNondeterministic()  # evaluated once
+    cast = pages.select(host_of(F.col(url)).alias("host"), vote(F.col(html)).alias("path"))
     counted = cast.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
     best = F.max(F.struct("n", F.length("path").alias("l"), "path"))
     return counted.groupBy("host").agg(best.alias("b")).select("host", F.col("b.path").alias("path"))
@@ -194,20 +208,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """key, url, text: the main text of every page, blocks joined by two line ends.
 
     Null or empty html, and pages without running text: ''. A null url or one without ``://`` belongs to host ''. Very long
-    pages are read whole. Equal pages of a host get equal texts; repeated rows stay. No rows: none. Other columns are left out."""
+    and deep pages are read whole: an element costs the same at any depth. Equal pages of a host get equal texts; repeated rows stay. No rows: none. Other columns are left out."""
     winners = cut(votes(pages, url, html))
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     joined = named.join(winners, "host", "left").select("key", "url", "html", "path")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [Page(source).text(path) for source, path in zip(batch["html"], batch["path"], strict=True)]
-            yield pd.DataFrame({"key": batch["key"].array, "url": batch["url"].array, "text": texts})
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, paths in batches:
+            yield pd.Series([Page(source).text(path) for source, path in zip(sources, paths, strict=True)], dtype=object)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return joined.mapInPandas(run, f"key {kind}, url string, text string").withColumnsRenamed({"key": key, "url": url})
+    text = F.pandas_udf(released(run), "string").asNondeterministic()
+    return joined.select(F.col("key").alias(key), F.col("url").alias(url), text("html", "path").alias("text"))
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:
