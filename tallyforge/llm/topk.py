@@ -38,11 +38,14 @@ def _unpacked(raw: bytes, dim: int, n: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products, [row of a, row of b]: in doubles where none can reach 2**53, else in 64-bit integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact inner products, [row of a, row of b]: in doubles where none can reach 2**53, else in integers; beyond 64 bits the largest or
+    smallest 64-bit number."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def whole(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -187,7 +190,8 @@ def search(table: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
 
     A row of the query's own id is no candidate. Rows without an id or a vector, or with a null or non-finite component, take
     no part, nor do candidates of another number of components. A repeated row is a candidate each time; a query of a repeated
-    id is asked once, with the smallest of its vectors. Products beyond 64 bits wrap. No queries or no candidates: no rows."""
+    id is asked once, with the smallest of its vectors. Components
+    and products beyond 64 bits are the largest (or smallest) 64-bit number. No queries or no candidates: no rows."""
     spark = table.sparkSession
     blocks = index(whole(table, key, vector))
     asked = cut(whole(queries, key, vector).groupBy("key", "dim").agg(F.min("v").alias("v")))
