@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, filter_audit, html_extract, jaccard_join, langid, media_jpeg, mixing, packing, quality_gam, sql, substring_dedup, topk, url_filter
+from . import conversation_trie, exact_dedup, filter_audit, html_extract, jaccard_join, langid, media_jpeg, mixing, packing, quality_gam, sql, substring_dedup, topk, url_filter
 from .common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html_extract": lambda spark, d: html_extract.extraction_report(table(spark, d, "pages")),
     "op11_filter_audit": lambda spark, d: filter_audit.audit_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op12_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
+    "op13_conversation_trie": lambda spark, d: conversation_trie.trie_report(table(spark, d, "conversations")),
     "op10_langid": lambda spark, d: langid.language_report(table(spark, d, "documents")),
 }
 
