@@ -8,7 +8,7 @@ from tallyforge.operators import metrics as m
 from tallyforge.operators import reports as p
 from tallyforge.sources.files import shared_folder
 from tallyforge.sources.adapters import V_SAMPLES, samples, table
-from tallyforge.streaming import logs
+from tallyforge.streaming import history, ledger, logs
 
 from .catalogue import query
 from .metrics_queries import S, r
@@ -126,3 +126,41 @@ def _reward_files(spark, d):
 def stream_step_stats(spark, d):
     stream = logs.step_stats(logs.reward_stream(spark, _reward_files(spark, d)))
     return logs.run_to_memory(stream, "tallyforge_step_stats", "complete").withColumn("reward_mean", r("reward_mean"))
+
+
+HISTORY = f"""WITH s AS ({V_SAMPLES}), l AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx DESC) AS back FROM s), c AS (SELECT problem_id, count(*) AS n, sum(correct::INT)::BIGINT AS s FROM l WHERE back <= 32 GROUP BY problem_id)
+    SELECT problem_id, n, s FROM c WHERE s > 0 AND s < n"""
+
+
+def _in_batches(spark, rows, batch):
+    """``rows`` as a stream that gives one file, that of a value of ``batch``, at a time, in order."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = rows.withColumn("batch", batch)
+    for k in range(3):
+        rows.where(F.col("batch") == k).drop("batch").repartition(1).write.mode("append").json(folder)
+    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).json(folder), folder
+
+
+@query("stream_active_prompts", HISTORY)
+def stream_active_prompts(spark, d):
+    """Outcomes come in three batches out of order, so that late ones must find their places among the last 32."""
+    outcomes = samples(spark, d).select("problem_id", F.col("sample_idx").cast("long").alias("step"), "correct")
+    stream, folder = _in_batches(spark, outcomes, (F.col("step") * 7 + F.col("problem_id")) % 3)
+    book = ledger.Ledger(spark, f"{folder}-ledger")
+    with logs.state_store(spark):
+        book.follow(history.pass_history(stream), f"{folder}-checkpoint", "update")
+    return history.active(history.newest(book.read()))
+
+
+@query("restarted_steps", f"""WITH s AS (SELECT arm, (sample_idx % 20)::INT AS step, correct, event_id % 3 AS b FROM (SELECT *, sample_id AS event_id FROM ({V_SAMPLES})))
+    SELECT arm, step, count(*) AS n, round(avg(correct::INT), 9) AS reward_mean, sum(correct::INT)::BIGINT AS n_correct
+    FROM s WHERE (step <= 4 AND b = 0) OR (step BETWEEN 5 AND 11 AND b = 1) OR (step > 11 AND b = 2) GROUP BY arm, step""")
+def restarted_steps(spark, d):
+    """Three attempts of each run write all steps; the second resumed from step 4, the third from step 11. All batches come twice."""
+    attempt = F.col("sample_id") % 3
+    rows = samples(spark, d).select("arm", (F.col("sample_idx") % 20).cast("int").alias("step"), attempt.alias("attempt"), F.when(attempt == 1, 4).when(attempt == 2, 11).otherwise(-1).alias("resumed_from"), F.col("correct").cast("double").alias("reward"), "correct")
+    stream, folder = _in_batches(spark, rows, F.col("attempt"))
+    book = ledger.step_ledger(spark, f"{folder}-ledger", ["arm"])
+    for checkpoint in ("first", "again"):  # without its checkpoint a stream begins anew, at batch 0
+        book.follow(stream, f"{folder}-{checkpoint}", each=lambda batch: ledger.step_sums(batch, ["arm"]))
+    return ledger.step_stats(book, ["arm"]).withColumn("reward_mean", r("reward_mean"))

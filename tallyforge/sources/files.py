@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,40 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, by name; nothing if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, from any file system that Spark reads."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    return rows[0]["value"] if rows else ""
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not exist yet, there whole or not at all: written beside its place and renamed to it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    target = fs.Path(path)
+    draft = fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    stream = target.getFileSystem(conf).create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    no_options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(target.getFileSystem(conf).makeQualified(draft), target.getFileSystem(conf).makeQualified(target), no_options)
+    except Exception as e:
+        target.getFileSystem(conf).delete(draft, False)
+        if exists(spark, path):
+            raise FileExistsError(f"{path} already exists") from e
+        raise
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for intermediate data, which driver and executors share. Where it names none, a temporary one
     on a single machine; on a cluster that is an error."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import units
 
 from . import files, schemas
+from .files import read_text
 
 #: Goes into the key of kept units; another one whenever ``units.derive`` gives other columns.
 KEPT_VERSION = 1
@@ -25,12 +26,6 @@ class ExcludedPath(ValueError):
     """A path that must never become a result."""
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file, from any file system that Spark reads."""
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0]["value"] if rows else ""
-
-
 def parse(text: str, name: str = "") -> dict:
     """A JSON document, or a YAML one where a YAML parser is installed."""
     if name.endswith(".json") or text.lstrip().startswith("{"):
@@ -156,25 +151,14 @@ def read_records(spark: SparkSession, plan: DataFrame, name: str, schema: str) -
     return spark.read.schema(schema).option("multiLine", True).json(there).withColumn("path", _folder())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that must not exist yet."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-
-
 def write_provenance(spark: SparkSession, folder: str, config: Mapping, meta: Mapping, notes: str = "") -> str:
     """A run's resolved configuration, its hash, meta and notes; each is written once. Returns the hash."""
     digest = config_hash(config)
-    write_text(spark, f"{folder}/config.json", json.dumps(config, sort_keys=True, indent=1))
-    write_text(spark, f"{folder}/config_hash.txt", digest + "\n")
-    write_text(spark, f"{folder}/meta.json", json.dumps(dict(meta) | {"config_hash": digest}, sort_keys=True))
+    files.write_new(spark, f"{folder}/config.json", json.dumps(config, sort_keys=True, indent=1))
+    files.write_new(spark, f"{folder}/config_hash.txt", digest + "\n")
+    files.write_new(spark, f"{folder}/meta.json", json.dumps(dict(meta) | {"config_hash": digest}, sort_keys=True))
     if notes:
-        write_text(spark, f"{folder}/notes.md", notes)
+        files.write_new(spark, f"{folder}/notes.md", notes)
     return digest
 
 

@@ -1,16 +1,18 @@
-"""Streams over append-only logs: step statistics, bounded pass histories, restarts."""
+"""Streams over append-only logs: step statistics, windows, sinks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyforge.sources import schemas
 
+from .history import pass_history  # noqa: F401
+from .ledger import Ledger
+
 
 def reward_stream(spark: SparkSession, folder: str, schema: str = schemas.REWARDS, most_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -28,30 +30,37 @@ def windowed_values(events: DataFrame, ts: str = "ts", value: str = "value", wid
 
 
 def once_per_step(rewards: DataFrame, clock: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """A restarted run writes steps again; each key counts once."""
+    """Rows that come again within ``late`` count once. What a restarted run rewrites later than that is told by its attempt
+    (``ledger.newest_attempts``)."""
     return rewards.withWatermark(clock, late).dropDuplicatesWithinWatermark(keys)
 
 
-def pass_history(outcomes: DataFrame, length: int = 32) -> DataFrame:
-    """problem_id, n, right: outcomes among each problem's last ``length``, updated as rows come (columns problem_id, step, correct)."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("step", kind="stable")
-        kept = (list(state.get[0]) if state.exists else []) + [bool(c) for c in rows["correct"]]
-        kept = kept[-length:]
-        state.update((kept,))
-        yield pd.DataFrame({"problem_id": [key[0]], "n": [len(kept)], "right": [sum(kept)]})
-
-    return outcomes.groupBy("problem_id").applyInPandasWithState(update, "problem_id long, n long, right long", "kept array<boolean>", "update", GroupStateTimeout.NoTimeout)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, as keyed list and value states need; a running query keeps its own."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Drive a bounded stream to its end into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_store(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def append_records(df: DataFrame, folder: str, checkpoint: str):
-    """An exactly-once JSON sink."""
-    return df.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_records(df: DataFrame, folder: str, checkpoint: str) -> Ledger:
+    """Appends a stream's records to a ledger in ``folder``, each batch once, until what is there has been read; ``read`` of the ledger
+    gives them back."""
+    ledger = Ledger(df.sparkSession, folder)
+    ledger.follow(df, checkpoint)
+    return ledger

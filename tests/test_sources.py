@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.sources import files
-from tallyforge.streaming import logs
+from tallyforge.streaming import history, ledger, logs
 
 
 def test_jsonl(spark, tmp_path):
@@ -54,3 +54,79 @@ def test_windowed_stream(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert logs.run_to_memory(logs.windowed_values(stream), "windows", "complete").agg(F.sum("n")).first()[0] == 48
+
+
+def put(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def test_history_puts_late_steps_in_place_and_lasts_over_a_restart(spark, tmp_path):
+    rows = [{"problem_id": p, "step": s, "place": k, "correct": (s * 5 + k * 3 + p) % 4 > 1} for p in (1, 2) for s in range(30) for k in range(2)]
+    late = [r for r in rows if r["step"] % 5 == 3]
+    rest = [r for r in rows if r["step"] % 5 != 3]
+    stream = lambda: spark.readStream.schema("problem_id long, step int, place int, correct boolean").json(str(tmp_path / "in"))
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    parts = [rest[40:], [*late, {"problem_id": 3, "step": 1, "place": 0, "correct": None}, {"problem_id": None, "step": 1}], [*rest[:40], *late[:4]]]
+    for k, part in enumerate(parts):  # each a restart from the checkpoint; the last one repeats rows
+        put(tmp_path / "in", f"{k}.json", part)
+        with logs.state_store(spark):
+            book.follow(history.pass_history(stream(), place="place"), str(tmp_path / "checkpoint"), "update")
+    last = {p: [r["correct"] for r in rows if r["problem_id"] == p][-32:] for p in (1, 2)}
+    found = history.newest(book.read())
+    assert {r["problem_id"]: (r["n"], r["right"]) for r in found.collect()} == {1: (32, sum(last[1])), 2: (32, sum(last[2])), 3: (1, 0)}
+    assert {r["problem_id"] for r in history.active(found).collect()} == {1, 2}
+
+
+def test_ledger_counts_each_batch_once(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "l"), most_folders=3)
+    with pytest.raises(FileNotFoundError):
+        book.read()
+    for k in [0, 1, 1, 0, 2, 3, 4, 4, 5, 6, 3]:
+        book.append(spark.range(k * 10, k * 10 + 10), k)
+    assert sorted(r["id"] for r in book.read().collect()) == list(range(70)) and book.last() == 6
+    # what a killed writer left isn't read, and goes by vacuum
+    spark.range(5).write.parquet(str(tmp_path / "l" / "rows" / "left"))
+    assert book.read().count() == 70
+    assert book.vacuum(keep=1) > 0 and book.read().count() == 70 and book.vacuum(keep=1) == 0
+    # of two writers of one number one fails
+    with pytest.raises(FileExistsError):
+        files.write_new(spark, book._manifest(6), "{}")
+    assert book.read().count() == 70
+
+
+def test_replayed_records_add_nothing(spark, tmp_path):
+    put(tmp_path / "in", "a.json", [{"x": k} for k in range(5)])
+    stream = lambda: spark.readStream.schema("x long").json(str(tmp_path / "in"))
+    logs.append_records(stream(), str(tmp_path / "out"), str(tmp_path / "c"))
+    put(tmp_path / "in", "b.json", [{"x": k} for k in range(5, 8)])
+    book = logs.append_records(stream(), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted(r["x"] for r in book.read().collect()) == list(range(8))
+    # the commit of the second batch is lost with the driver: it is run again from its offsets
+    gone = list((tmp_path / "c" / "commits").glob("*1*"))
+    assert gone
+    for f in gone:
+        f.unlink()
+    book = logs.append_records(stream(), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert (tmp_path / "c" / "commits" / "1").exists()
+    assert sorted(r["x"] for r in book.read().collect()) == list(range(8))
+
+
+def test_steps_of_restarted_attempts(spark):
+    rows = [(r, a, s, start, f"{r}{a}{s}") for r, a, start, steps in [("x", 0, -1, range(1, 8)), ("x", 2, 4, range(5, 7)), ("x", 1, 2, range(3, 6)), ("y", 0, None, range(1, 3)), ("y", 5, 0, [])] for s in steps]
+    rows += [("y", 5, None, 0, "start"), ("z", 0, 0, -1, "z00")]
+    log = spark.createDataFrame(rows, "run string, attempt int, step int, resumed_from int, what string")
+    # y's fifth attempt began anew and has written nothing: nothing of y counts
+    assert sorted(r["what"] for r in ledger.newest_attempts(log, ["run"]).collect()) == ["x01", "x02", "x13", "x14", "x25", "x26", "z00"]
+
+
+def test_step_sums_are_merged(spark, tmp_path):
+    book = ledger.step_ledger(spark, str(tmp_path / "l"), ["run"])
+    book.most_folders = 2
+    rows = [("x", 0, -1, s, 1.0, True) for s in range(4)]
+    for k in range(4):
+        more = [("x", 1, 1, s, 0.0, False) for s in (2, 3)] if k == 3 else []
+        book.append(ledger.step_sums(spark.createDataFrame(rows + more, "run string, attempt int, resumed_from int, step int, reward double, correct boolean"), ["run"]), k)
+    found = {r["step"]: (r["n"], r["reward_mean"], r["n_correct"]) for r in ledger.step_stats(book, ["run"]).collect()}
+    assert found == {0: (4, 1.0, 4), 1: (4, 1.0, 4), 2: (1, 0.0, 0), 3: (1, 0.0, 0)}
+    assert book.read().where("step = 0").count() < 4
