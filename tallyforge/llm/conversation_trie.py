@@ -183,7 +183,7 @@ def trie(turns: DataFrame, most: int = MOST, bucket_turns: int = BUCKET_TURNS, r
     all_ = sequences(rebuild(conversations(turns)))
     # the root is open from the start: an open group's sequences go on by their next turn
     path = lambda last: F.sha2(F.concat(F.col("path"), F.get("turns", last)["d"]).cast("binary"), 256)
-    open_ = all_.select("*", F.lit("").alias("path"), F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
+    open_ = cut(all_.select("*", F.lit("").alias("path"), F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
     spines, closed = [], []
     while not open_.isEmpty():
         spine = cut(_spine(open_))
