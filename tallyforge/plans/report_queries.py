@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import metrics as m
 from tallyforge.operators import reports as p
-from tallyforge.sources.files import shared_folder
 from tallyforge.sources.adapters import V_SAMPLES, samples, table
-from tallyforge.streaming import history, ledger, logs
+from tallyforge.sources.files import shared_folder
+from tallyforge.sources.ledger import Ledger
+from tallyforge.streaming import attempts, history, logs
 
 from .catalogue import query
 from .metrics_queries import S, r
@@ -146,7 +147,7 @@ def stream_active_prompts(spark, d):
     """Outcomes come in three batches out of order, so that late ones must find their places among the last 32."""
     outcomes = samples(spark, d).select("problem_id", F.col("sample_idx").cast("long").alias("step"), "correct")
     stream, folder = _in_batches(spark, outcomes, (F.col("step") * 7 + F.col("problem_id")) % 3)
-    book = ledger.Ledger(spark, f"{folder}-ledger")
+    book = Ledger(spark, f"{folder}-ledger")
     with logs.state_store(spark):
         book.follow(history.pass_history(stream), f"{folder}-checkpoint", "update")
     return history.active(history.newest(book.read()))
@@ -160,7 +161,7 @@ def restarted_steps(spark, d):
     attempt = F.col("sample_id") % 3
     rows = samples(spark, d).select("arm", (F.col("sample_idx") % 20).cast("int").alias("step"), attempt.alias("attempt"), F.when(attempt == 1, 4).when(attempt == 2, 11).otherwise(-1).alias("resumed_from"), F.col("correct").cast("double").alias("reward"), "correct")
     stream, folder = _in_batches(spark, rows, F.col("attempt"))
-    book = ledger.step_ledger(spark, f"{folder}-ledger", ["arm"])
+    book = attempts.step_ledger(spark, f"{folder}-ledger", ["arm"])
     for checkpoint in ("first", "again"):  # without its checkpoint a stream begins anew, at batch 0
-        book.follow(stream, f"{folder}-{checkpoint}", each=lambda batch: ledger.step_sums(batch, ["arm"]))
-    return ledger.step_stats(book, ["arm"]).withColumn("reward_mean", r("reward_mean"))
+        book.follow(stream, f"{folder}-{checkpoint}", each=lambda batch: attempts.step_sums(batch, ["arm"]))
+    return attempts.step_stats(book, ["arm"]).withColumn("reward_mean", r("reward_mean"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,26 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def listing(spark: SparkSession, paths: str | list[str], name: str = "*") -> list[str]:
+    """Paths of the files of a name (a glob) below some folders, empty ones too, in plain form (``/x`` for ``file:///x``). Spark lists many folders
+    in tasks; what comes back is as long as the list of files. Folders that aren't there have none."""
+    folders = [p for p in ([paths] if isinstance(paths, str) else paths) if isinstance(paths, list) or exists(spark, p)]
+    if not folders:
+        return []
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folders).inputFiles()
+    return sorted(plain_path(unquote(f)) for f in found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme and host."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
+def plain_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, from any file system that Spark reads."""
     rows = spark.read.text(path, wholetext=True).collect()

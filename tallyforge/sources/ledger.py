@@ -1,4 +1,4 @@
-"""An append-only table of a stream's batches, each of which counts once, and rows of attempts that were restarted.
+"""An append-only table of batches, each of which counts once, on any file system that Spark writes to.
 
 Writing a batch has two steps: its rows go to a folder of their own, then a manifest that names all live folders is put in place
 under the batch's number, whole or not at all. A batch whose number has a manifest is known: a replay of it adds nothing. Rows that a
@@ -12,9 +12,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyforge.sources import files
+from . import files
 
 #: Folders of rows after which a ledger's rows are rewritten as one.
 MOST_FOLDERS = 64
@@ -43,17 +42,37 @@ class Ledger:
         if batch <= last:
             return False
         live = self._live(last)
-        name = f"rows/{uuid.uuid4().hex}"
         if len(live) >= self.most_folders:
             rows, live = self._of(live).unionByName(rows), []
             rows = self.merge(rows) if self.merge else rows
-        rows.write.parquet(f"{self.folder}/{name}")
-        files.write_new(self.spark, self._manifest(batch), json.dumps({"batch": batch, "folders": [*live, name]}))
+        self._commit(batch, [*live, self._written(rows)])
         return True
 
+    def add(self, rows: DataFrame) -> int:
+        """Adds rows under the next number, which it returns; where another writer takes that one first, the one behind it."""
+        name = self._written(rows)
+        while True:
+            last = self.last()
+            try:
+                self._commit(last + 1, [*self._live(last), name])
+                return last + 1
+            except FileExistsError:
+                continue
+
+    def _written(self, rows: DataFrame) -> str:
+        name = f"rows/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _commit(self, batch: int, folders: list[str]) -> None:
+        files.write_new(self.spark, self._manifest(batch), json.dumps({"batch": batch, "folders": folders}))
+
     def _of(self, live: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.folder}/{n}" for n in live])
 
+    def is_empty(self) -> bool:
+        return self.last() < 0
+
     def read(self) -> DataFrame:
         """The rows of all batches so far. An empty ledger has no schema and is an error."""
         live = self._live(self.last())
@@ -81,44 +100,3 @@ class Ledger:
 
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(put).start()
         query.awaitTermination()
-
-
-def fences(rows: DataFrame, run: list[str], attempt: str = "attempt", start: str = "resumed_from") -> DataFrame:
-    """``run``, fences: array of (attempt, resumed_from). Rows say in ``start`` the last step that their attempt took over, and -1 or null
-    if it began anew."""
-    known = rows.groupBy(*run, attempt).agg(F.max(F.coalesce(F.col(start), F.lit(-1))).cast("long").alias("from_"))
-    return known.groupBy(*run).agg(F.collect_list(F.struct(F.col(attempt).cast("long").alias("attempt"), F.col("from_").alias("start"))).alias("fences"))
-
-
-def newest_attempts(rows: DataFrame, run: list[str], step: str = "step", attempt: str = "attempt", start: str = "resumed_from") -> DataFrame:
-    """``rows`` that count: a step's rows are those of the last attempt that began before it, however late they were written. What an
-    earlier attempt wrote behind the place where a later one resumed is stale, also as long as the later one hasn't come that far.
-    Rows without a step (records of a start) fence, and don't count. Runs are few beside rows, and so are their attempts."""
-    fenced = rows.join(fences(rows, run, attempt, start), run)
-    owner = F.array_max(F.transform(F.filter("fences", lambda f: f["start"] < F.col(step)), lambda f: f["attempt"]))
-    return fenced.where(F.col(step).isNotNull() & (F.col(attempt) == owner)).select(*rows.columns)
-
-
-#: What a log is cut down to, batch by batch: sums that add up.
-_SUMS = ("n", "reward_sum", "n_correct")
-
-
-def step_sums(rewards: DataFrame, run: list[str]) -> DataFrame:
-    """Of a batch of reward rows (run, attempt, resumed_from, step, reward, correct) a row for each run, attempt and step."""
-    by = rewards.groupBy(*run, "attempt", "resumed_from", "step")
-    return by.agg(F.count("*").alias("n"), F.coalesce(F.sum("reward"), F.lit(0.0)).alias("reward_sum"), F.count_if("correct").alias("n_correct"))
-
-
-def merged_sums(rows: DataFrame, run: list[str]) -> DataFrame:
-    return rows.groupBy(*run, "attempt", "resumed_from", "step").agg(*[F.sum(c).alias(c) for c in _SUMS])
-
-
-def step_ledger(spark: SparkSession, folder: str, run: list[str]) -> Ledger:
-    """A ledger of step sums: of a log of any length it keeps a row for each run, attempt and step, and batch."""
-    return Ledger(spark, folder, lambda rows: merged_sums(rows, run))
-
-
-def step_stats(ledger: Ledger, run: list[str]) -> DataFrame:
-    """``run``, step, n, reward_mean, n_correct: each step counted once, from the attempt that owns it."""
-    sums = newest_attempts(ledger.read(), run).groupBy(*run, "step").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    return sums.select(*run, "step", "n", (F.col("reward_sum") / F.col("n")).alias("reward_mean"), "n_correct")

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import units
 
-from . import files, schemas
+from . import digests, files, schemas
 from .files import read_text
+from .ledger import Ledger
 
 #: Goes into the key of kept units; another one whenever ``units.derive`` gives other columns.
-KEPT_VERSION = 1
+KEPT_VERSION = 2
 #: Settings that only say where things are.
 PLACES = ("run_root", "out_dir", "splits_dir", "store_checksums")
 
@@ -78,7 +79,10 @@ def unit_plan(spark: SparkSession, config: Mapping) -> DataFrame:
                 run = guard(f"{root}/{spec['dir'].format(seed=seed)}", root, never)
                 for split, decoding in config["units"]:
                     path = guard(f"{run}/eval/{split}/{decoding}", root, never)
-                    rows.append((arm, kind, spec.get("method"), int(seed), split, decoding, path, files.exists(spark, f"{path}/samples.jsonl")))
+                    rows.append((arm, kind, spec.get("method"), int(seed), split, decoding, path))
+    there = {p.rsplit("/", 1)[0] for p in files.listing(spark, root, "samples.jsonl")}
+    whole = files.plain_path(files.qualified(spark, root))
+    rows = [(*r, whole + r[-1].removeprefix(root) in there) for r in rows]
     return spark.createDataFrame(rows, "arm string, kind string, method string, seed int, split string, decoding string, path string, present boolean")
 
 
@@ -110,29 +114,30 @@ def read_answers(spark: SparkSession, plan: DataFrame, schema: str = schemas.SAM
 def unit_digests(spark: SparkSession, plan: DataFrame) -> DataFrame:
     """path, key: a digest over the version, a unit's answers and its configuration, which tells whether it has been derived before."""
     paths = [r["path"] for r in plan.where("present").select("path").distinct().collect()]
-    found = [f"{p}/{n}" for p in paths for n in ("samples.jsonl", "config.yaml", "config.json") if files.exists(spark, f"{p}/{n}")]
-    one = spark.read.format("binaryFile").load(found).select(_folder("path").alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha"))
-    parts = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha")))
+    if not paths:
+        return spark.createDataFrame([], "path string, key string")
+    known = set(map(files.plain_path, paths))
+    found = [f for f in files.listing(spark, paths, "{samples.jsonl,config.yaml,config.json}") if f.rsplit("/", 1)[0] in known]
+    one = digests.tree_digests(spark, found).select(_folder("path").alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "digest")
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", "name", "digest")))
     return one.groupBy(F.col("folder").alias("path")).agg(F.sha2(F.concat(F.lit(f"v{KEPT_VERSION}\n"), F.array_join(parts, "\n")).cast("binary"), 256).alias("key"))
 
 
 def derived_units(spark: SparkSession, plan: DataFrame, kept: str | None = None, cap: int | None = None) -> DataFrame:
     """``units.derive`` of every present unit. With a folder ``kept``, units whose content was derived before are read from there, and the
-    others are derived in one pass and added to it."""
+    others are derived in one pass and added to it, all at once or, where the run is killed, not at all."""
     by = ["path"]
     if kept is None:
         return _derived(read_answers(spark, plan), by, cap)
     found = unit_digests(spark, plan).select("path", F.sha2(F.concat_ws("\n", "key", F.lit(str(cap))), 256).alias("key")).collect()  # a row for each unit of the plan
     keys = spark.createDataFrame(found, "path string, key string")
-    at = f"{kept.rstrip('/')}/units"
-    done = spark.read.parquet(at).select("key").distinct() if files.exists(spark, f"{at}/*.parquet") else spark.createDataFrame([], "key string")
+    book = Ledger(spark, f"{kept.rstrip('/')}/units")
+    done = spark.createDataFrame([], "key string") if book.is_empty() else book.read().select("key").distinct()
     new = keys.join(done, "key", "left_anti").groupBy("key").agg(F.min("path").alias("path"))  # units of one content are derived once
     todo = plan.join(F.broadcast(new), "path", "left_semi")
     if not todo.isEmpty():
-        made = _derived(read_answers(spark, todo), by, cap).join(F.broadcast(new), "path")
-        made.write.mode("append").parquet(at)
-    out = spark.read.parquet(at).drop("path").join(F.broadcast(keys), "key").drop("key")
-    return out
+        book.add(_derived(read_answers(spark, todo), by, cap).join(F.broadcast(new), "path"))
+    return book.read().dropDuplicates(["key", "problem_id"]).drop("path").join(F.broadcast(keys), "key").drop("key")
 
 
 def _derived(answers: DataFrame, by: Sequence[str], cap: int | None) -> DataFrame:
@@ -144,8 +149,8 @@ def _derived(answers: DataFrame, by: Sequence[str], cap: int | None) -> DataFram
 
 def read_records(spark: SparkSession, plan: DataFrame, name: str, schema: str) -> DataFrame:
     """One small JSON record of each present unit (such as meta.json or metrics.json), with its path."""
-    paths = [f"{r['path']}/{name}" for r in plan.where("present").select("path").distinct().collect()]
-    there = [p for p in paths if files.exists(spark, p)]
+    folders = [r["path"] for r in plan.where("present").select("path").distinct().collect()]
+    there = files.listing(spark, folders, name) if folders else []
     if not there:
         return spark.createDataFrame([], f"{schema}, path string")
     return spark.read.schema(schema).option("multiLine", True).json(there).withColumn("path", _folder())

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.sources import schemas
+from tallyforge.sources.ledger import Ledger
 
 from .history import pass_history  # noqa: F401
-from .ledger import Ledger
 
 
 def reward_stream(spark: SparkSession, folder: str, schema: str = schemas.REWARDS, most_files: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def windowed_values(events: DataFrame, ts: str = "ts", value: str = "value", wid
 
 def once_per_step(rewards: DataFrame, clock: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Rows that come again within ``late`` count once. What a restarted run rewrites later than that is told by its attempt
-    (``ledger.newest_attempts``)."""
+    (``attempts.newest_attempts``)."""
     return rewards.withWatermark(clock, late).dropDuplicatesWithinWatermark(keys)
 
 

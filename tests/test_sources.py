@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.sources import files
-from tallyforge.streaming import history, ledger, logs
+from tallyforge.sources import digests, files, ledger
+from tallyforge.streaming import attempts, history, logs
 
 
 def test_jsonl(spark, tmp_path):
@@ -117,16 +117,45 @@ def test_steps_of_restarted_attempts(spark):
     rows += [("y", 5, None, 0, "start"), ("z", 0, 0, -1, "z00")]
     log = spark.createDataFrame(rows, "run string, attempt int, step int, resumed_from int, what string")
     # y's fifth attempt began anew and has written nothing: nothing of y counts
-    assert sorted(r["what"] for r in ledger.newest_attempts(log, ["run"]).collect()) == ["x01", "x02", "x13", "x14", "x25", "x26", "z00"]
+    assert sorted(r["what"] for r in attempts.newest_attempts(log, ["run"]).collect()) == ["x01", "x02", "x13", "x14", "x25", "x26", "z00"]
 
 
 def test_step_sums_are_merged(spark, tmp_path):
-    book = ledger.step_ledger(spark, str(tmp_path / "l"), ["run"])
+    book = attempts.step_ledger(spark, str(tmp_path / "l"), ["run"])
     book.most_folders = 2
     rows = [("x", 0, -1, s, 1.0, True) for s in range(4)]
     for k in range(4):
         more = [("x", 1, 1, s, 0.0, False) for s in (2, 3)] if k == 3 else []
-        book.append(ledger.step_sums(spark.createDataFrame(rows + more, "run string, attempt int, resumed_from int, step int, reward double, correct boolean"), ["run"]), k)
-    found = {r["step"]: (r["n"], r["reward_mean"], r["n_correct"]) for r in ledger.step_stats(book, ["run"]).collect()}
+        book.append(attempts.step_sums(spark.createDataFrame(rows + more, "run string, attempt int, resumed_from int, step int, reward double, correct boolean"), ["run"]), k)
+    found = {r["step"]: (r["n"], r["reward_mean"], r["n_correct"]) for r in attempts.step_stats(book, ["run"]).collect()}
     assert found == {0: (4, 1.0, 4), 1: (4, 1.0, 4), 2: (1, 0.0, 0), 3: (1, 0.0, 0)}
     assert book.read().where("step = 0").count() < 4
+
+
+def test_tree_digests_depend_on_the_lines_alone(spark, tmp_path):
+    lines = [f"line {k} {'x' * (k % 37)}" for k in range(9000)]
+    files_ = {"a": lines, "same": lines, "swapped": [lines[1], lines[0], *lines[2:]], "shorter": lines[:-1], "changed": [*lines[:4500], "line", *lines[4501:]], "blank": [*lines[:10], "", *lines[10:]], "empty": [], "one": ["line 0 "]}
+    for name, text in files_.items():
+        (tmp_path / name).write_text("".join(t + "\n" for t in text))
+    paths = [str(tmp_path / n) for n in files_]
+    by = lambda found: {r["path"].rsplit("/", 1)[1]: r["digest"] for r in found.collect()}
+    first = by(digests.tree_digests(spark, paths))
+    assert len(first) == len(files_) and first["a"] == first["same"] and len(set(first.values())) == len(files_) - 1
+    # whatever the splits, and whatever else is read
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        assert by(digests.tree_digests(spark, paths)) == first
+        assert by(digests.tree_digests(spark, paths[-1:])) == {"one": first["one"]}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ledger_add_takes_the_next_free_number(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "l"))
+    assert book.is_empty() and book.add(spark.range(3)) == 0
+    late = ledger.Ledger(spark, str(tmp_path / "l"))
+    known, seen = late.last, iter([-1])
+    late.last = lambda: next(seen, known())  # at first it hasn't seen the other's batch
+    assert late.add(spark.range(3, 5)) == 1
+    assert sorted(r["id"] for r in book.read().collect()) == list(range(5))
