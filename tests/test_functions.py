@@ -79,3 +79,17 @@ def test_criterion_and_tiers(spark):
     with pytest.raises(Exception, match="out of range"):
         spark.range(9, 10).select(tiering.tier_of(F.col("id")).alias("t")).collect()
     assert stats.ratio_interval([1, 2, 3], [1, -1, 0.1], 500)["bounded"] is False and stats.ratio_interval([1, 2, 3], [1, 1, 1], 500)["bounded"]
+
+
+def test_looser_rules(spark):
+    """By rule what is read, from texts of each reading's own making."""
+    cases = [
+        ("Answer: 5", 5, 5, 5), ("so\nAnswer:   5  \nbye", 5, 5, 5), ("  Answer: 5", None, 5, 5), ("answer: 5", None, 5, 5), ("Answer: 1,000", None, 1000, 1000), ("Answer: 5 of 6", None, None, None),
+        ("**Final Answer:** 7.", None, 7, 7), ("Answer 7", None, 7, 7), ("**Answer**: $\\boxed{8}$.", None, 8, 8), ("my Answer: 5", None, None, None), ("Answer: 5 apples", None, None, None), ("Answer:\n\n9", 9, 9, 9),
+        ("so \\boxed{ 12 } it is", None, 12, 12), ("\\boxed{12", None, None, None), ("the answer is 4, I think", None, None, 4), ("The final answer is: $\\boxed{44}$ here", None, 44, 44), ("the answer is (6)", None, None, 6),
+        ("Answer: 1\nthe answer is 2", 1, 1, 2), ("the answer is 2\nAnswer: 1", 1, 1, 1), ("\\boxed{3}\nAnswer: 1\n\\boxed{4}", 1, 4, 4), ("Answer: 1\nAnswer: two", 1, 1, 1), ("nothing", None, None, None), ("", None, None, None), (None, None, None, None),
+        ("Answer: -3", -3, -3, -3), ("12 Answer: 5", None, None, None), ("the answer is clearly 5", None, None, None), ("Answer: 99999999999999999999", None, None, None), ("ANSWER: 5}", None, 5, 5),
+    ]
+    df = spark.createDataFrame([c[:1] for c in cases], "t string").select("t", *[extract.extract_by_rule(F.col("t"), r).alias(r) for r in ("strict", "boxed", "prose")])
+    got = [(r["t"], r["strict"], r["boxed"], r["prose"]) for r in df.collect()]
+    assert got == cases
