@@ -146,9 +146,27 @@ def ratio_interval(spark, d):
     return res.ratios(s.unionByName(zero), "1", "0", "none")
 
 
-@query("weighted_bootstrap")
+def interval_sql(scores: str, by: str) -> str:
+    """Of a table ``scores`` (``by``, problem_id, score): n_problems, mean, low, high by weights of 10,000 resamples."""
+    return f"""problems AS (SELECT DISTINCT problem_id FROM {scores}), drawn AS ({resample.weights_sql(10_000)}),
+    means AS (SELECT {by}, trial, sum(w * score) / nullif(sum(w), 0) AS m FROM {scores} JOIN drawn USING (problem_id) GROUP BY {by}, trial),
+    ends AS (SELECT {by}, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means WHERE m IS NOT NULL GROUP BY {by}),
+    found AS (SELECT {by}, count(*) AS n_problems, round(avg(score), 9) AS mean FROM {scores} GROUP BY {by})"""
+
+
+BOUNDS = ("mean", "low", "high")
+
+
+@query("weighted_bootstrap", f"""WITH {SIDES}, sc AS (SELECT arm, seed, split AS metric, problem_id, score FROM q), {interval_sql('sc', 'arm, seed, metric')} SELECT * FROM found JOIN ends USING (arm, seed, metric)""")
 def weighted_bootstrap(spark, d):
-    return resample.intervals(common(spark, d), ["arm", "seed", "metric"])
+    return resample.intervals(common(spark, d), ["arm", "seed", "metric"]).withColumns({c: r(c) for c in BOUNDS})
+
+
+@query("contrast_intervals", f"""WITH {SIDES}, sc AS (SELECT key, metric, problem_id, avg(a - b) AS score FROM j GROUP BY ALL), {interval_sql('sc', 'key, metric')} SELECT key, metric, n_problems, low, high FROM found JOIN ends USING (key, metric)""")
+def contrast_intervals(spark, d):
+    """The paired intervals of contrasts, by all resamples."""
+    out = res.contrasts(common(spark, d), rates(spark, d), res.spec_table(spark, SPECS))
+    return out.select("key", "metric", "n_problems", r("low").alias("low"), r("high").alias("high"))
 
 
 # -- integrity checks with planted faults: the store's units are arms and seeds of the split

@@ -20,7 +20,7 @@ def pairs(spark):
 def test_weighted_sums_are_plain_sums(spark, pairs):
     rows, df = pairs
     got = resample.weighted_sums(df.repartition(3), ["arm"], ["top"], 50, seed=2).toPandas().sort_values(["arm", "trial"])
-    keys = {r["problem_id"]: r["k"] for r in df.select("problem_id", F.xxhash64(F.col("problem_id").cast("string")).alias("k")).collect()}
+    keys = {r["problem_id"]: r["k"] for r in df.select("problem_id", resample.problem_key(F.col("problem_id")).alias("k")).collect()}
     for arm in "xy":
         mine = [(keys[k], t) for a, k, t, _ in rows if a == arm]
         w = resample.weights(np.array([k for k, _ in mine]), 50, 2)
@@ -28,6 +28,19 @@ def test_weighted_sums_are_plain_sums(spark, pairs):
         assert np.allclose(part.weight, w.sum(0)) and np.allclose(part.top, np.array([t for _, t in mine]) @ w)
 
 
+def test_many_groups_and_groups_in_parts(spark, monkeypatch):
+    """Groups of one and of many problems, null among the keys; a group dealt in parts has the same sums."""
+    rows = spark.range(3000).select((F.when(F.col("id") % 7 > 0, F.col("id") % 500)).alias("g"), F.lit("x").alias("h"), F.col("id").alias("problem_id"), (F.col("id") % 11 / 10).alias("score"))
+    rows = rows.union(spark.createDataFrame([(1, None, 1, 0.5), (1, None, 2, None), (2, None, 3, None)], "g long, h string, problem_id long, score double"))
+    plain = {(r["g"], r["h"]): r for r in resample.intervals(rows, ["g", "h"], resamples=200).collect()}
+    assert len(plain) == 502 and plain[1, None]["n_problems"] == 1 and plain[1, None]["low"] == plain[1, None]["high"] == 0.5
+    finish = lambda sums: {"n": sums[0, :1], "a": sums[1, 1:2], "b": sums[1, 200:]}
+    sums = [resample.by_group(rows, ["g", "h"], ["score"], finish, "n double, a double, b double", 200, large=n).collect() for n in (1 << 16, 4)]
+    one, other = ({(r["g"], r["h"]): (r["n"], round(r["a"], 9), round(r["b"], 9)) for r in part} for part in sums)
+    assert one == other and len(one) == 502 and one[None, "x"][0] == 429
+    assert resample.intervals(rows, [], resamples=50).first()["n_problems"] == 3001
+
+
 def test_weights_are_poisson():
     w = resample.weights(np.arange(1000, dtype=np.int64) * 7919, 400, 0)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.005
