@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.joins import join_counted  # noqa: F401
 from tallyforge.sources.files import shared_folder
 
 #: Stands for a null id inside packed arrays; sorts before every real id.
@@ -31,20 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: A key that more than one in so many rows share is joined by broadcast: there are fewer such keys than this.
-HOT_KEYS = 10_000
-
-
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
-    """``left`` with the columns of ``right`` (``how``: inner or left). ``right`` has one row a key and in ``n`` how many rows of
-    ``left`` have it. Hot keys are broadcast, fewer than HOT_KEYS rows; the rest is shuffled, and none of its keys has more than one
-    in HOT_KEYS of the rows. So no task gets a key's rows, however many they are. Both sides are read twice and should be stored."""
-    total = right.agg(F.sum(n).alias("n")).first()["n"] or 0
-    hot = right.where(F.col(n) * HOT_KEYS > total)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) * HOT_KEYS <= total), keys, how)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
-
-
 def remainder_of_id(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; the fold rule of the classifiers. A null id counts as text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
