@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cuts between ranges of the order; they come from as many rows, chosen by hash.
-CUTS = 256
+from tallyforge.sources.files import stored
 
+#: Rows of a range of the order, about: there are as many ranges as that takes, so a task's share doesn't grow with the table.
+RANGE_ROWS = 1 << 18
 
-def numbered(rows: DataFrame, order: list[str], name: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """``rows`` with ``name``, the place from 0 in ``order`` (within ``by``). Ranges of the order are counted, and rows numbered within
-    their range; ``order`` should tell rows apart, ties are broken at will."""
-    key = F.struct(*[F.col(c) for c in order])
-    cuts = rows.select(key.alias("k")).orderBy(F.xxhash64(*order)).limit(CUTS).agg(F.array_sort(F.collect_set("k")).alias("cuts"))  # a row of CUTS keys
-    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("range_", F.size(F.filter("cuts", lambda c: c <= key))).drop("cuts")
-    counts = ranged.groupBy(*by, "range_").agg(F.count("*").alias("n_"))
+
+def numbered(rows: DataFrame, order: list[str], name: str, by: list[str] = [], range_rows: int = RANGE_ROWS) -> DataFrame:  # noqa: B006
+    """``rows`` with ``name``, the place from 0 in ``order`` (within ``by``).
+
+    Spark samples the order, splits it into ranges and sorts them; the ranges are stored, counted, and a row's place is its place in the
+    range behind the ranges before. Rows that ``order`` doesn't tell apart are ordered by a hash of all their columns (but maps), so only
+    rows alike in everything share a range whatever their number; those are ordered at will."""
+    told = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keyed = rows.withColumn("tie_", F.xxhash64(*[F.col(f"`{c}`") for c in told]))
+    key = [*(F.col(f"`{c}`") for c in (*by, *order)), F.col("tie_")]
+    ranges = max(1, -(-rows.count() // range_rows))
+    at = F.monotonically_increasing_id()
+    laid = stored(keyed.repartitionByRange(ranges, *key).sortWithinPartitions(*key).drop("tie_").withColumn("range_", F.shiftright(at, 33)).withColumn("at_", at.bitwiseAND((1 << 33) - 1)))
+    counts = laid.groupBy(*by, "range_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))  # a range of the order is one group, or the end of one and the next ones
+    # of each group the rows in the ranges before; without ``by`` there are as many rows as ranges
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*by, "range_", before.alias("before_"))  # CUTS rows of a group
-    place = F.col("before_") + F.row_number().over(Window.partitionBy(*by, "range_").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts) if not by else starts, [*by, "range_"]).withColumn(name, place).select(*rows.columns, name)
+    named = [f"by{i}_" for i in range(len(by))]
+    starts = counts.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, named, strict=True)], F.col("range_").alias("of_"), (before - F.col("first_")).alias("shift_"))
+    on = F.col("range_") == F.col("of_")
+    for c, n in zip(by, named, strict=True):
+        on &= F.col(f"`{c}`").eqNullSafe(F.col(n))
+    return laid.join(starts, on).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("at_") + F.col("shift_")).alias(name))

@@ -66,16 +66,14 @@ def selection_budget(samples: DataFrame, selected: DataFrame) -> DataFrame:
 
 def interleave(rows: DataFrame, order: str) -> DataFrame:
     """position: easy, medium, hard in turn, each in its own order, for as long as they last; other tiers come last."""
-    known = F.col("tier").isin(*TIERS)
-    turn = F.row_number().over(Window.partitionBy("tier").orderBy(order))
-    rank = F.when(F.col("tier") == "easy", 0).when(F.col("tier") == "medium", 1).otherwise(2)
-    keyed = rows.select("*", F.when(known, 0).otherwise(1).alias("last"), F.when(known, turn).otherwise(0).alias("turn"), F.when(known, rank).otherwise(0).alias("rank"))
-    # a row's position is counted from the sizes of the tiers (three numbers), so that no window spans all rows
-    sizes = {r["rank"]: r["n"] for r in keyed.where("last = 0").groupBy("rank").agg(F.count("*").alias("n")).collect()}
-    earlier = [F.least(F.lit(n), F.col("turn") - F.when(F.lit(other) < F.col("rank"), 0).otherwise(1)) for other, n in sizes.items()]
-    placed = keyed.where("last = 0").select(*rows.columns, sum(earlier, F.lit(0)).cast("bigint").alias("position"))
-    rest = numbered(keyed.where("last = 1").select(*rows.columns), ["tier", order], "rest_")
-    return placed.unionByName(rest.select(*rows.columns, (F.lit(sum(sizes.values())) + F.col("rest_")).cast("bigint").alias("position")))
+    rank = F.when(F.col("tier") == "easy", 0).when(F.col("tier") == "medium", 1).when(F.col("tier") == "hard", 2).otherwise(3)
+    keyed = rows.withColumns({"rank_": rank, "named_": F.when(rank == 3, F.col("tier"))})
+    turned = numbered(keyed, ["named_", order], "turn_", by=["rank_"])
+    # a row's position is counted from the sizes of the tiers (four numbers) and its place in its own
+    sizes = {r["rank_"]: r["n"] for r in turned.groupBy("rank_").agg(F.count("*").alias("n")).collect()}
+    earlier = [F.least(F.lit(sizes.get(other, 0)), F.col("turn_") + F.when(F.lit(other) < F.col("rank_"), 1).otherwise(0)) for other in range(3)]
+    last = F.lit(sum(n for k, n in sizes.items() if k < 3)) + F.col("turn_")
+    return turned.select(*rows.columns, F.when(F.col("rank_") == 3, last).otherwise(sum(earlier, F.lit(0))).cast("bigint").alias("position"))
 
 
 def build_splits(problems: DataFrame, wanted: list[tuple[str, dict[str, int]]], seed: int = 0) -> DataFrame:

@@ -88,6 +88,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tallyforge-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder's checkpoints and read from there: it is computed once, and a lost executor costs nothing of it."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """Records of a fixed schema; blank lines are skipped and malformed ones are an error. ``strict``: a field that the schema
     doesn't have is an error too (Spark's reader alone would ignore it)."""

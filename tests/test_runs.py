@@ -45,3 +45,21 @@ def test_advantages_of_constant_groups(spark):
     rows = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 0.0), (2, 1.0), (3, 1.0)], "g long, reward double")
     got = {(r["g"], r["reward"]): round(r["advantage"], 4) for r in dynamics.advantages(rows, "g").collect()}
     assert got == {(1, 1.0): 0.0, (2, 0.0): -0.7071, (2, 1.0): 0.7071, (3, 1.0): 0.0}
+
+
+def test_places_over_many_ranges(spark):
+    from tallyforge.operators.ordering import numbered
+    from tallyforge.operators.tiering import interleave
+
+    rows = [(k % 3 if k % 10 else None, k * 7919 % 601, f"r{k}") for k in range(1200)] + [(1, 5, "same")] * 3
+    df = spark.createDataFrame(rows, "g long, o long, id string").repartition(5)
+    got = numbered(df, ["o"], "place", range_rows=50).collect()
+    assert sorted(r["place"] for r in got) == list(range(1203)) and [r["o"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r[1] for r in rows)
+    within = numbered(df, ["o"], "place", by=["g"], range_rows=50).collect()
+    for g in (None, 0, 1, 2):
+        mine = sorted((r["place"], r["o"]) for r in within if r["g"] == g)
+        assert mine == list(enumerate(sorted(o for h, o, _ in rows if h == g)))
+    assert numbered(df.limit(0), ["o"], "place").count() == 0
+    tiers = spark.createDataFrame([(t, k) for k, t in enumerate(["easy"] * 5 + ["hard"] * 3 + ["odd", "medium", None, "an"])], "tier string, k int")
+    order = [r["tier"] for r in sorted(interleave(tiers, "k").collect(), key=lambda r: r["position"])]
+    assert order == ["easy", "medium", "hard", "easy", "hard", "easy", "hard", "easy", "easy", None, "an", "odd"]
