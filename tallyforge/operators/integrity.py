@@ -112,6 +112,40 @@ def final_checkpoints(runs: DataFrame, units: DataFrame, chosen: DataFrame, root
     ])
 
 
+def adapter_at(steps: DataFrame, adapters: DataFrame, by: tuple[str, ...] = ("arm", "seed")) -> DataFrame:
+    """``steps`` (``by``, step) with adapter: the path of the last adapter (``by``, at, path) that the run had saved at that step, null before its first.
+    A run's few adapters go to its rows as one sorted array, so rows of a long run needn't meet in a task."""
+    saved = adapters.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("saved"))
+    last = F.try_element_at(F.filter("saved", lambda a: a["at"] <= F.col("step")), F.lit(-1))["path"]
+    return steps.join(saved, list(by), "left").select(*steps.columns, last.alias("adapter"))
+
+
+def saved_adapters(runs: DataFrame, adapters: DataFrame) -> DataFrame:
+    """What a run says it saved and what is there. ``runs``: arm, seed, final_adapter, present (whether its folder is there), source (the text that names
+    what the final adapter was copied from), epochs (planned) or max_steps, eval_step, eval_set. ``adapters``: arm, seed, kind (epoch or step), at, path.
+
+    The final adapter is there. A run by epochs saved as many as planned, and its final one is a copy of the last. A run by steps evaluates an
+    adapter that it saved: that of eval_step if one is named, and for the set ``final`` that of its last step."""
+    name, run = "saved_adapters", _run("arm", "seed")
+    kinds = adapters.groupBy("arm", "seed").agg(
+        F.count_if(F.col("kind") == "epoch").alias("n_epochs"), F.max_by("path", F.when(F.col("kind") == "epoch", F.col("at"))).alias("last_epoch"), F.map_from_entries(F.collect_list(F.when(F.col("kind") == "step", F.struct("at", "path")))).alias("by_step")
+    )
+    known = runs.join(kinds, ["arm", "seed"], "left").withColumns({"n_epochs": F.coalesce("n_epochs", F.lit(0)), "by_step": F.coalesce("by_step", F.create_map().cast("map<int,string>"))})
+    final, last = F.col("final_adapter"), F.regexp_extract("last_epoch", r"([^/]+)/?$", 1)
+    epochs, stepped = known.where("epochs is not null or n_epochs > 0"), known.where("epochs is null and n_epochs = 0 and max_steps is not null")
+    at = lambda step: F.try_element_at("by_step", F.col(step))
+    named = F.col("eval_step").isNotNull()
+    held_out = (F.col("eval_set") == "final") & (~at("max_steps").eqNullSafe(final) | (named & (F.col("eval_step") != F.col("max_steps"))))
+    return _all([
+        _where(known, name, final.isNull() | ~F.coalesce("present", F.lit(False)), run, ": the final adapter ", F.coalesce(final, F.lit("")), " isn't there"),
+        _where(epochs, name, ~F.col("epochs").eqNullSafe(F.col("n_epochs")), run, ": ", F.col("n_epochs"), " epochs saved, ", F.coalesce(F.col("epochs").cast("string"), F.lit("none")), " planned"),
+        _where(epochs, name, (F.col("n_epochs") > 0) & F.col("source").isNotNull() & ~F.contains("source", last), run, ": the final adapter is no copy of ", last),
+        _where(stepped, name, ~named & ~F.array_contains(F.map_values("by_step"), final), run, ": the run didn't save ", F.coalesce(final, F.lit(""))),
+        _where(stepped, name, named & ~at("eval_step").eqNullSafe(final), run, ": the final adapter isn't that of step ", F.col("eval_step")),
+        _where(stepped, name, held_out, run, ": held-out sets take the adapter of step ", F.col("max_steps"), " alone"),
+    ])
+
+
 def seeds_differ(adapters: DataFrame, texts: DataFrame, base: DataFrame, listing: DataFrame | None = None, least: float = 0.1) -> DataFrame:
     """Adapters (arm, seed, path, sha256) are there and pairwise different, and are those of a checksum ``listing`` (path, digest) if given; no two
     seeds of an arm have all texts (arm, seed, problem_id, completion_sha) alike; a share of ``least`` differs from the ``base`` model's."""

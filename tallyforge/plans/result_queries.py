@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import integrity as g
 from tallyforge.operators import resample
 from tallyforge.operators import results as res
+from tallyforge.operators import tree
 from tallyforge.operators import units as u
 from tallyforge.sources.adapters import V_SAMPLES, samples
 
@@ -169,6 +170,43 @@ def contrast_intervals(spark, d):
     return out.select("key", "metric", "n_problems", r("low").alias("low"), r("high").alias("high"))
 
 
+ALL = "coalesce({0}::VARCHAR, 'all')"
+
+
+@query("result_cells", f"""WITH {SIDES}, r AS (SELECT arm, split AS metric, tier, seed, problem_id, avg(score) AS score FROM q GROUP BY GROUPING SETS ((arm, split, tier, problem_id, seed), (arm, split, tier, problem_id))),
+    sc AS (SELECT CASE WHEN seed IS NULL THEN 'arm' ELSE 'run' END || CASE WHEN by_tier THEN '_tier' ELSE '' END AS level, arm, {ALL.format('seed')} AS seed, metric, CASE WHEN by_tier THEN tier ELSE 'all' END AS tier, problem_id, score FROM r, (VALUES (true), (false)) b(by_tier)),
+    {interval_sql('sc', 'level, arm, seed, metric, tier')},
+    spread AS (SELECT 'arm' || substr(level, 4) AS level, arm, 'all' AS seed, metric, tier, round(stddev_samp(m), 9) AS std, count(*) AS n_seeds FROM (SELECT level, arm, seed, metric, tier, avg(score) AS m FROM sc WHERE seed <> 'all' GROUP BY ALL) GROUP BY ALL)
+    SELECT level, arm, seed, metric, tier, n_problems, mean, low, high, std, n_seeds FROM found JOIN ends USING (level, arm, seed, metric, tier) LEFT JOIN spread USING (level, arm, seed, metric, tier)""")
+def result_cells(spark, d):
+    """Runs and arms, whole and by tier, with intervals. An arm's mean is rounded to where the order of its sums can't be seen."""
+    out = tree.cells(common(spark, d))
+    return out.select("level", "arm", F.coalesce(F.col("seed").cast("string"), F.lit("all")).alias("seed"), "metric", F.coalesce("tier", F.lit("all")).alias("tier"), "n_problems", r("value").alias("mean"), r("low").alias("low"), r("high").alias("high"), r("std").alias("std"), "n_seeds")
+
+
+def _units(spark, d):
+    """Units of the two arms and of a base, which is run 1 of arm 0; every third is dirty."""
+    rt = rates(spark, d)
+    rt = rt.unionByName(rt.where("arm = '0' and seed = 1").withColumn("arm", F.lit("base")))
+    name = F.concat_ws("/", "arm", "seed", "metric")
+    return rt.withColumns({"unit": name, "git_dirty": F.col("seed") == 3, "kind": F.when(F.col("arm") == "base", "base").otherwise("arm"), "split": F.col("metric")})
+
+
+def _with_base(spark, d):
+    s = common(spark, d).drop("truncated")
+    return s.unionByName(s.where("arm = '0' and seed = 1").withColumn("arm", F.lit("base")))
+
+
+@query("arms_against_base", f"""WITH {SIDES}, b AS (SELECT problem_id, score FROM q WHERE arm = '0' AND seed = 1 AND split = 'test'),
+    e AS (SELECT arm || '_vs_base' AS key, seed, problem_id, q.score - b.score AS score FROM q JOIN b USING (problem_id) WHERE split = 'test'), sc AS (SELECT key, problem_id, avg(score) AS score FROM e GROUP BY ALL),
+    {interval_sql('sc', 'key')}, runs AS (SELECT key, seed, avg(score) AS s FROM e GROUP BY ALL), z AS (SELECT key, round(avg(s), 9) AS delta, count(*) AS n_seeds FROM runs GROUP BY key)
+    SELECT key, delta, n_seeds, n_problems, low, high, replace(key, '_vs_base', '/3/test') AS dirty_units FROM z JOIN found USING (key) JOIN ends USING (key)""")
+def arms_against_base(spark, d):
+    scores = _with_base(spark, d).where("metric = 'test'")
+    found = tree.contrast_blocks(scores, tree.whole_units(_units(spark, d)), res.spec_table(spark, tree.base_specs(["0", "1", "base"])))
+    return found.select("key", r("delta").alias("delta"), "n_seeds", "n_problems", r("low").alias("low"), r("high").alias("high"), F.array_join("dirty_units", " ").alias("dirty_units"))
+
+
 # -- integrity checks with planted faults: the store's units are arms and seeds of the split
 
 

@@ -109,3 +109,35 @@ def test_notes(store):
     assert messages == {"paid/s1/val: uncommitted changes at abcdef0", "paid/1: uncommitted changes", "hourly rate 2.5"}
     wrapped = store | {"units": at("arm = 'paid'", "kind", "instruct")(store["units"])}
     assert [tuple(r) for r in CHECKS["prompt_bytes"](wrapped).collect()] == [("prompt_bytes", "note", "6 units wrap the prompt")]
+
+
+RUNS = "arm string, seed int, final_adapter string, present boolean, source string, epochs int, max_steps int, eval_step int, eval_set string"
+TRAINED = [("e", 1, "e/1/final", True, "copied from e/1/epoch_3", 3, None, None, "final"), ("s", 1, "s/1/step_300", True, None, None, 300, None, "final"), ("s", 2, "s/2/step_200", True, None, None, 300, 200, "val")]
+SAVED = [("e", 1, "epoch", k, f"e/1/epoch_{k}") for k in (1, 2, 3)] + [("s", seed, "step", k, f"s/{seed}/step_{k}") for seed in (1, 2) for k in (100, 200, 300)]
+#: What is spoiled in a run, or which adapter is lost, and what the message then says.
+FAULTS = [
+    (0, "final_adapter", None, "isn't there"), (0, "present", False, "isn't there"), (0, "present", None, "isn't there"), (0, "epochs", 4, "3 epochs saved, 4 planned"), (0, "epochs", None, "none planned"), (0, "source", "copied from e/1/epoch_2", "no copy of epoch_3"),
+    (1, "final_adapter", "s/2/step_300", "didn't save"), (1, "final_adapter", "s/1/step_200", "held-out sets"), (1, "eval_step", 200, "isn't that of step 200"), (2, "eval_set", "final", "held-out sets"), (2, "eval_step", 250, "isn't that of step 250"),
+    ("lost", 2, None, "2 epochs saved, 3 planned"), ("lost", 5, None, "held-out sets"),
+]
+
+
+def test_saved_adapters(spark):
+    adapters = spark.createDataFrame(SAVED, "arm string, seed int, kind string, at int, path string")
+    names = [c.split()[0] for c in RUNS.split(", ")]
+    assert g.saved_adapters(spark.createDataFrame(TRAINED, RUNS), adapters).collect() == []
+    for which, what, value, message in FAULTS:
+        if which == "lost":
+            found = g.saved_adapters(spark.createDataFrame(TRAINED, RUNS), spark.createDataFrame([a for k, a in enumerate(SAVED) if k != what], adapters.schema))
+        else:
+            run = dict(zip(names, TRAINED[which], strict=True)) | {what: value}
+            found = g.saved_adapters(spark.createDataFrame([tuple(run.values())], RUNS), adapters)
+        rows = found.collect()
+        assert rows and all(r["severity"] == "FAIL" for r in rows) and any(message in r["message"] for r in rows), (which, what, rows)
+
+
+def test_adapter_at_each_step(spark):
+    adapters = spark.createDataFrame(SAVED, "arm string, seed int, kind string, at int, path string").where("kind = 'step'")
+    steps = spark.createDataFrame([("s", 1, k) for k in (1, 99, 100, 101, 250, 300, 999)] + [("x", 1, 5)], "arm string, seed int, step int")
+    got = {(r["arm"], r["step"]): r["adapter"] for r in g.adapter_at(steps, adapters).collect()}
+    assert got == {("s", 1): None, ("s", 99): None, ("s", 100): "s/1/step_100", ("s", 101): "s/1/step_100", ("s", 250): "s/1/step_200", ("s", 300): "s/1/step_300", ("s", 999): "s/1/step_300", ("x", 5): None}

@@ -140,3 +140,36 @@ def test_small_pieces(spark):
     assert spark.range(1).select(generate.chat(F.lit("hi"), "<s>{system}</s><u>{user}</u>", "be brief").alias("c")).first()["c"] == "<s>be brief</s><u>hi</u>"
     pool = generate.pool_uniform(spark, 40).collect()
     assert len({r["problem_id"] for r in pool}) == 40 and {r["total_steps"] for r in pool} <= {2, 3, 4, 5} and len({(r["range_scale"], r["total_steps"]) for r in pool}) >= 4
+
+
+def test_everything_by_one_call(spark, tmp_path):
+    from tallyforge.operators import tree
+    from tallyforge.sources import store
+
+    scores, units = result_queries._with_base(spark, D), result_queries._units(spark, D).withColumn("label", F.upper("arm"))
+    budgets = units.groupBy("arm", "seed").agg(F.lit(5).alias("prompts"))
+    built = tree.build(scores, units, budgets, result_queries.SPECS, [results.Spec("gone", "1", "nobody")], test="test", other="ood", ratio=("1", "0", "base"), resamples=50)
+    assert {r["key"] for r in built["contrasts"].collect()} == {"one_vs_zero", "zero_vs_one"} and {r["key"] for r in built["vs_base"].collect()} == {"0_vs_base", "1_vs_base"}
+    dirty = {(r["key"], r["metric"]): r["dirty_units"] for r in built["contrasts"].collect()}
+    assert dirty["one_vs_zero", "test"] == ["0/3/test", "1/3/test"]
+    tables = tree.tables(built, test="test")
+    assert set(tables) == set(store.TABLES)
+    store.write_tables(tables, str(tmp_path))
+    read = {n: spark.read.option("header", True).csv(str(tmp_path / n)) for n in store.TABLES}
+    assert read["units"].count() == 14 and read["arms"].count() == 6 and read["contrasts"].count() == 4 and read["budgets"].count() == 7 and read["per_tier"].where("tier is null").count() == 0
+    cells = {(r["level"], r["arm"], r["seed"], r["metric"], r["tier"]): r for r in built["cells"].collect()}
+    p = scores.toPandas()
+    for (level, arm, seed, metric, tier), r in cells.items():
+        mine = p[(p.arm == arm) & (p.metric == metric)]
+        mine = mine if seed is None else mine[mine.seed == seed]
+        mine = mine if tier is None else mine[mine.tier == tier]
+        assert abs(r["value"] - mine.groupby("seed").score.mean().mean()) < 1e-9 and r["n_problems"] == mine.problem_id.nunique() and (level.startswith("arm")) == (seed is None) and level.endswith("_tier") == (tier is not None)
+    one = next(r for r in tables["contrasts"].collect() if (r["key"], r["metric"]) == ("one_vs_zero", "test"))
+    assert len(one["delta_per_seed"].split()) == 3 and one["dirty_units"] == "0/3/test 1/3/test" and one["met"] is not None
+    flat = tree.flat(built)
+    assert flat.where("field = 'value'").count() == 14 and flat.groupBy("arm", "seed", "metric", "field").count().where("count > 1").count() == 0
+    text = tree.sections(built, ["test", "ood", "unknown"], test="test")
+    assert list(text) == ["All arms", "Each arm's runs", "Base and reference models", "Tiers on test", "Cut answers by run", "Budgets"]
+    assert text["All arms"].count("±") == 4 and text["Each arm's runs"].count("| mean |") == 2 and text["Base and reference models"].count("base") == 1 and "missing" in text["All arms"]
+    assert text["Budgets"].count("| 5 |") == 7 and text["Cut answers by run"].count("%") == 14
+    assert {r["arm"] for r in tree.cells(scores, n_seeds=3, resamples=20).where("level = 'arm'").collect()} == {"0", "1"}
