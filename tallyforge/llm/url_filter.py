@@ -22,24 +22,32 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: Names of the labelled URL table, everyday sites and six kinds of unwanted ones.
+#: The labelled URL table, everyday sites and eight kinds of unwanted ones, each kind a line.
 ALLOWED = """
-    news library gardens weather project kettles university museum recipes travel cycling chess science health cinema history theatre pottery
-    village-hall orchestra harbour hiking-club novels bakery dentist maps school council coffee painting birdwatch football swimming knitting astronomy
-    geology poetry radio ferry railway bicycle carpentry beekeeping lighthouse market dictionary grammar physics chemistry algebra parish choir
-    allotment canal bridge camping kayak sailing archive census
+    garden weather townmuseum university recipes slowtravel cyclingclub chess
+    science health cinema theatre pottery-studio villagehall orchestra harbour
+    hikingtrails novels bakery dentist streetmaps school council coffee
+    paintings birdwatching football swimming knitting-patterns astronomy-society geology poetry
+    radio ferries railway carpentry beekeepers lighthouse market dictionary
+    grammar physics chemistry algebra-lessons parishchoir allotment canalboats bridges
+    camping kayak sailingschool archive census library languages newspaper
+    furniture candles umbrellas bookbinding lampshades embroidery blacksmith walking
+    jewellery mountains waterfalls
 """.split()
 BLOCKED = """
-    casino-royal win-casino casino-win-big online-casino casino-slots lucky-casino jackpot-casino
-    cheap-pills-shop pills-cheap cheap-meds diet-pills pills-online meds-online cheap-pharma
-    free-bets-now sports-bets bets-free freebets best-bets bet-odds-free
-    spam-farms link-farm spam-links farm-spam linkfarm-seo spam-mailer
-    ads-tracker track-ads ads-click click-track adtracker pixel-ads
-    adult-xx adult-video x-adult adult-chat adult-cams xx-adult-pics
+    grand-casino casino-bonus vegascasino casino-tables livecasino casino-lotto
+    buy-pills pillstore diet-pills pills-direct bluepills sleeping-pills
+    sportsbets bets-today livebets bets-and-odds betsbonus top-bets
+    adultvideos adult-dating adultclips xxxadult adultcams xxx-adult-clips
+    popads ads-network adsclick clickads ads-exchange adspixel
+    spamlinks seo-spam linkspam buy-linkspam spamblast spam-mailing
+    keygen-crack serialcrack crackedgames warez-crack cracksoft crack-keygen
+    paydayloans instant-loans loans-approved loans-cash fastloans bad-credit-loans
 """.split()
-_PLACES = ("", "www.", "m.", "blog.", ""), (".example.com", ".example.net", ".example.org"), ("/en/12", "/2024/page/9", "/de/31.html", "/fr/404", "/index", "/es/64/", "/a/b/7")
+KIND = 6
+_PLACES = ("", "www."), (".com", ".info", ".co.uk", ".de", ".org", ".net"), ("/", "/about.php", "/index.html?", "/store/item", "/2019/03/page", "/view.aspx", "/contact", "/list/all", "/p/")
 #: The labelled URL table (host, path, 1: block): each name at a place that its number gives, alike for both labels.
-LABELLED = tuple((*("".join(x) for x in ((_PLACES[0][k % 5], name, _PLACES[1][k % 3]), (_PLACES[2][k % 7],))), label) for label, names in enumerate((ALLOWED, BLOCKED)) for k, name in enumerate(names))
+LABELLED = tuple((_PLACES[0][k % 2] + name + _PLACES[1][k % 6], _PLACES[2][k % 9].rstrip("?"), label) for label, names in enumerate((ALLOWED, BLOCKED)) for k, name in enumerate(names))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
