@@ -6,22 +6,27 @@ ceil(j/w). Of the released blocks, the one of the earliest deadline gets the slo
 weight's share to within less than one block. Where a source runs dry, the others' weights are scaled up and their times
 start anew from that slot (a phase); no document is left out or repeated.
 
-Weights are whole numbers, so after as many slots as they sum to, each source has had its weight's number of blocks and a
-phase's schedule starts over. Only one such period of each phase is scheduled; a block's slot follows from its period and its
+Weights are whole numbers: given targets in their ratio exactly, if it is one of whole numbers up to SHARES in sum (as 0.3 to 0.7 is),
+else, and by default, in SHARES parts of all, which are the targets that the bound holds for. So after as many slots as they sum to, each source has had its weight's number of blocks and a
+phase's schedule starts over. Only one such period of each phase is scheduled, in a task; a block's slot follows from its period and its
 number within it, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Characters of a block.
 BLOCK_CHARS = 1 << 16
 #: Without given weights, a source's weight is its characters to this power.
@@ -57,15 +62,18 @@ def period(weights: list[int], most: list[int] | None = None) -> list[tuple[int,
 
 @dataclass
 class Phase:
-    """From ``start`` on, ``length`` slots in which ``sources`` have the period ``slots``, again and again; ``first``: the number of
-    each one's first block."""
+    """From ``start`` on, ``length`` slots in which ``sources`` have their period, again and again; ``first``: the number of each one's first
+    block; ``most``: their blocks, if the phase ends within its first period."""
 
     start: int
     length: int
     sources: list[int]
     weights: list[int]
     first: list[int]
-    slots: list[tuple[int, int, int, int]]
+    most: list[int] | None
+
+    def slots(self) -> list[tuple[int, int, int, int]]:
+        return period(self.weights, self.most)
 
 
 def phases(blocks: list[int], weights: list[int]) -> list[Phase]:
@@ -74,9 +82,10 @@ def phases(blocks: list[int], weights: list[int]) -> list[Phase]:
     while active := [i for i, n in enumerate(left) if n]:
         w = [weights[i] for i in active]
         whole = min((left[i] - 1) // weights[i] for i in active)  # periods after which all have a block left
-        slots = period(w, None if whole else [left[i] for i in active])
+        most = None if whole else [left[i] for i in active]
+        slots = period(w, most)
         dry = next(t for t, (i, k, *_) in enumerate(slots) if whole * w[i] + k + 1 == left[active[i]])
-        out.append(Phase(start, whole * sum(w) + dry + 1, active, w, [blocks[i] - left[i] for i in active], slots))
+        out.append(Phase(start, whole * sum(w) + dry + 1, active, w, [blocks[i] - left[i] for i in active], most))
         for i, n in enumerate(w):
             left[active[i]] -= whole * n
         for i, *_ in slots[: dry + 1]:
@@ -89,8 +98,9 @@ def schedule(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int,
     """(source, block, slot, release, deadline, phase) of all blocks, written out."""
     out = []
     for number, p in enumerate(phases(blocks, weights)):
+        slots = p.slots()
         for t in range(p.length):
-            turn, (i, k, release, deadline) = t // sum(p.weights), p.slots[t % sum(p.weights)]
+            turn, (i, k, release, deadline) = t // sum(p.weights), slots[t % sum(p.weights)]
             begin = p.start + turn * sum(p.weights)
             out.append((p.sources[i], p.first[i] + turn * p.weights[i] + k, p.start + t, begin + release, begin + deadline, number))
     return out
@@ -105,14 +115,23 @@ def _with_sizes(rows: DataFrame, about: DataFrame, sources: int) -> DataFrame:
 
 
 def _shares(sizes: list[int], names: list[str | None], weights: Mapping | None) -> list[list[int]]:
-    """Whole weights in turns: of the sources that have a target, and for the others by size once those are through."""
+    """Whole weights in turns: of the sources that have a target, and for the others by size once those are through. Targets whose ratio is
+    that of whole numbers up to SHARES in sum are kept exactly; others are rounded to SHARES parts, one at least."""
     if weights is None:
-        w = [max(n, 1) ** FLATTEN for n in sizes]
-        turns = [w]
+        turns = [[max(n, 1) ** FLATTEN for n in sizes]]
     else:
-        w = [float(weights.get(n, 0) or 0) for n in names]
-        turns = [[max(0.0, x) for x in w], [float(max(n, 1)) if x <= 0 else 0.0 for n, x in zip(sizes, w, strict=True)]]
-    return [[max(1, round(x / sum(t) * SHARES)) if x > 0 else 0 for x in t] for t in turns if sum(t) > 0]
+        given = [max(weights.get(n) or 0, 0) for n in names]
+        turns = [given, [0 if w else max(n, 1) for n, w in zip(sizes, given, strict=True)]]
+    return [_whole(t) or [max(1, round(float(x) / float(sum(t)) * SHARES)) if x else 0 for x in t] for t in turns if any(t)]
+
+
+def _whole(given: list) -> list[int] | None:
+    """Given weights as the smallest whole numbers in their ratio, if those sum to SHARES or less; a float counts as the decimal it prints as."""
+    exact = [Fraction(str(w)) if isinstance(w, float) else Fraction(w) for w in given]
+    scale = lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    whole = [w // gcd(*whole) for w in whole]
+    return whole if sum(whole) <= SHARES else None
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -122,12 +141,25 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str =
     after the others, mixed by size. Null is a source of its own. A null or empty text counts as one character. A document
     longer than a block stands in the block where it begins. Repeated rows are placed each. No rows: none.
     A key that is no number fails, or is null where the session's ANSI mode is off. Documents are in the order of a hash of their
-    ids; those without one in that of their texts. The driver holds a row for each source, and for each phase (there are as many as
-    sources) a period of SHARES slots, or the phase's if it has fewer."""
+    ids; those without one in that of their texts. The driver holds a row for each source and the weights of each phase (there are as many
+    as sources), and goes through one period of SHARES slots at a time, or a phase if that is shorter; the slots are made in tasks."""
     placed = _placed(docs, weights, key, text, source)
     return placed.select(F.col("key").alias(key), F.col("source").alias(source), "block", "slot", "place", "release", "deadline", "phase")
 
 
+def _periods(phases_: DataFrame) -> DataFrame:
+    """s, phase, within, t, release, deadline: a row for each slot of a period of each phase (phase, s, weights, most), made in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, names, weights, most in batch.itertuples(index=False):
+                slots = np.array(period(list(map(int, weights)), None if most is None else list(map(int, most))))
+                yield pd.DataFrame({"s": np.asarray(names, object)[slots[:, 0]], "phase": number, "within": slots[:, 1], "t": np.arange(len(slots)), "release": slots[:, 2], "deadline": slots[:, 3]})
+
+    spread = int(phases_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return phases_.repartition(spread, "phase").mapInPandas(released(run), "s string, phase int, within long, t long, release long, deadline long")
+
+
 def _placed(docs: DataFrame, weights: Mapping[str, float] | None, key: str, text: str, source: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)).cast("long").alias("chars"), F.xxhash64(text).alias("tag"))
@@ -143,13 +175,12 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, key: str, text
         slot += sum(p.length for p in made)
     # of each source, where its blocks of each phase begin, and that phase's weight, number of slots and first slot
     parts: list[list[tuple[int, int, int, int, int]]] = [[] for _ in names]
-    periods = []
+    todo = []
     for number, (offset, p) in enumerate(plan):
         for i, w, first in zip(p.sources, p.weights, p.first, strict=True):
             parts[i].append((first, number, w, sum(p.weights), offset + p.start))
-        periods += [(names[p.sources[i]], number, k, t, release, deadline) for t, (i, k, release, deadline) in enumerate(p.slots)]
-    slots = pd.DataFrame(periods, columns=["s", "phase", "within", "t", "release", "deadline"])
-    slots = spark.createDataFrame(slots.astype({"s": str}), "s string, phase int, within long, t long, release long, deadline long")
+        todo.append((number, [names[i] for i in p.sources], p.weights, p.most))
+    slots = _periods(spark.createDataFrame(todo, "phase int, s array<string>, weights array<long>, most array<long>"))
 
     buckets = [max(1, -(-n // BUCKET_DOCS)) for n in counts]
     about = pd.DataFrame({"s": names, "buckets": buckets, "span": [max(1, round(b**0.5)) for b in buckets], "total": sizes, "blocks": blocks, "parts": parts})
@@ -181,11 +212,14 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, key: str, text
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """``docs`` in the mixed order: its rows, all columns, in partitions that follow one another and are sorted. Rows of a repeated
     id and text stand together, at the first of their places."""
-    first = _placed(docs, weights, "doc_id", "text", "source").groupBy("key", "tag").agg(F.min(F.struct("slot", "place")).alias("o"))
-    order = first.select(F.col("key").alias("order_id"), F.col("tag").alias("order_tag"), F.col("o.slot").alias("order_slot"), F.col("o.place").alias("order_place"))
-    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["order_id"]) & (F.xxhash64(docs["text"]) == order["order_tag"]))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    at, text, source = (own[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    first = _placed(named, weights, at, text, source).groupBy("key", "tag").agg(F.min(F.struct("slot", "place")).alias("o"))
+    joined = named.join(first, F.col(at).cast("long").eqNullSafe(F.col("key")) & (F.xxhash64(text) == F.col("tag")))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(spread, "order_slot", "order_place").sortWithinPartitions("order_slot", "order_place").select(*[docs[c] for c in docs.columns])
+    laid = joined.repartitionByRange(spread, "o.slot", "o.place").sortWithinPartitions("o.slot", "o.place")
+    return laid.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:

@@ -259,6 +259,22 @@ def test_mixed_keeps_rows_in_order(spark, odd):
     assert [order[i] for i in ids] == sorted(order.values())
 
 
+def test_given_weights_are_kept_exactly():
+    assert mixing._shares([10, 20, 30], ["a", "b", "c"], {"a": 0.3, "b": 0.7}) == [[3, 7, 0], [0, 0, 1]]
+    assert mixing._shares([10, 20], ["a", None], {"a": 2, None: 0.5}) == [[4, 1]]
+    assert mixing._shares([10, 30], ["a", "b"], {"z": 1, "a": -2}) == [[1, 3]]
+    (rounded,) = mixing._shares([1, 1], ["a", "b"], {"a": 1e-9, "b": 2 / 3})
+    assert rounded == [1, mixing.SHARES]
+
+
+@pytest.mark.parametrize("keep", [lambda d: mixing.mixed(d), lambda d: jaccard_join.first_of_each_group(d)], ids=["mixed", "first_of_each_group"])
+def test_columns_of_any_name_stay(spark, keep):
+    rows = [(k, f"words that make document {k} unlike the others {k * 7} {k * 11}", "s", k, k + 1, f"x{k}", "c") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, order_slot int, order_place int, tallyforge_key string, copy string").withColumn("slot", F.lit(1)).withColumn("o", F.lit(2))
+    out = keep(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
 # -- 4: substring dedup
 
 

@@ -50,3 +50,29 @@ def test_mixing_takes_effect(spark, monkeypatch):
         assert set(out.doc_id) == set(order)
         found[max(weights, key=weights.get)] = set(map(tuple, out[["doc_id", "piece", "sequence_id"]].to_numpy()))
     assert found[a] != found[b]
+
+
+def test_odd_tables(spark):
+    """Empty, null, repeated and extra: each stage gets the columns of documents and others, and gives them back."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, order_slot int, tallyforge_key string"
+    real = [tuple(r) for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60).collect()]
+    tables = {
+        "empty": [],
+        "nulls": [(None, None, None, None, None)] * 3 + [(1, None, "en", None, None)],
+        "repeated": [*real, *real[:20], *real[:1], (None, real[3][1], None, None, None), (real[5][0], None, None, None, None)],
+    }
+    for name, rows in tables.items():
+        docs = spark.createDataFrame([(*r, 3, "x") for r in rows], schema)
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, D)
+            if stage == "packed":
+                pieces = out.toPandas()
+                assert set(pieces.doc_id.dropna()) <= {r[0] for r in rows}, name
+                break
+            assert out.columns == docs.columns, (name, stage)
+            kept = out.collect()
+            assert len(kept) <= docs.count()
+            if stage == "near_duplicates":
+                texts = [r["text"] for r in kept]
+                assert len(texts) == len(set(texts)), name
+            docs = spark.createDataFrame(kept, schema)
