@@ -98,13 +98,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """Records of a fixed schema; blank lines are skipped and malformed ones are an error. ``strict``: a field that the schema
-    doesn't have is an error too (Spark's reader alone would ignore it)."""
-    if strict:
-        known = {f.name for f in spark.createDataFrame([], schema).schema.fields}
-        keys = spark.read.text(path).where("trim(value) != ''").select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
-        if unknown := [r["k"] for r in keys.where(~F.col("k").isin(*known)).limit(5).collect()]:
-            raise ValueError(f"unknown fields: {unknown}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    doesn't have is an error too (Spark's reader alone would ignore it). Each line is read once: its keys are checked in the same scan
+    that parses it, so errors come when rows are asked for."""
+    if not strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    known = F.array(*[F.lit(c) for c in spark.createDataFrame([], schema).columns])
+    unknown = F.array_except(F.json_object_keys("value"), known)
+    line = F.when(F.coalesce(F.size(unknown), F.lit(0)) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", "))).cast("string")).otherwise(F.col("value"))
+    rows = spark.read.text(path).where("trim(value) != ''").select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("row"))
+    return rows.select("row.*")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -14,8 +14,16 @@ def test_jsonl(spark, tmp_path):
     path.write_text('{"problem_id": "a", "answer": 3}\n\n{"problem_id": "b", "answer": 4}\n')
     assert files.read_problems(spark, str(path)).select("problem_id", "answer").collect() == [("a", 3), ("b", 4)]
     path.write_text('{"problem_id": "a", "colour": 3}\n')
-    with pytest.raises(ValueError, match="colour"):
-        files.read_problems(spark, str(path))
+    with pytest.raises(Exception, match="unknown fields: colour"):
+        files.read_problems(spark, str(path)).collect()
+    path.write_text('{"problem_id": "a", "answer": 3}\n{"problem_id": "a", "answer": "three"}\n')
+    with pytest.raises(Exception, match="(?i)malformed|cannot be parsed|parse"):
+        files.read_problems(spark, str(path)).collect()
+    path.write_text('{"problem_id": "a"\n')
+    with pytest.raises(Exception, match="(?i)malformed|cannot be parsed|parse"):
+        files.read_problems(spark, str(path)).collect()
+    plan = files.read_problems(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
     assert files.read_rewards(spark, str(tmp_path / "missing.jsonl")).count() == 0
 
 
