@@ -55,9 +55,10 @@ def candidates(cells: DataFrame, attempts: int, config: PoolConfig = PoolConfig(
     return drawn(cells.crossJoin(cells.sparkSession.range(attempts).withColumnRenamed("id", "attempt")), config)
 
 
-def drawn(rows: DataFrame, config: PoolConfig = PoolConfig()) -> DataFrame:
-    """``rows`` (scale, total_steps, attempt), each with an unchecked pipeline."""
-    draw = lambda *slot: hash_int(config.seed, F.col("scale"), F.col("total_steps"), F.col("attempt"), *slot)
+def drawn(rows: DataFrame, config: PoolConfig = PoolConfig(), numbers=hash_int) -> DataFrame:
+    """``rows`` (scale, total_steps, attempt), each with an unchecked pipeline. ``numbers``: ``hash_int``, or ``sha_int``, which other engines can
+    repeat."""
+    draw = lambda *slot: numbers(config.seed, F.col("scale"), F.col("total_steps"), F.col("attempt"), *slot)
     low, high = (F.element_at(F.create_map(*[x for b in config.bands for x in (F.lit(b[0]), F.lit(b[k]))]), F.col("scale")).cast("bigint") for k in (1, 2))
     span = between(draw("span"), low, high)
     rows = rows.withColumn("span", span).withColumn("lo", between(draw("lo"), config.lo_min, F.lit(config.lo_min) + high - F.col("span"))).withColumn("hi", F.col("lo") + F.col("span"))
@@ -94,9 +95,24 @@ def drawn(rows: DataFrame, config: PoolConfig = PoolConfig()) -> DataFrame:
 def checked(rows: DataFrame, least: int = 3) -> DataFrame:
     """Candidates with trace, answer, reason (null: acceptable) and problem_id; of equal ones the first attempt counts."""
     found = solved(rows).withColumn("reason", reject_reason(least=least)).withColumn("problem_id", canonical_id())
-    first = Window.partitionBy("problem_id", F.col("reason").isNull()).orderBy("attempt", "scale", "total_steps")
+    return first_attempts(found, "problem_id", ["attempt", "scale", "total_steps"])
+
+
+def first_attempts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with reason ``duplicate_id`` where an earlier acceptable row (reason null) has the same key."""
+    first = Window.partitionBy(key, F.col("reason").isNull()).orderBy(*order)
     again = F.col("reason").isNull() & (F.row_number().over(first) > 1)
-    return found.withColumn("reason", F.when(again, "duplicate_id").otherwise(F.col("reason")))
+    return rows.withColumn("reason", F.when(again, "duplicate_id").otherwise(F.col("reason")))
+
+
+def filled(rows: DataFrame, targets: DataFrame, cell: list[str], attempt: str = "attempt") -> tuple[DataFrame, DataFrame]:
+    """(rows taken, cell accounting): each cell of ``targets`` (``cell``, target) filled with its first acceptable attempts. The account has for each
+    cell the attempts up to the one that filled it (all, if it stays short), accepted, target and rejection_rate. Cells are few."""
+    nth = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy(*cell).orderBy(attempt))
+    known = rows.join(F.broadcast(targets), cell).withColumn("nth", nth)
+    used = known.where((F.col("nth") < F.col("target")) | ((F.col("nth") == F.col("target")) & F.col("reason").isNull()))
+    account = used.groupBy(*cell, "target").agg(F.count("*").alias("attempts"), F.count_if(F.col("reason").isNull()).alias("accepted"))
+    return used.where("reason is null").drop("nth"), account.withColumn("rejection_rate", F.round(1 - F.col("accepted") / F.col("attempts"), 4))
 
 
 def cell_targets(spark: SparkSession, n: int, config: PoolConfig = PoolConfig()) -> DataFrame:
@@ -112,17 +128,13 @@ def pool(spark: SparkSession, n: int, config: PoolConfig = PoolConfig(), attempt
     attempts = attempts or max(64, 8 * most)
     while True:
         rows = checked(candidates(targets.select("scale", "total_steps"), attempts, config), config.least_final)
-        nth = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy("scale", "total_steps").orderBy("attempt"))
-        rows = rows.join(F.broadcast(targets), ["scale", "total_steps"]).withColumn("nth", nth)
-        made = rows.where("reason is null and nth <= target")
-        if made.groupBy("scale", "total_steps").count().join(targets, ["scale", "total_steps"], "right").where("coalesce(count, 0) < target").isEmpty():
+        made, account = filled(rows, targets, ["scale", "total_steps"])
+        if account.where("accepted = target").count() == targets.where("target > 0").count():
             break
         if attempts >= wanted_attempts(most):
             raise RuntimeError(f"a cell is short after {attempts} attempts")
         attempts *= 2
-    used = rows.where((F.col("nth") < F.col("target")) | ((F.col("nth") == F.col("target")) & F.col("reason").isNull()))
-    account = used.groupBy("scale", "total_steps").agg(F.count("*").alias("attempts"), F.count_if(F.col("reason").isNull()).alias("accepted"))
-    account = account.withColumn("rejection_rate", F.round(1 - F.col("accepted") / F.col("attempts"), 4))
+    account = account.drop("target")
     problems = made.select("problem_id", "pipeline", F.col("answer").cast("bigint").alias("answer"), F.col("scale").alias("range_scale"), F.size("pipeline.filters").alias("n_filters"), F.size("pipeline.transforms").alias("n_transforms"), "total_steps")
     return problems, account
 
@@ -192,10 +204,10 @@ def check_phrases(least: int = 3) -> None:
         raise ValueError(f"too few phrases: {short}")
 
 
-def render(seed: int = 0, pipeline: str = "pipeline", key: str = "problem_id") -> Column:
-    """The problem in words, phrases chosen by a hash of (seed, key, place)."""
+def render(seed: int = 0, pipeline: str = "pipeline", key: str = "problem_id", numbers=hash_int) -> Column:
+    """The problem in words, phrases chosen by a hash (``numbers``) of (seed, key, place)."""
     table = F.create_map(*[x for n, p in PHRASES.items() for x in (F.lit(n), F.array(*map(F.lit, p)))])
-    chosen = lambda options, place: F.get(options, F.pmod(hash_int(seed, F.col(key), place), F.size(options).cast("bigint")).cast("int"))
+    chosen = lambda options, place: F.get(options, F.pmod(numbers(seed, F.col(key), place), F.size(options).cast("bigint")).cast("int"))
 
     def phrase(s: Column, place: Column) -> Column:
         negative = (s["name"] == "add") & (s["k"] < 0)

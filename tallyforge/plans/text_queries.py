@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import extract as x
 from tallyforge.functions import intpipe
-from tallyforge.operators import caps, generate
+from tallyforge.functions.hashrng import sha_int
+from tallyforge.operators import caps, generate, rollups
+from tallyforge.operators.tiering import spread_counts
 from tallyforge.sources.adapters import table
 
 from .catalogue import query
@@ -178,6 +180,109 @@ def render_prompts(spark, d):
     return table(spark, d, "part").select("p_partkey", generate.prompt(F.col("p_name")).alias("prompt"))
 
 
+# -- the generator's parts, on part and order rows, by numbers that SQL can repeat
+
+SEED = generate.PoolConfig().seed
+
+
+def _drawn(slot, index=None, key="scale || ':' || steps || ':' || attempt"):
+    """DuckDB SQL of ``sha_int`` for a slot of an attempt; ``index``: SQL of a place in a list."""
+    tail = f" || ':' || {index}" if index else ""
+    return f"('0x' || substr(sha256('{SEED}:' || {key} || ':{slot}'{tail}), 1, 12))::BIGINT"
+
+
+ALLOWED = [n for n in intpipe.FILTERS if n not in generate.PoolConfig().excluded]
+_DRAWN_FILTER = f"""CASE WHEN name IN ('divisible_by', 'not_divisible_by') THEN name || ' ' || (2 + number % 11) WHEN name IN ('below_threshold', 'above_threshold') THEN name || ' ' || (lo + number % (hi + 2 - lo))
+    WHEN name = 'digit_sum_equals' THEN name || ' ' || (1 + number % 18) WHEN name = 'contains_digit' THEN name || ' ' || number % 10 ELSE name END"""
+_DRAWN_TRANSFORM = "CASE WHEN name = 'add' THEN name || ' ' || (CASE WHEN number % 19 = 9 THEN 1 ELSE number % 19 - 9 END) WHEN name = 'multiply' THEN name || ' ' || (2 + number % 4) WHEN name = 'modulo' THEN name || ' ' || (2 + number % 19) ELSE name END"
+
+
+def _listed(kind, names, shown, n):
+    return f"""SELECT attempt, string_agg({shown}, ', ' ORDER BY i) AS {kind}s FROM (SELECT attempt, lo, hi, i, {_named(names, _drawn(kind, 'i'))} AS name, {_drawn(kind + ' value', 'i')} AS number FROM (SELECT *, unnest(range({n})) AS i FROM ranged)) GROUP BY attempt"""
+
+
+@query("drawn_candidates", f"""WITH a AS (SELECT p_partkey AS attempt, CASE WHEN p_size % 2 = 0 THEN 'S' ELSE 'M' END AS scale, 2 + p_partkey % 4 AS steps FROM part),
+    spans AS (SELECT *, CASE scale WHEN 'S' THEN 50 ELSE 200 END AS high, CASE scale WHEN 'S' THEN 10 + {_drawn('span')} % 41 ELSE 51 + {_drawn('span')} % 150 END AS span, 1 + {_drawn('pair')} % (steps - 1) AS f, {_named(list(intpipe.FINAL), _drawn('op'))} AS op, {_drawn('op value')} AS opn FROM a),
+    ranged AS (SELECT *, 1 + {_drawn('lo')} % (high - span + 1) AS lo, 1 + {_drawn('lo')} % (high - span + 1) + span AS hi FROM spans),
+    fs AS ({_listed('filter', ALLOWED, _DRAWN_FILTER, 'f')}), ts AS ({_listed('transform', list(intpipe.TRANSFORMS), _DRAWN_TRANSFORM, 'steps - 1 - f')})
+    SELECT attempt, scale, steps AS total_steps, lo, hi, filters, coalesce(transforms, '') AS transforms, CASE op WHEN 'product_mod' THEN op || ' ' || (2 + opn % 95) ELSE op END AS op FROM ranged JOIN fs USING (attempt) LEFT JOIN ts USING (attempt)""")
+def drawn_candidates(spark, d):
+    """Each part is an attempt at a problem."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("attempt"), F.when(F.col("p_size") % 2 == 0, "S").otherwise("M").alias("scale"), (2 + k % 4).alias("total_steps"))
+    shown = lambda s: F.concat_ws(" ", s["name"], F.coalesce(s["n"], s["t"], s["s"], s["d"], s["k"], s["m"]).cast("string"))
+    p = F.col("pipeline")
+    return generate.drawn(rows, numbers=sha_int).select("attempt", "scale", "total_steps", p["range"]["lo"].alias("lo"), p["range"]["hi"].alias("hi"), F.array_join(F.transform(p["filters"], shown), ", ").alias("filters"), F.array_join(F.transform(p["transforms"], shown), ", ").alias("transforms"), shown(p["op"]).alias("op"))
+
+
+ATTEMPTS = """o AS (SELECT o_orderkey AS attempt, o_orderpriority AS priority, o_orderstatus AS status, o_custkey AS customer, CASE WHEN o_totalprice < 50000 THEN 'too_cheap' END AS cheap FROM orders),
+    r AS (SELECT *, CASE WHEN cheap IS NULL AND row_number() OVER (PARTITION BY customer, cheap IS NULL ORDER BY attempt) > 1 THEN 'duplicate_id' ELSE cheap END AS reason FROM o),
+    t AS (SELECT priority, 120 // 5 + (row_number() OVER (ORDER BY priority) <= 120 % 5)::INT AS target FROM (SELECT DISTINCT priority FROM o)),
+    n AS (SELECT *, sum((reason IS NULL)::INT) OVER (PARTITION BY priority ORDER BY attempt) AS nth FROM r JOIN t USING (priority)),
+    used AS (SELECT * FROM n WHERE nth < target OR (nth = target AND reason IS NULL))"""
+
+
+def _attempts(spark, d):
+    """Orders as attempts: cells by priority, no cheap ones, one for each customer, 120 in all."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("attempt"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"), F.when(F.col("o_totalprice") < 50000, "too_cheap").alias("reason"))
+    rows = generate.first_attempts(rows, "customer", ["attempt"])
+    cells = sorted(r["priority"] for r in rows.select("priority").distinct().collect())  # five
+    targets = spark.createDataFrame(list(zip(cells, spread_counts(120, len(cells)), strict=True)), "priority string, target long")
+    return rows, generate.filled(rows, targets, ["priority"])
+
+
+@query("cells_filled", f"WITH {ATTEMPTS} SELECT attempt, priority, customer FROM used WHERE reason IS NULL")
+def cells_filled(spark, d):
+    return _attempts(spark, d)[1][0].select("attempt", "priority", "customer")
+
+
+@query("cells_account", f"WITH {ATTEMPTS} SELECT priority, any_value(target)::BIGINT AS target, count(*) AS attempts, sum((reason IS NULL)::INT)::BIGINT AS accepted, round(1 - sum((reason IS NULL)::INT) / count(*), 4) AS rejection_rate FROM used GROUP BY priority")
+def cells_account(spark, d):
+    return _attempts(spark, d)[1][1]
+
+
+@query("attempts_rejected", f"WITH {ATTEMPTS} SELECT priority, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY ALL")
+def attempts_rejected(spark, d):
+    return _attempts(spark, d)[0].groupBy("priority", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _quoted(names):
+    return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
+PHRASE_TABLE = "phrases(name, options) AS (VALUES " + ", ".join(f"('{n}', {_quoted(p)})" for n, p in generate.PHRASES.items()) + ")"
+
+
+def _phrase(options, place):
+    number = f"('0x' || substr(sha256('0:' || k || ':{place}'), 1, 12))::BIGINT"
+    return f"({options})[1 + {number} % len({options})]"
+
+
+def _put(text, **values):
+    for name, value in values.items():
+        text = f"replace({text}, '{{{name}}}', coalesce(({value})::VARCHAR, ''))"
+    return text
+
+
+_F_VALUES = {"d": "k % 10", "n": "k % 5 + 2", "s": "k % 9 + 1", "t": "lo + size"}
+
+
+@query("rendered_problems", f"""WITH {V_PIPES}, {PHRASE_TABLE}, j AS (SELECT p.*, a.options AS fo, b.options AS to_, c.options AS oo FROM p JOIN phrases a ON a.name = f JOIN phrases b ON b.name = t JOIN phrases c ON c.name = o)
+    SELECT k AS p_partkey, {_put(_phrase(_quoted(generate.RANGES), -1), lo='lo', hi='lo + size + 10')} || ' First, ' || {_put(_phrase('fo', 0), **_F_VALUES)} || '. '
+        || {_phrase("['Then, ', 'Next, ']", 1)} || {_put(_phrase('to_', 1), k='k % 4 + 2', m='k % 7 + 3')} || '. ' || {_phrase("['Finally, ', 'Of these, ']", -2)} || {_put(_phrase('oo', -3), m='k % 40 + 7')} || '.' AS text FROM j""")
+def rendered_problems(spark, d):
+    return pipelines(spark, d).select("p_partkey", generate.render(0, key="p_partkey", numbers=sha_int).alias("text"))
+
+
+@query("pipeline_invariants", f"""WITH {V_PIPES}, before AS (SELECT k, list(v::BIGINT ORDER BY v) AS b0 FROM v0 GROUP BY k), mid AS (SELECT k, list(v::BIGINT ORDER BY v) AS b1 FROM v1 GROUP BY k),
+    j AS (SELECT p.k, b0, coalesce(b1, []) AS b1, coalesce(a, []) AS a FROM p JOIN before USING (k) LEFT JOIN mid USING (k) LEFT JOIN g USING (k))
+    SELECT k AS p_partkey, 'empty step' AS broken FROM j WHERE len(b1) = 0 UNION ALL SELECT k, 'step without effect' FROM j WHERE b0 = b1 OR list_sort(a) = b1 UNION ALL SELECT k, 'too few values at the last step' FROM j WHERE len(a) < 3""")
+def pipeline_invariants(spark, d):
+    """Of pipelines that no rule has checked, so that many break a promise."""
+    traced = intpipe.solved(pipelines(spark, d)).withColumnRenamed("p_partkey", "problem_id")
+    return rollups.invariants(traced).withColumnRenamed("problem_id", "p_partkey")
+
+
 @query("problem_pool")
 def problem_pool(spark, d):
     problems, _ = generate.pool(spark, 64)
