@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import check_queries, dynamics_queries, metrics_queries, report_queries, result_queries, rollup_queries, run_queries, stats_queries, text_queries  # noqa: E402, F401
+from . import check_queries, dynamics_queries, metrics_queries, report_queries, result_queries, rollup_queries, run_queries, stats_queries, store_queries, text_queries  # noqa: E402, F401
