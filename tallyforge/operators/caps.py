@@ -47,8 +47,9 @@ def under_cap(samples: DataFrame, cap: int) -> DataFrame:
     return samples.withColumns({"original_n_tokens": F.col("n_tokens"), "original_correct": F.col("correct"), "n_tokens": known, "truncated": F.col("truncated") | over, "correct": F.col("correct") & ~over})
 
 
-def rescored(samples: DataFrame, answers: DataFrame, pools: list[DataFrame] = []) -> DataFrame:  # noqa: B006
-    """Verdicts from the texts anew: the answer of the pool (of several, the last that has the problem), else the stored one."""
+def rescored(samples: DataFrame, answers: DataFrame, pools: list[DataFrame] = [], strict: bool = False) -> DataFrame:  # noqa: B006
+    """Verdicts from the texts anew: the answer of the pool (of several, the last that has the problem), else the stored one. ``strict``: an
+    answer whose problem no pool has, and that stores none, is an error; else it is wrong."""
     from tallyforge.functions.extract import verdict
 
     all_answers = answers.select("problem_id", F.col("answer").alias("pool_answer"), F.lit(0).alias("turn"))
@@ -56,10 +57,32 @@ def rescored(samples: DataFrame, answers: DataFrame, pools: list[DataFrame] = []
         all_answers = all_answers.unionByName(pool.select("problem_id", F.col("answer").alias("pool_answer"), F.lit(k).alias("turn")))
     last = all_answers.groupBy("problem_id").agg(F.max_by("pool_answer", "turn").alias("pool_answer"))
     joined = samples.join(last, "problem_id", "left").withColumn("answer", F.coalesce("pool_answer", "answer"))
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no answer is known of "), F.col("problem_id").cast("string"))).cast("bigint")
+        joined = joined.withColumn("answer", F.coalesce("answer", missing))
     v = joined.withColumn("v", verdict(F.col("completion"), F.col("answer"), F.col("truncated")))
     return v.withColumns({"reward": F.col("v.reward"), "correct": F.col("v.reward") == 1.0, "extracted_answer": F.col("v.extracted"), "extraction_failed": F.col("v.extraction_failed")}).drop("v", "pool_answer")
 
 
+def rescored_run(spark, folder: str, out: str, pools: list[DataFrame], cap: int | None = None, schema: str | None = None) -> DataFrame:
+    """Rescores the answers of a run's folder (samples.jsonl, a file or a folder of parts) into ``out``, which must not exist: samples.jsonl, in order of
+    problem and number, by the last of ``pools`` that has the problem, and cut at ``cap`` tokens if one is given. Returns the summary, one row,
+    which is written beside it as rescore.json."""
+    from tallyforge.sources import files, schemas
+
+    samples = files.read_jsonl(spark, f"{folder}/samples.jsonl", schema or schemas.SAMPLES)
+    if "answer" not in samples.columns:
+        samples = samples.withColumn("answer", F.col("extra.answer"))
+    samples = samples.withColumn("was_", F.col("correct"))
+    scored = rescored(samples, pools[0], pools[1:], strict=True)
+    scored = under_cap(scored, cap) if cap else scored.withColumns({"original_n_tokens": F.col("n_tokens"), "original_correct": F.col("correct")})
+    scored = files.stored(scored.withColumn("original_correct", F.col("was_")).drop("was_", "answer"))
+    files.write_jsonl_once(scored.drop("original_n_tokens", "original_correct"), f"{out}/samples.jsonl", ["problem_id", "extra.sample_idx"])
+    summary = rescore_summary(scored)
+    files.write_new(spark, f"{out}/rescore.json", summary.toJSON().first())
+    return summary
+
+
 def rescore_summary(capped: DataFrame) -> DataFrame:
     """Before and after of ``under_cap``."""
     return capped.agg(

@@ -139,6 +139,27 @@ def pool(spark: SparkSession, n: int, config: PoolConfig = PoolConfig(), attempt
     return problems, account
 
 
+def config_of(document: dict) -> PoolConfig:
+    """A pool's configuration from a document (``store.parse`` of its file): seed, range (lo_min and bands: scale to [low, high] spans), filters,
+    transforms and steps ([least, most]), excluded filters, least_final. What it doesn't name is as by default; another name is an error."""
+    names = {"seed", "lo_min", "bands", "filters", "transforms", "steps", "excluded", "least_final"}
+    if unknown := set(document) - names:
+        raise ValueError(f"unknown settings of a pool: {sorted(unknown)}")
+    given = dict(document)
+    if "bands" in given:
+        given["bands"] = tuple((str(scale), int(low), int(high)) for scale, (low, high) in given["bands"].items())
+    return PoolConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def regenerated_diff(stored: DataFrame, n: int, config: PoolConfig = PoolConfig()) -> DataFrame:
+    """Problems that a stored pool (problem_id, answer, range_scale, total_steps) and one generated anew don't have in common, by side: none if the
+    pool can be reproduced."""
+    from .reports import row_diff
+
+    columns = ["problem_id", "answer", "range_scale", "total_steps"]
+    return row_diff(stored.select(*columns), pool(stored.sparkSession, n, config)[0].select(*columns))
+
+
 def pool_uniform(spark: SparkSession, n: int, config: PoolConfig = PoolConfig(), attempts: int | None = None) -> DataFrame:
     """A pool without strata: each attempt is in a cell by its own hash, and the first ``n`` acceptable ones stay."""
     names = [(b[0], s) for b in config.bands for s in range(config.steps[0], config.steps[1] + 1)]

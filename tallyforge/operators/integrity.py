@@ -217,7 +217,7 @@ def provenance(units: DataFrame, runs: DataFrame) -> DataFrame:
 
 def extremes(rates: DataFrame, who: Sequence[str], column: str = "truncation_rate") -> DataFrame:
     """The highest rate and whose it is (the first of equal ones); 0 and null of none."""
-    return rates.agg(F.coalesce(F.max(column), F.lit(0.0)).alias(column), F.max_by(F.concat_ws("/", *who), F.struct(F.col(column), F.lit(0))).alias("who"))
+    return rates.agg(F.coalesce(F.max(column), F.lit(0.0)).alias(column), F.min_by(F.concat_ws("/", *who), F.struct(-F.col(column), F.concat_ws("/", *who))).alias("who"))
 
 
 def all_checks(parts: Sequence[DataFrame]) -> DataFrame:

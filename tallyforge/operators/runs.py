@@ -55,6 +55,33 @@ def exactly_k(samples: DataFrame, split: DataFrame, k: int) -> DataFrame:
     return mine
 
 
+def tiering_violations(samples: DataFrame, split: DataFrame, k: int) -> DataFrame:
+    """Why a split's tiering answers may not be used, a row each: problems that don't have exactly the answers 0..k-1, answers whose stored verdict
+    (correct) isn't that of their text, and problems whose right answers aren't as many as their pass8 says (null: not recorded). ``samples``:
+    problem_id, sample_idx, completion, truncated, correct; ``split``: problem_id, answer, pass8."""
+    from tallyforge.functions.extract import verdict
+
+    known = split.select("problem_id", "answer", "pass8")
+    mine = samples.join(known.select("problem_id", "answer"), "problem_id")
+    counts = mine.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("sample_idx").alias("k"), F.min("sample_idx").alias("low"), F.max("sample_idx").alias("high"), F.count_if("correct").alias("right"))
+    each = known.join(counts, "problem_id", "left")
+    whole = (F.col("n") == k) & (F.col("k") == k) & (F.col("low") == 0) & (F.col("high") == k - 1)
+    again = verdict(F.col("completion"), F.col("answer"), F.col("truncated"))["reward"] == 1.0
+    name = "tiering_samples"
+    return (
+        _rows(each.where(~F.coalesce(whole, F.lit(False))), name, _say(F.col("problem_id"), ": ", F.coalesce("n", F.lit(0)), f" answers, not those of 0 to {k - 1}"))
+        .unionByName(_rows(mine.where(~again.eqNullSafe(F.col("correct"))), name, _say(F.col("problem_id"), ": answer ", F.col("sample_idx"), " isn't as stored")))
+        .unionByName(_rows(each.where(F.col("right") != F.col("pass8")), name, _say(F.col("problem_id"), ": ", F.col("right"), " right, pass8 is ", F.col("pass8"))))
+    )
+
+
+def tiering_samples(samples: DataFrame, split: DataFrame, k: int = 8) -> DataFrame:
+    """A split's tiering answers; any of ``tiering_violations`` is an error."""
+    if bad := tiering_violations(samples, split, k).limit(5).collect():
+        raise ValueError(f"these answers don't fit the split: {[r['message'] for r in bad]}")
+    return samples.join(split.select("problem_id"), "problem_id", "left_semi")
+
+
 def with_cells(samples: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers with their pool cell, counts of answers without a problem and of those whose own cell disagrees)."""
     j = samples.join(pool.select("problem_id", F.col("cell").alias("pool_cell")), "problem_id", "left")

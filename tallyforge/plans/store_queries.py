@@ -229,3 +229,25 @@ def budgets_checked(spark, d):
     )
     rewards = table(spark, d, "orders").join(r.select(F.col("arm").alias("o_custkey"), "seed"), "o_custkey").select(F.col("o_custkey").alias("arm"), "seed", F.lit(1.0).alias("reward"))
     return integrity.budgets_present(r, rewards, ["tokens"], 10)
+
+
+@query("tiering_checked", f"""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT l_partkey AS problem_id, count(*) AS n, l_partkey % 4 AS k FROM c GROUP BY 1),
+    m AS (SELECT problem_id || ': ' || n || ' answers, not those of 0 to 5' AS message FROM p WHERE n <> 6 UNION ALL SELECT problem_id || ': answer 0 isn''t as stored' FROM p WHERE problem_id % 5 = 0
+    UNION ALL SELECT problem_id || ': ' || (n - (problem_id % 5 = 0)::INT) || ' right, pass8 is ' || (6 - (problem_id % 5 = 0)::INT) FROM p WHERE n <> 6)
+    SELECT 'tiering_samples' AS "check", 'FAIL' AS severity, message FROM m""")
+def tiering_checked(spark, d):
+    """Lines are right answers of problem l_partkey, numbered; every fifth problem's first is stored as wrong. Six are wanted of each."""
+    from pyspark.sql import Window
+
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    answers = lines.select(F.col("l_partkey").alias("problem_id"), place.alias("sample_idx"), F.lit("Answer: 7").alias("completion"), F.lit(False).alias("truncated"))
+    answers = answers.withColumn("correct", ~((F.col("problem_id") % 5 == 0) & (F.col("sample_idx") == 0)))
+    split = answers.select("problem_id", F.lit(7).cast("long").alias("answer"), (6 - (F.col("problem_id") % 5 == 0).cast("int")).alias("pass8")).distinct()
+    return runs.tiering_violations(answers, split, 6)
+
+
+@query("extremes_whose", f"WITH s AS ({V_SAMPLES}), u AS (SELECT arm, seed, problem_id, avg(truncated::INT) AS rate FROM s GROUP BY ALL) SELECT round(max(rate), 9) AS truncation_rate, arg_min(arm || '/' || seed || '/' || problem_id, (-rate, arm || '/' || seed || '/' || problem_id)) AS who FROM u")
+def extremes_whose(spark, d):
+    u = samples(spark, d).groupBy("arm", "seed", "problem_id").agg(F.avg(F.col("truncated").cast("double")).alias("truncation_rate"))
+    return integrity.extremes(u, ["arm", "seed", "problem_id"]).withColumn("truncation_rate", F.round("truncation_rate", 9))

@@ -63,3 +63,48 @@ def test_places_over_many_ranges(spark):
     tiers = spark.createDataFrame([(t, k) for k, t in enumerate(["easy"] * 5 + ["hard"] * 3 + ["odd", "medium", None, "an"])], "tier string, k int")
     order = [r["tier"] for r in sorted(interleave(tiers, "k").collect(), key=lambda r: r["position"])]
     assert order == ["easy", "medium", "hard", "easy", "hard", "easy", "hard", "easy", "easy", None, "an", "odd"]
+
+
+def test_tiering_samples_fit_their_split(spark):
+    rows = [(p, k, "Answer: 5" if k < p else "Answer: 6", False, k < p) for p in (2, 3) for k in range(4)]
+    shape = "problem_id long, sample_idx int, completion string, truncated boolean, correct boolean"
+    split = spark.createDataFrame([(2, 5, 2), (3, 5, None)], "problem_id long, answer long, pass8 int")
+    samples = spark.createDataFrame([*rows, (9, 0, "x", False, True)], shape)
+    assert runs.tiering_samples(samples, split, 4).count() == 8
+    for bad, message in [(rows[1:], "3 answers"), ([*rows[:-1], (3, 3, "Answer: 5", False, False)], "isn't as stored"), ([(2, 0, "Answer: 5", True, True), *rows[1:]], "isn't as stored"), ([(2, 0, "no 6", False, False), *rows[1:]], "pass8 is 2"), ([*rows[:-1], (3, 7, "Answer: 6", False, False)], "4 answers")]:
+        with pytest.raises(ValueError, match=message):
+            runs.tiering_samples(spark.createDataFrame(bad, shape), split, 4)
+
+
+def test_rescoring_a_run(spark, tmp_path):
+    import json
+
+    from tallyforge.operators import caps
+
+    rows = [{"problem_id": p, "completion": "Answer: 5", "correct": p == "a", "truncated": False, "n_tokens": 10 * k + 5, "extra": {"sample_idx": k, "answer": 6}} for p in "ab" for k in range(3)]
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "samples.jsonl").write_text("".join(json.dumps(r) + "\n" for r in reversed(rows)))
+    pools = [spark.createDataFrame([("a", 5), ("b", 4)], "problem_id string, answer long"), spark.createDataFrame([("b", 5)], "problem_id string, answer long")]
+    found = caps.rescored_run(spark, str(tmp_path / "run"), str(tmp_path / "out"), pools, cap=20).first()
+    assert (found["n"], found["accuracy_before"], found["changed"]) == (6, 0.5, 3)  # b's two short ones are right now, a's long one is cut
+    out = [r for r in spark.read.json(str(tmp_path / "out" / "samples.jsonl")).collect()]
+    assert sorted((r["problem_id"], r["extra"]["sample_idx"], r["correct"], r["truncated"]) for r in out) == [(p, k, k < 2, k == 2) for p in "ab" for k in range(3)]
+    assert json.loads((tmp_path / "out" / "rescore.json").read_text())["n"] == 6
+    with pytest.raises(FileExistsError):
+        caps.rescored_run(spark, str(tmp_path / "run"), str(tmp_path / "out"), pools)
+    samples = spark.createDataFrame([("z", "Answer: 5", False, None)], "problem_id string, completion string, truncated boolean, answer long")
+    with pytest.raises(Exception, match="no answer is known of z"):
+        caps.rescored(samples, pools[0], strict=True).collect()
+    assert caps.rescored(samples, pools[0]).first()["correct"] is not True
+
+
+def test_pool_configurations_and_regeneration(spark):
+    config = generate.config_of({"seed": 5, "bands": {"S": [5, 9], "M": [10, 20]}, "filters": [1, 2], "transforms": [0, 1], "steps": [2, 3], "excluded": ["prime"]})
+    assert config.bands == (("S", 5, 9), ("M", 10, 20)) and config.filters == (1, 2) and config.excluded == ("prime",) and config.lo_min == 1
+    for bad in ({"colour": 1}, {"bands": {"S": [5, 12], "M": [10, 20]}}, {"excluded": ["odd one"]}):
+        with pytest.raises(ValueError):
+            generate.config_of(bad)
+    made = generate.pool(spark, 12, config)[0].cache()
+    assert generate.regenerated_diff(made, 12, config).count() == 0
+    sides = {r["side"] for r in generate.regenerated_diff(made.where("answer <> 0 or true").limit(11), 12, config).collect()}
+    assert sides == {"new"}
