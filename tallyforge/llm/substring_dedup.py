@@ -8,14 +8,17 @@ alone are compared.
 
 Documents are dealt into cells of about CELL_BYTES, by id and text; a Python function holds one cell. A cell sends a row for
 each distinct anchor, and later window, however often it holds it. So a passage that a third of all documents share costs one
-row for each cell, and no task gathers more than the cells' rows of one hash.
+row for each cell (16 bytes an anchor, 28 a window). The rows of a hash come to a task sorted, and it goes through them holding
+one row at a time: whether a neighbour has the same hash, and which row came first, is all that is asked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FIRST, NULL_ID, SECOND, SPAN, Words, _powers, mix64, shuffle_partitions
@@ -25,7 +28,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bits of an anchor's hash: anchors that collide only bring windows that are then told apart.
 ANCHOR_BITS = 48
 #: Text of a cell; a longer document is a cell of its own or shares one. There are at least CELLS for each shuffle partition.
-CELL_BYTES, CELLS = 1 << 20, 4
+CELL_BYTES, CELLS = 1 << 21, 4
 #: A shorter text can't hold a window: one byte for each word and between two.
 LEAST_BYTES = 2 * WINDOW - 1
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,6 +112,43 @@ def _send_windows(docs: pa.Table, hits: pa.Table) -> pa.Table:
     return pa.table({"cell": pa.repeat(docs.column("cell")[0], len(h)), "h": h, "g": g, **ids})
 
 
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, h) in order of h those that share it with another. The last row of a batch waits for the next batch."""
+    cell, h, shared = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        cell, h = np.concatenate([cell, batch.column("cell").to_numpy()]), np.concatenate([h, batch.column("h").to_numpy()])
+        if not len(h):
+            continue
+        same = h[1:] == h[:-1]
+        before = np.concatenate([[shared], same])
+        keep = np.flatnonzero(before[:-1] | same)
+        yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(h[keep])], ["cell", "h"])
+        cell, h, shared = cell[-1:], h[-1:], before[-1]
+    if shared:
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(h)], ["cell", "h"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, h, g, doc_key, tag), in order of all but the cell, those whose document isn't the first with their h and g."""
+    first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, g, doc, tag = (batch.column(c).to_numpy() for c in ("h", "g", "doc_key", "tag"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        goes_on = first is not None and (h[0], g[0]) == first[:2]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        late = (doc != doc[at]) | (tag != tag[at])
+        if goes_on:
+            end = len(h) if new[1:].sum() == 0 else 1 + int(np.argmax(new[1:]))
+            late[:end] = (doc[:end] != first[2]) | (tag[:end] != first[3])
+        keep = np.flatnonzero(late)
+        yield pa.RecordBatch.from_arrays([batch.column("cell").take(pa.array(keep)), pa.array(h[keep])], ["cell", "h"])
+        if not (goes_on and at[-1] == 0):
+            first = (h[-1], g[-1], doc[at[-1]], tag[at[-1]])
+
+
 def _finish(docs: pa.Table, later: pa.Table, columns: list[str]) -> pa.Table:
     """A cell's documents without the windows that an earlier cell has, and those that the cell has earlier itself."""
     cell = Cell(docs)
@@ -167,9 +207,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     dealt = named.where(has_windows).withColumn("cell", F.pmod(F.xxhash64(*by), F.lit(cells))).repartition(partitions, "cell")
 
     anchors = dealt.groupBy("cell").applyInArrow(_send_anchors, "cell long, h long")
-    recurring = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("cell", "h")
+    recurring = anchors.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(_recurring, "cell long, h long")
     windows = dealt.groupBy("cell").cogroup(recurring.groupBy("cell")).applyInArrow(_send_windows, "cell long, h long, g int, doc_key long, tag long")
-    later = windows.withColumn("k", F.rank().over(Window.partitionBy("h", "g").orderBy("doc_key", "tag"))).where("k > 1").select("cell", "h")
+    ordered = windows.repartition(partitions, "h", "g").sortWithinPartitions("h", "g", "doc_key", "tag")
+    later = ordered.mapInArrow(_later, "cell long, h long")
     schema = "".join(f"`{c}` {named.schema[c].dataType.simpleString()}, " for c in own)
     finish = lambda left, right: _finish(left, right, own)
     long = dealt.groupBy("cell").cogroup(later.groupBy("cell")).applyInArrow(finish, f"{schema}n_words long, n_removed long, kept_text string")

@@ -321,6 +321,26 @@ def test_cover_aligns_any_two_places():
     assert all(any((i + d) % p in substring_dedup.COVER and (j + d) % p in substring_dedup.COVER for d in range(p)) for i, j in itertools.product(range(p), repeat=2))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_runs_over_batches(size):
+    """Shared hashes and first documents, however the sorted rows are cut into batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    rows = sorted((int(h), int(g), int(d), int(t)) for h, g, d, t in zip(rng.integers(0, 40, 200), rng.integers(0, 2, 200), rng.integers(0, 3, 200), rng.integers(0, 2, 200), strict=True))
+    table = pa.table({"cell": range(200), **{c: [r[k] for r in rows] for k, c in enumerate(("h", "g", "doc_key", "tag"))}})
+    batches = [b for b in table.to_batches(max_chunksize=size)] + [table.slice(0, 0).to_batches()[0]] if table.slice(0, 0).to_batches() else table.to_batches(max_chunksize=size)
+    count = collections.Counter(r[0] for r in rows)
+    found = [c for b in substring_dedup._recurring(iter(batches)) for c in b.column("cell").to_pylist()]
+    assert found == [k for k, r in enumerate(rows) if count[r[0]] > 1]
+    first = {}
+    for r in rows:
+        first.setdefault(r[:2], r[2:])
+    late = [c for b in substring_dedup._later(iter(batches)) for c in b.column("cell").to_pylist()]
+    assert late == [k for k, r in enumerate(rows) if r[2:] != first[r[:2]]]
+    assert list(substring_dedup._recurring(iter([]))) == [] == list(substring_dedup._later(iter([])))
+
+
 # -- 5: Jaccard join
 
 
