@@ -11,9 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.passk import pass_at_k
 from tallyforge.sources.files import stored
 
 from . import results, stats
+from .dynamics import trailing_mean
 from .resample import intervals
 from .results import MISSING, Spec, number
 from .units import MOST_TRUNCATED
@@ -169,3 +171,57 @@ def sections(built: Mapping[str, DataFrame], metrics: Sequence[str], test: str =
         "Cut answers by run": _table(cut, ["arm"], "metric", metrics, F.col("cut")),
         "Budgets": results._markdown("", used.columns, [[MISSING if v is None else str(v) for v in r] for r in rows]).split("\n", 2)[2],
     }
+
+
+# -- what figures are drawn of
+
+
+def pass_curve(problems: DataFrame, ks: Sequence[int] = (1, 2, 4, 8, 16, 32, 64)) -> DataFrame:
+    """arm, k, mean, low, high: pass@k over problems (arm, seed, problem_id, n, c), averaged over an arm's seeds, and the least and greatest of them.
+    A k that some unit has too few answers for is left out of that arm."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col("n") >= k, pass_at_k("n", "c", k)).alias("p")) for k in ks])).alias("x")
+    units = problems.select("arm", "seed", each).select("arm", "seed", "x.*").groupBy("arm", "seed", "k").agg(F.avg("p").alias("p"), F.count_if(F.col("p").isNull()).alias("short"))
+    return units.groupBy("arm", "k").agg(F.avg("p").alias("mean"), F.min("p").alias("low"), F.max("p").alias("high"), F.sum("short").alias("short")).where("short = 0").drop("short")
+
+
+def training_curves(log: DataFrame, values: Sequence[str], width: int = 25) -> DataFrame:
+    """arm, step, field, mean, low, high: of each of ``values`` the trailing mean of a run's last ``width`` steps, averaged over the arm's runs, with the
+    least and greatest run. ``log``: arm, seed, step, n (what a step's value is a mean over) and the values."""
+    out = None
+    for v in values:
+        one = trailing_mean(log, "step", v, "n", width, ["arm", "seed"]).groupBy("arm", "step")
+        one = one.agg(F.avg("trailing").alias("mean"), F.min("trailing").alias("low"), F.max("trailing").alias("high")).select("arm", "step", F.lit(v).alias("field"), "mean", "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def length_shares(answers: DataFrame, width: int = 256, bins: int = 17) -> DataFrame:
+    """arm, bin, correct, n, share: how many of an arm's answers have a length in each bin of ``width`` tokens, right and wrong; the last bin holds all
+    longer ones. Bins without an answer have no row."""
+    at = F.least(F.floor(F.col("n_tokens") / width), F.lit(bins - 1)).cast("int")
+    counts = answers.groupBy("arm", at.alias("bin"), "correct").agg(F.count("*").alias("n"))
+    totals = answers.groupBy("arm").agg(F.count("*").alias("all"))
+    return counts.join(totals, "arm").select("arm", "bin", "correct", "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def figures(built: Mapping[str, DataFrame], problems: DataFrame, log: DataFrame, answers: DataFrame, test: str = "test_greedy", val: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables behind the eight figures, all computed here: accuracy by arm and run, tiers on ``test``, pass@k, reward over training (with ``val``: arm,
+    step, value, as a field of its own), groups without spread, gains against the base by what was used, lengths over training, lengths of answers.
+    ``log``: arm, seed, step, n, reward_mean, zero_std_share, length, cut_share."""
+    all_ = built["cells"]
+    shown = ["arm", "seed", "metric", "tier", "value", "std", "low", "high"]
+    reward = training_curves(log, ["reward_mean"])
+    if val is not None:
+        reward = reward.unionByName(val.select("arm", "step", F.lit("val").alias("field"), F.col("value").alias("mean"), F.col("value").alias("low"), F.col("value").alias("high")))
+    used = built["budgets"].groupBy("arm").agg(*[F.avg(f.name).alias(f.name) for f in built["budgets"].schema.fields if f.dataType.typeName() in ("double", "long", "integer") and f.name != "seed"])
+    gains = built["vs_base"].select(F.col("a").alias("arm"), "delta", "low", "high")
+    return {
+        "accuracy": all_.where(F.col("level").isin("run", "arm")).select(*shown),
+        "tiers": all_.where(F.col("level").isin("run_tier", "arm_tier") & (F.col("metric") == test)).select(*shown),
+        "pass_at_k": pass_curve(problems),
+        "reward": reward,
+        "zero_std": training_curves(log, ["zero_std_share"]),
+        "budget": gains.join(used, "arm", "left"),
+        "training_length": training_curves(log, ["length", "cut_share"]),
+        "answer_length": length_shares(answers),
+    }

@@ -207,6 +207,29 @@ def arms_against_base(spark, d):
     return found.select("key", r("delta").alias("delta"), "n_seeds", "n_problems", r("low").alias("low"), r("high").alias("high"), F.array_join("dirty_units", " ").alias("dirty_units"))
 
 
+@query("figure_pass_at_k", f"""WITH {TIERED}, x AS (SELECT arm, seed, k, n, CASE WHEN n - c < k THEN 1.0 ELSE 1 - list_reduce(list_transform(range(0, k), lambda i: (n - c - i) / (n - i)), lambda a, b: a * b, 1.0::DOUBLE) END AS one FROM p, (VALUES (1), (2), (4), (8)) v(k)),
+    y AS (SELECT arm, seed, k, avg(one) AS pk, min(n) AS least FROM x GROUP BY arm, seed, k)
+    SELECT arm, k::INT AS k, round(avg(pk), 9) AS mean, round(min(pk), 9) AS low, round(max(pk), 9) AS high FROM y GROUP BY arm, k HAVING min(least) >= k""")
+def figure_pass_at_k(spark, d):
+    p = u.derive(answers(spark, d), UNIT)
+    return tree.pass_curve(p, (1, 2, 4, 8)).withColumns({c: r(c) for c in BOUNDS})
+
+
+RUN_LOG = f"SELECT arm, seed, sample_idx % 40 AS step, count(*) AS n, avg(correct::INT) AS reward_mean, avg(n_tokens) AS length FROM ({V_SAMPLES}) GROUP BY ALL"
+
+
+@query("figure_training", f"""WITH g AS ({RUN_LOG}), w AS (SELECT arm, step, unnest(['reward_mean', 'length']) AS field, unnest([sum(reward_mean * n) OVER t / sum(n) OVER t, sum(length * n) OVER t / sum(n) OVER t]) AS x FROM g WINDOW t AS (PARTITION BY arm, seed ORDER BY step ROWS BETWEEN 24 PRECEDING AND CURRENT ROW))
+    SELECT arm, step, field, round(avg(x), 7) AS mean, round(min(x), 7) AS low, round(max(x), 7) AS high FROM w GROUP BY ALL""")
+def figure_training(spark, d):
+    g = samples(spark, d).groupBy("arm", "seed", (F.col("sample_idx") % 40).alias("step")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("reward_mean"), F.avg("n_tokens").alias("length"))
+    return tree.training_curves(g, ["reward_mean", "length"]).withColumns({c: r(c, 7) for c in BOUNDS})
+
+
+@query("figure_lengths", f"WITH s AS ({V_SAMPLES}), c AS (SELECT arm, least(n_tokens // 256, 9)::INT AS bin, correct, count(*) AS n FROM s GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY arm), 9) AS share FROM c")
+def figure_lengths(spark, d):
+    return tree.length_shares(samples(spark, d), bins=10).withColumn("share", r("share"))
+
+
 # -- integrity checks with planted faults: the store's units are arms and seeds of the split
 
 

@@ -166,6 +166,15 @@ def test_everything_by_one_call(spark, tmp_path):
         assert abs(r["value"] - mine.groupby("seed").score.mean().mean()) < 1e-9 and r["n_problems"] == mine.problem_id.nunique() and (level.startswith("arm")) == (seed is None) and level.endswith("_tier") == (tier is not None)
     one = next(r for r in tables["contrasts"].collect() if (r["key"], r["metric"]) == ("one_vs_zero", "test"))
     assert len(one["delta_per_seed"].split()) == 3 and one["dirty_units"] == "0/3/test 1/3/test" and one["met"] is not None
+    problems = units.select("arm", "seed", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("problem_id")).withColumns({"n": F.lit(8), "c": F.col("problem_id") * 2})
+    log = units.select("arm", "seed", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("step")).withColumns({"n": F.lit(2), "reward_mean": F.col("step") / 30, "zero_std_share": F.lit(0.5), "length": F.lit(100.0), "cut_share": F.lit(0.0)}).distinct()
+    answers = units.select("arm", F.explode(F.array(F.lit(10), F.lit(300), F.lit(99_999))).alias("n_tokens")).withColumn("correct", F.col("n_tokens") < 400)
+    drawn = tree.figures(built, problems, log, answers, test="test", val=spark.createDataFrame([("1", 30, 0.5)], "arm string, step int, value double"))
+    assert set(drawn) == {"accuracy", "tiers", "pass_at_k", "reward", "zero_std", "budget", "training_length", "answer_length"} and all(f.count() for f in drawn.values())
+    assert {r["k"] for r in drawn["pass_at_k"].collect()} == {1, 2, 4, 8} and drawn["pass_at_k"].where("k = 8 and mean <> 1").count() == 0
+    assert drawn["reward"].where("field = 'val'").count() == 1 and abs(drawn["reward"].where("arm = '0' and step = 30 and field = 'reward_mean'").first()["mean"] - sum(range(6, 31)) / 25 / 30) < 1e-12
+    assert {(r["bin"], round(r["share"], 3)) for r in drawn["answer_length"].collect()} == {(0, 0.333), (1, 0.333), (16, 0.333)}
+    assert {r["arm"]: r["prompts"] for r in drawn["budget"].collect()} == {"0": 5.0, "1": 5.0}
     flat = tree.flat(built)
     assert flat.where("field = 'value'").count() == 14 and flat.groupBy("arm", "seed", "metric", "field").count().where("count > 1").count() == 0
     text = tree.sections(built, ["test", "ood", "unknown"], test="test")
