@@ -225,3 +225,61 @@ def figures(built: Mapping[str, DataFrame], problems: DataFrame, log: DataFrame,
         "training_length": training_curves(log, ["length", "cut_share"]),
         "answer_length": length_shares(answers),
     }
+
+
+# -- the packet and the acceptance of training runs
+
+
+def run_facts(runs: DataFrame, rewards: DataFrame, log: DataFrame, adapters: DataFrame, jobs: DataFrame, rate: float = 0.0, width: int = 25) -> DataFrame:
+    """A row for each training run (``runs``: arm, seed, status, config_hash, gpu_hours): records and mean reward of its reward log (arm, seed, reward,
+    truncated), its last trailing mean of the training log (arm, seed, step, n, reward_mean) and at which step, adapters saved (arm, seed, path),
+    hours and cost of its evaluation (``jobs``: name, exit_code, wall_s; jobs named ``eval_<arm>_s<seed>`` that ended well, the longest), and cost at
+    ``rate`` an hour. What a run lacks is null, counts are 0."""
+    by = ["arm", "seed"]
+    counted = rewards.groupBy(*by).agg(F.count("*").alias("records"), F.avg("reward").alias("reward_mean"), F.avg(F.col("truncated").cast("double")).alias("truncation_rate"))
+    smooth = trailing_mean(log, "step", "reward_mean", "n", width, by).groupBy(*by).agg(F.max("step").alias("last_step"), F.max_by("trailing", "step").alias("last_reward"))
+    saved = adapters.groupBy(*by).agg(F.count("*").alias("adapters"))
+    done = jobs.where("exit_code = 0").groupBy("job").agg((F.max("wall_s") / 3600).alias("eval_hours"))
+    out = runs.withColumn("job", F.concat(F.lit("eval_"), F.col("arm"), F.lit("_s"), F.col("seed").cast("string")))
+    for part in (counted, smooth, saved):
+        out = out.join(part, by, "left")
+    out = out.join(done, "job", "left").drop("job").fillna(0, ["records", "adapters"])
+    return out.withColumns({"train_cost": F.col("gpu_hours") * rate, "eval_cost": F.col("eval_hours") * rate})
+
+
+def acceptance(checks: DataFrame, facts: DataFrame) -> str:
+    """Whether training runs are accepted, their checks, and their figures with the total of hours and cost."""
+    rows = facts.orderBy("arm", "seed").collect()  # a row for each run
+    names = [c for c in facts.columns]
+    shown = [[MISSING if r[c] is None else f"{r[c]:.3f}" if isinstance(r[c], float) else str(r[c]) for c in names] for r in rows]
+    sums = {c: sum(r[c] or 0.0 for r in rows) for c in ("gpu_hours", "eval_hours", "train_cost", "eval_cost")}
+    total = ["total", *(f"{sums[c]:.3f}" if c in sums else "" for c in names[1:])]
+    return results.acceptance_report(checks) + "\n" + results._markdown("Runs", names, [*shown, total])
+
+
+def packet(built: Mapping[str, DataFrame], checks: DataFrame, facts: DataFrame, provenance: Mapping[str, str], metrics: Sequence[str], test: str = "test_greedy", sweep: DataFrame | None = None, steps: DataFrame | None = None, dynamics: DataFrame | None = None, notes: Sequence[str] = ()) -> str:
+    """Everything a reader judges by, as numbered sections from 0 to 12: provenance, checks, manifest, base and reference models, main table, contrasts,
+    tiers and step counts, budgets, sweep, training dynamics, doubts, the grading sheet, anomalies. If a check failed it says so at its head, and all
+    sections behind the checks are marked. ``sweep``: arm, setting, cell; ``steps``: arm, total_steps, mean; ``dynamics``: arm, field and a column a step."""
+    part = sections(built, metrics, test)
+    failed = not checks.where("severity = 'FAIL'").isEmpty()
+    listed = lambda df, order: results._markdown("", df.columns, [[MISSING if v is None else str(v) for v in r] for r in df.orderBy(*order).collect()]).split("\n", 2)[2]
+    none = "none\n"
+    doubt = results.doubts(built["contrasts"], test)
+    bodies = [
+        ("Provenance", results._markdown("", ["item", "value"], [[k, str(v)] for k, v in sorted(provenance.items())]).split("\n", 2)[2]),
+        ("Checks", listed(checks.select("check", "severity", "message"), ["severity", "check", "message"])),
+        ("Manifest", listed(facts, ["arm", "seed"])),
+        ("Base and reference models", part["Base and reference models"]),
+        ("Main table", part["All arms"]),
+        ("Contrasts", results.contrasts_table(built["contrasts"]).split("\n", 2)[2]),
+        ("Tiers and step counts", part[f"Tiers on {test}"] + ("\n" + listed(steps, ["arm", "total_steps"]) if steps is not None else "")),
+        ("Budgets", part["Budgets"]),
+        ("Sweep", listed(sweep, ["arm"]) if sweep is not None else none),
+        ("Training dynamics", listed(dynamics, ["arm", "field"]) if dynamics is not None else none),
+        ("How this could be wrong", listed(doubt, ["key", "doubt"])),
+        ("Grading sheet", results.grading_sheet(built["contrasts"], test) + "\n"),
+        ("Anomalies", "\n".join(f"- {n}" for n in notes) + "\n" if notes else none),
+    ]
+    marked = {f"{title}: DEPENDS ON A FAILED CHECK" if failed and k >= 2 else title: text for k, (title, text) in enumerate(bodies)}
+    return ("CHECKS FAILED\n\n" if failed else "") + results.packet(marked)

@@ -182,3 +182,19 @@ def test_everything_by_one_call(spark, tmp_path):
     assert text["All arms"].count("±") == 4 and text["Each arm's runs"].count("| mean |") == 2 and text["Base and reference models"].count("base") == 1 and "missing" in text["All arms"]
     assert text["Budgets"].count("| 5 |") == 7 and text["Cut answers by run"].count("%") == 14
     assert {r["arm"] for r in tree.cells(scores, n_seeds=3, resamples=20).where("level = 'arm'").collect()} == {"0", "1"}
+    # the packet and the acceptance of the runs
+    runs = spark.createDataFrame([("1", 1, "finished", "h1", 2.0), ("1", 2, "failed", "h2", None)], "arm string, seed long, status string, config_hash string, gpu_hours double")
+    rewards = spark.createDataFrame([("1", 1, 1.0, False), ("1", 1, 0.0, True)], "arm string, seed long, reward double, truncated boolean")
+    jobs = spark.createDataFrame([("eval_1_s1", 0, 3600.0), ("eval_1_s1", 1, 9000.0), ("eval_1_s2", 1, 60.0)], "job string, exit_code int, wall_s double")
+    facts = tree.run_facts(runs, rewards, log.where("arm = '1' and seed = 1"), spark.createDataFrame([("1", 1, "p")], "arm string, seed long, path string"), jobs, rate=2.5)
+    one, two = facts.orderBy("seed").collect()
+    assert (one["records"], one["reward_mean"], one["truncation_rate"], one["last_step"], one["adapters"], one["eval_hours"], one["train_cost"], one["eval_cost"]) == (2, 0.5, 0.5, 30, 1, 1.0, 5.0, 2.5)
+    assert abs(one["last_reward"] - sum(range(6, 31)) / 25 / 30) < 1e-12 and (two["records"], two["adapters"], two["eval_hours"], two["last_step"]) == (0, 0, None, None)
+    checks = spark.createDataFrame([("a", "note", "m")], "check string, severity string, message string")
+    text = tree.acceptance(checks, facts)
+    assert text.startswith("## Run accepted") and "| total |" in text and "7.500" not in text and "| 5.000 |" in text
+    whole = tree.packet(built, checks, facts, {"date": "today"}, ["test", "ood"], test="test", notes=["nothing"])
+    heads = [line for line in whole.splitlines() if line.startswith("# ")]
+    assert [h.split(".")[0] for h in heads] == [f"# {k}" for k in range(13)] and "FAILED" not in whole and whole.count("Verdict:") == 2
+    broken = tree.packet(built, checks.withColumn("severity", F.lit("FAIL")), facts, {}, ["test"], test="test")
+    assert broken.startswith("CHECKS FAILED") and broken.count("DEPENDS ON A FAILED CHECK") == 11
