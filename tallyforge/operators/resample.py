@@ -27,7 +27,8 @@ def problem_key(problem: Column) -> Column:
     return F.conv(F.substring(F.sha2(problem.cast("string").cast("binary"), 256), 1, 16), 16, -10).cast("long")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
     x = x ^ (x >> np.uint64(33))
@@ -37,8 +38,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """[key, resample] Poisson numbers."""
-    turn = _mixed(np.arange(resamples, dtype=np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    u = (_mixed(keys.view(np.uint64)[:, None] ^ turn[None, :]) >> np.uint64(11)) / float(1 << 53)
+    turn = mixed(np.arange(resamples, dtype=np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    u = (mixed(keys.view(np.uint64)[:, None] ^ turn[None, :]) >> np.uint64(11)) / float(1 << 53)
     return np.searchsorted(_CHANCES, u, "right").astype(float)
 
 

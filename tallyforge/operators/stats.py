@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .resample import mixed
+
+#: Resamples of a group that a task takes at a time, and numbers that it draws at a time.
+TRIALS, DRAWS = 256, 1 << 21
+
 
 def sample_std(x: str | Column) -> Column:
     """Sample standard deviation; 0 for one value, null for none."""
@@ -51,15 +56,26 @@ def bootstrap(scores: DataFrame, by: list[str], resamples: int = 10_000, seed: i
     """Mean and percentile interval of each group's scores by resampling problems.
 
     A resample draws by numbers hashed from (seed, resample, draw), so it is the same for any partitioning. Groups are gathered
-    as arrays (a score for each problem of a unit); resamples are spread over tasks."""
+    as arrays (a score for each problem of a unit), and go to tasks with TRIALS resamples each. For groups of any size, and for
+    very many, see ``resample``."""
     order = F.array_sort(F.collect_list(F.struct("problem_id", "score")))
     arrays = scores.groupBy(*by).agg(order.alias("s")).withColumn("s", F.col("s.score"))
-    trials = arrays.crossJoin(scores.sparkSession.range(resamples).withColumnRenamed("id", "trial"))
-    spot = lambda i: F.get("s", F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), i), F.size("s").cast("bigint")).cast("int"))
-    mean = F.aggregate(F.sequence(F.lit(1), F.size("s")), F.lit(0.0), lambda acc, i: acc + spot(i)) / F.size("s")
-    means = trials.select(*by, "s", mean.alias("m"))
-    full = F.aggregate("s", F.lit(0.0), lambda acc, v: acc + v) / F.size("s")
-    return means.groupBy(*by).agg(F.first(full).alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    trials = scores.sparkSession.range(resamples).groupBy(F.floor(F.col("id") / TRIALS).alias("block")).agg(F.min("id").alias("first_"), F.max("id").alias("last_")).drop("block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                s, first, last = np.asarray(row[-3], float), int(row[-2]), int(row[-1])
+                places, step = np.arange(len(s), dtype=np.uint64), max(1, DRAWS // max(1, len(s)))
+                for at in range(first, last + 1, step):
+                    turns = mixed(np.arange(at, min(at + step, last + 1), dtype=np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                    drawn = mixed(turns[:, None] ^ mixed(places + np.uint64(1))[None, :]) % np.uint64(len(s))
+                    means = s[drawn].mean(1)
+                    yield pd.DataFrame({c: [v] * len(means) for c, v in zip(by, row[: len(by)], strict=True)} | {"full": s.mean(), "m": means})
+
+    types = "".join(f"`{c}` {scores.schema[c].dataType.simpleString()}, " for c in by)
+    means = arrays.crossJoin(trials).mapInPandas(run, f"{types}full double, m double")
+    return means.groupBy(*by).agg(F.first("full").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def bootstrap_sql(scores: DataFrame, resamples: int, seed: int = 0, alpha: float = 0.05) -> DataFrame:
