@@ -128,7 +128,8 @@ class Profiles:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fold: int = 5, per_lang: int = TRAINING_DOCS) -> Profiles:
     """Profiles from rows with a language whose crc32(id) mod ``fold`` isn't 0. A language with over ``per_lang`` such rows is
-    learned from about ``per_lang`` of them, chosen by a hash of the id."""
+    learned from about ``per_lang`` of them, chosen by a hash of the id. A null id counts as text '' in the fold, rows of one id (or of
+    none) are chosen or left together, and null texts aren't learned from. No such rows, as in an empty table: no profiles."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
     rows = rows.where(remainder_of_id("k", fold) != 0)
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
