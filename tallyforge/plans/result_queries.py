@@ -139,14 +139,6 @@ def exploratory_contrasts(spark, d):
     return res.exploratory(common(spark, d), rates(spark, d), res.spec_table(spark, SPECS), "test", "ood")
 
 
-@query("ratio_interval")
-def ratio_interval(spark, d):
-    """Of differences to a scripted third arm that is never right."""
-    s = common(spark, d).drop("truncated", "tier")
-    zero = s.where("arm = '0'").withColumn("arm", F.lit("none")).withColumn("score", F.lit(0.0))
-    return res.ratios(s.unionByName(zero), "1", "0", "none")
-
-
 def interval_sql(scores: str, by: str) -> str:
     """Of a table ``scores`` (``by``, problem_id, score): n_problems, mean, low, high by weights of 10,000 resamples."""
     return f"""problems AS (SELECT DISTINCT problem_id FROM {scores}), drawn AS ({resample.weights_sql(10_000)}),
@@ -163,6 +155,24 @@ def weighted_bootstrap(spark, d):
     return resample.intervals(common(spark, d), ["arm", "seed", "metric"]).withColumns({c: r(c) for c in BOUNDS})
 
 
+RATIO = f"""WITH {SIDES}, sc AS (SELECT split AS metric, problem_id, avg(score) FILTER (arm = '1') AS top, avg(score) FILTER (arm = '0') AS bottom FROM q GROUP BY split, problem_id),
+    problems AS (SELECT DISTINCT problem_id FROM sc), drawn AS ({resample.weights_sql(10_000)}),
+    sums AS (SELECT metric, trial, sum(w * top) AS x, sum(w * bottom) AS y FROM sc JOIN drawn USING (problem_id) GROUP BY metric, trial),
+    ends AS (SELECT metric, round(quantile_cont(x / nullif(y, 0), 0.025), 9) AS low, round(quantile_cont(x / nullif(y, 0), 0.975), 9) AS high, round(avg((y <= 0)::INT), 9) AS share_below, avg((y <= 0)::INT) < 0.025 OR avg((y >= 0)::INT) < 0.025 AS bounded FROM sums GROUP BY metric),
+    means AS (SELECT metric, avg(top) AS top, avg(bottom) AS bottom, count(*) AS n_problems FROM sc GROUP BY metric),
+    seeds AS (SELECT metric, list(round(x / y, 9) ORDER BY seed) AS per_seed FROM (SELECT split AS metric, seed, avg(score) FILTER (arm = '1') AS x, avg(score) FILTER (arm = '0') AS y FROM q GROUP BY ALL) GROUP BY metric)
+    SELECT metric, round(top, 9) AS top, round(bottom, 9) AS bottom, n_problems, round(top / bottom, 9) AS ratio, low, high, share_below, bounded, per_seed FROM means JOIN ends USING (metric) JOIN seeds USING (metric)"""
+
+
+@query("ratio_interval", RATIO)
+def ratio_interval(spark, d):
+    """Of differences to a scripted third arm that is never right."""
+    s = common(spark, d).drop("truncated", "tier")
+    zero = s.where("arm = '0'").withColumn("arm", F.lit("none")).withColumn("score", F.lit(0.0))
+    out = res.ratios(s.unionByName(zero), "1", "0", "none")
+    return out.withColumns({c: r(c) for c in ("top", "bottom", "ratio", "low", "high", "share_below")} | {"per_seed": F.transform("per_seed", lambda x: F.round(x, 9))})
+
+
 @query("contrast_intervals", f"""WITH {SIDES}, sc AS (SELECT key, metric, problem_id, avg(a - b) AS score FROM j GROUP BY ALL), {interval_sql('sc', 'key, metric')} SELECT key, metric, n_problems, low, high FROM found JOIN ends USING (key, metric)""")
 def contrast_intervals(spark, d):
     """The paired intervals of contrasts, by all resamples."""
