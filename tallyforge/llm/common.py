@@ -48,14 +48,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def give_back() -> None:
-    """Freed memory of a Python worker goes back to the system: workers outlive their tasks."""
+def give_back(collect: bool = True) -> None:
+    """Freed memory of a Python worker goes back to the system: workers outlive their tasks. ``collect``: cycles are looked for first."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -76,6 +77,24 @@ def released(run):
     return wrapped
 
 
+def trimmed(run):
+    """``run``, a function of one group (or of two that belong together), after which the worker gives memory back."""
+
+    def one(group):
+        try:
+            return run(group)
+        finally:
+            give_back(collect=False)
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back(collect=False)
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 #: Bytes (or symbols) whose prefix sums are taken at a time.
 SPAN = 1 << 18
 #: Odd multipliers of two independent polynomial hashes.

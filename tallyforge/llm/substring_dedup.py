@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, NULL_ID, SECOND, SPAN, Words, _powers, mix64, shuffle_partitions
+from .common import FIRST, NULL_ID, SECOND, SPAN, Words, _powers, mix64, released, shuffle_partitions, trimmed
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -206,13 +206,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     has_windows = F.coalesce(F.octet_length("text"), F.lit(0)) >= LEAST_BYTES
     dealt = named.where(has_windows).withColumn("cell", F.pmod(F.xxhash64(*by), F.lit(cells))).repartition(partitions, "cell")
 
-    anchors = dealt.groupBy("cell").applyInArrow(_send_anchors, "cell long, h long")
-    recurring = anchors.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(_recurring, "cell long, h long")
-    windows = dealt.groupBy("cell").cogroup(recurring.groupBy("cell")).applyInArrow(_send_windows, "cell long, h long, g int, doc_key long, tag long")
+    anchors = dealt.groupBy("cell").applyInArrow(trimmed(_send_anchors), "cell long, h long")
+    recurring = anchors.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(released(_recurring), "cell long, h long")
+    windows = dealt.groupBy("cell").cogroup(recurring.groupBy("cell")).applyInArrow(trimmed(_send_windows), "cell long, h long, g int, doc_key long, tag long")
     ordered = windows.repartition(partitions, "h", "g").sortWithinPartitions("h", "g", "doc_key", "tag")
-    later = ordered.mapInArrow(_later, "cell long, h long")
+    later = ordered.mapInArrow(released(_later), "cell long, h long")
     schema = "".join(f"`{c}` {named.schema[c].dataType.simpleString()}, " for c in own)
-    finish = lambda left, right: _finish(left, right, own)
+    finish = trimmed(lambda left, right: _finish(left, right, own))
     long = dealt.groupBy("cell").cogroup(later.groupBy("cell")).applyInArrow(finish, f"{schema}n_words long, n_removed long, kept_text string")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1)
     short = named.where(~has_windows).select(*own, F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("kept_text"))
