@@ -1,10 +1,12 @@
 """Readers, writers and streams."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.plans import catalogue
 from tallyforge.sources import digests, files, ledger
 from tallyforge.streaming import attempts, history, logs
 
@@ -140,6 +142,25 @@ def test_step_sums_are_merged(spark, tmp_path):
     assert book.read().where("step = 0").count() < 4
 
 
+def test_a_leaf_may_hold_any_number_of_lines(spark, tmp_path):
+    """tree_digest's SQL has one leaf of all suppliers, more than FAN of them too."""
+    n = digests.FAN + 900
+    data = spark.range(n).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("Supplier "), (F.col("id") * 7 % n).cast("string")).alias("s_name"))
+    data.repartition(5).write.parquet(str(tmp_path / "supplier.parquet"))
+    want = "".join(hashlib.sha256(f"Supplier {k * 7 % n}".encode()).hexdigest() for k in range(n))
+    for _ in range(digests.LEVELS):
+        want = hashlib.sha256(want.encode()).hexdigest()
+    assert [r["digest"] for r in catalogue.QUERIES["tree_digest"](spark, str(tmp_path)).collect()] == [want]
+    (tmp_path / "ten.txt").write_text("\n".join("abcdefghij"))
+    of = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    level = [of([c]) for c in "abcdefghij"]
+    for _ in range(digests.LEVELS):
+        level = [of(level[k : k + 3]) for k in range(0, len(level), 3)]
+    assert [r["digest"] for r in digests.tree_digests(spark, [str(tmp_path / "ten.txt")], 3).collect()] == level
+    rows = digests.line_digests(spark, [str(tmp_path / "ten.txt")]).select("path", F.floor(F.col("n") / 3).alias("up"), "n", "d")
+    assert sorted(digests._in_turn(rows).collect()) == sorted(digests._collected(rows).collect())
+
+
 def test_tree_digests_depend_on_the_lines_alone(spark, tmp_path):
     lines = [f"line {k} {'x' * (k % 37)}" for k in range(9000)]
     files_ = {"a": lines, "same": lines, "swapped": [lines[1], lines[0], *lines[2:]], "shorter": lines[:-1], "changed": [*lines[:4500], "line", *lines[4501:]], "blank": [*lines[:10], "", *lines[10:]], "empty": [], "one": ["line 0 "]}
