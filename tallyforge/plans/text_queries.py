@@ -82,8 +82,9 @@ def extract_buckets(spark, d):
     SELECT rule, sum(CASE WHEN list_contains(forms, f) THEN n ELSE 0 END)::BIGINT AS extracted FROM l, (VALUES ('strict', [1, 5, 7]), ('boxed', [1, 3, 5, 7]), ('prose', [1, 3, 5, 7]), ('current', [1, 2, 3, 4, 5, 6, 7])) v(rule, forms) GROUP BY rule""")
 def rule_preview(spark, d):
     c = completions(spark, d)
-    each = [c.agg(F.lit(rule).alias("rule"), F.count(x.extract_by_rule(F.col("completion"), rule)).alias("extracted")) for rule in ("strict", "boxed", "prose", "current")]
-    return each[0].union(each[1]).union(each[2]).union(each[3])
+    rules = ("strict", "boxed", "prose", "current")
+    found = c.agg(*[F.count(x.extract_by_rule(F.col("completion"), rule)).alias(rule) for rule in rules])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("extracted")) for rule in rules])).alias("x")).select("x.*")
 
 
 @query("strict_integers", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE p_partkey * 1000 END AS parsed, p_partkey AS after_mark FROM part")
