@@ -81,9 +81,10 @@ def bucket_shares(texts: DataFrame, text: str = "completion", truncated: str = "
 def preview_rules(texts: DataFrame, rules: Sequence[str], pool: int, k: int = 8) -> DataFrame:
     """What tiering would be under other extraction rules: by rule the share extracted, the mean score, how many problems have 0..k right
     answers, each tier's count, and that brought up to a pool of ``pool`` problems. ``texts``: problem_id, sample_idx, completion, answer."""
-    marked = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), extract.extract_by_rule(F.col("completion"), r).alias("got")) for r in rules])).alias("x")
-    rows = texts.where(F.col("sample_idx") < k).select("problem_id", "answer", marked).select("problem_id", "x.rule", F.col("x.got").isNotNull().alias("extracted"), (F.col("x.got") == F.col("answer")).alias("right"))
-    by = rows.groupBy("rule", "problem_id").agg(F.count("*").alias("n"), F.count_if("extracted").alias("extracted"), F.count_if(F.coalesce("right", F.lit(False))).alias("right"))
+    read = texts.where(F.col("sample_idx") < k).select("problem_id", "answer", *[extract.extract_by_rule(F.col("completion"), r).alias(f"got{i}") for i, r in enumerate(rules)])
+    counts = [(F.count(f"got{i}").alias(f"extracted{i}"), F.count_if(F.col(f"got{i}") == F.col("answer")).alias(f"right{i}")) for i in range(len(rules))]
+    each = [F.struct(F.lit(r).alias("rule"), F.col(f"extracted{i}").alias("extracted"), F.col(f"right{i}").alias("right")) for i, r in enumerate(rules)]
+    by = read.groupBy("problem_id").agg(F.count("*").alias("n"), *[c for pair in counts for c in pair]).select("n", F.explode(F.array(*each)).alias("x")).select("n", "x.*")
     tiers = [F.count_if(tier_of(F.col("right")) == t).alias(t) for t in ("easy", "medium", "hard")]
     out = by.groupBy("rule").agg(F.count("*").alias("problems"), (F.sum("extracted") / F.sum("n")).alias("extraction_rate"), F.avg(F.col("right") / F.col("n")).alias("mean"), F.array(*[F.count_if(F.col("right") == i) for i in range(k + 1)]).alias("histogram"), *tiers)
     return out.select("*", *[F.round(F.col(t) * pool / F.col("problems")).cast("long").alias(f"{t}_of_pool") for t in ("easy", "medium", "hard")])

@@ -112,7 +112,8 @@ def preview_rules(spark, d):
     a = F.expr(KNOWN)
     s, n = a.cast("string"), F.col("l_linenumber")
     text = F.when(n.isin(1, 7), F.concat(F.lit("so\nAnswer: "), s)).when(n == 2, F.concat(F.lit("Hence the answer is "), s, F.lit(" I think"))).when(n == 3, F.concat(F.lit("\\boxed{"), s, F.lit("}"))).otherwise("nothing found")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"), (F.row_number().over(order) - 1).alias("sample_idx"), text.alias("completion"), (a + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0)).alias("answer"))
+    placed = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.row_number().over(order) - 1).alias("sample_idx"))
+    rows = placed.select(F.col("l_orderkey").alias("problem_id"), "sample_idx", text.alias("completion"), (a + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0)).alias("answer"))
     out = o.preview_rules(rows, ["strict", "boxed", "prose"], 6000)
     return out.select("rule", "problems", r("extraction_rate").alias("extraction_rate"), r("mean").alias("mean"), "easy", "medium", "hard", "medium_of_pool")
 

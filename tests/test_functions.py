@@ -93,3 +93,19 @@ def test_looser_rules(spark):
     df = spark.createDataFrame([c[:1] for c in cases], "t string").select("t", *[extract.extract_by_rule(F.col("t"), r).alias(r) for r in ("strict", "boxed", "prose")])
     got = [(r["t"], r["strict"], r["boxed"], r["prose"]) for r in df.collect()]
     assert got == cases
+
+
+def test_rule_previews_read_a_text_once_by_patterns(spark):
+    """One scan for all rules, no lambdas over the pieces of a text, one group a problem before rules are told apart."""
+    from tallyforge.plans import catalogue
+
+    c = spark.createDataFrame([("Answer: 5",)], "t string")
+    plans = {r: c.select(extract.extract_by_rule(F.col("t"), r))._jdf.queryExecution().optimizedPlan().toString() for r in extract.RULES}
+    assert not any("lambda" in p for p in plans.values())
+    d = "/root/testdata/sf0.001"
+    for name, exchanges in (("rule_preview", 1), ("preview_rules", 2)):
+        plan = catalogue.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange ") == exchanges, plan
+    texts = ["**Final Answer:**\n\n  12", "Answer: 3\nAnswer:\n-4.\nso", "Answer:\n\n**7**", "**Answer:\n8", "answer:\n1,234\n9", "Answer:\nx\n5", "Answer:\n5 answer"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(extract.extract_by_rule(F.col("t"), "current")).collect()]
+    assert got == [12, -4, 7, 8, 1234, 5, 5]
