@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import metrics as m
 from tallyforge.operators import reports as p
 from tallyforge.sources.adapters import V_SAMPLES, samples, table
-from tallyforge.sources.files import shared_folder
+from tallyforge.sources.files import names, shared_folder, stored
 from tallyforge.sources.ledger import Ledger
 from tallyforge.streaming import attempts, history, logs
 
@@ -133,13 +133,18 @@ HISTORY = f"""WITH s AS ({V_SAMPLES}), l AS (SELECT *, row_number() OVER (PARTIT
     SELECT problem_id, n, s FROM c WHERE s > 0 AND s < n"""
 
 
-def _in_batches(spark, rows, batch):
-    """``rows`` as a stream that gives one file, that of a value of ``batch``, at a time, in order."""
+def _in_batches(spark, rows, batch, file_rows=100_000):
+    """``rows`` as a stream that gives the files of one value of ``batch`` at a time, in order. ``rows`` are computed once; batches have equally many
+    files, about one for each ``file_rows`` of the smallest, so a larger table is written by more tasks."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = rows.withColumn("batch", batch)
+    rows = stored(rows.withColumn("batch", batch))
+    sizes = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().collect()}
+    each = max(1, min(sizes.get(k, 0) for k in range(3)) // file_rows)  # rows are dealt in turn, so none of these files is empty
     for k in range(3):
-        rows.where(F.col("batch") == k).drop("batch").repartition(1).write.mode("append").json(folder)
-    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).json(folder), folder
+        rows.where(F.col("batch") == k).drop("batch").repartition(each).write.mode("append").json(folder)
+        if (n := sum(f.startswith("part-") for f in names(spark, folder))) != each * (k + 1):
+            raise RuntimeError(f"{n} files, not {each} for each of {k + 1} batches")
+    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", each).json(folder), folder
 
 
 @query("stream_active_prompts", HISTORY)

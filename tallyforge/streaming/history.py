@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,18 +18,19 @@ class LastOutcomes(StatefulProcessor):
         self.length, self.ttl_ms = length, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "step bigint, place bigint, correct boolean", self.ttl_ms)
-        self.turns = handle.getValueState("turns", "turn bigint", self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {(s, p): c for s, p, c in self.kept.get()}
-        for batch in rows:
-            held.update(zip(zip(batch["step"].tolist(), batch["place"].tolist(), strict=True), batch["correct"].tolist(), strict=True))
-            held = dict(sorted(held.items())[-self.length :])
-        turn = (self.turns.get()[0] if self.turns.exists() else 0) + 1
-        self.kept.put([(s, p, bool(c)) for (s, p), c in held.items()])
-        self.turns.update((turn,))
-        yield pd.DataFrame({"problem_id": [key[0]], "n": [len(held)], "right": [sum(map(bool, held.values()))], "turn": [turn]})
+        self.kept = handle.getValueState("kept", "steps array<bigint>, places array<bigint>, right array<boolean>, turn bigint", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        steps, places, right, turn = self.kept.get() or ([], [], [], 0)  # one value: each call goes to the JVM and back
+        held = dict(zip(zip(steps, places, strict=True), right, strict=True))
+        for row in rows:
+            held[row["step"], row["place"]] = row["correct"]
+            if len(held) > 2 * self.length:
+                held = dict(sorted(held.items())[-self.length :])
+        held = dict(sorted(held.items())[-self.length :])
+        right = [bool(c) for c in held.values()]
+        self.kept.update(([s for s, _ in held], [p for _, p in held], right, turn + 1))
+        yield Row(problem_id=key[0], n=len(held), right=sum(right), turn=turn + 1)
 
     def close(self) -> None:
         pass
@@ -56,7 +57,7 @@ def pass_history(outcomes: DataFrame, length: int = 32, place: str | None = None
         "problem_id", F.col("step").cast("long").alias("step"), (F.coalesce(F.col(place).cast("long"), F.lit(0)) if place else F.lit(0).cast("long")).alias("place"), F.coalesce("correct", F.lit(False)).alias("correct")
     )
     rows = rows.mapInPandas(_last_of_batches(length), rows.schema)
-    return rows.groupBy("problem_id").transformWithStateInPandas(LastOutcomes(length, ttl_ms), f"problem_id {key}, n long, right long, turn long", "Update", "ProcessingTime" if ttl_ms else "None")
+    return rows.groupBy("problem_id").transformWithState(LastOutcomes(length, ttl_ms), f"problem_id {key}, n long, right long, turn long", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def newest(updates: DataFrame) -> DataFrame:

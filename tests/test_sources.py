@@ -88,6 +88,18 @@ def test_history_puts_late_steps_in_place_and_lasts_over_a_restart(spark, tmp_pa
     assert {r["problem_id"] for r in history.active(found).collect()} == {1, 2}
 
 
+def test_batches_of_a_stream_have_many_files(spark, tmp_path):
+    from tallyforge.plans import report_queries
+
+    rows = spark.range(0, 1000, numPartitions=3).where("id % 3 < 2 or id < 600")
+    stream, folder = report_queries._in_batches(spark, rows, F.col("id") % 3, file_rows=50)
+    assert len([n for n in files.names(spark, folder) if n.startswith("part-")]) == 3 * 4
+    book = ledger.Ledger(spark, str(tmp_path / "l"))
+    book.follow(stream, str(tmp_path / "c"), each=lambda b: b.groupBy((F.col("id") % 3).alias("batch")).agg(F.count("*").alias("n"), F.sum("id").alias("s")))
+    want = [(k, len(ids), sum(ids)) for k in range(3) for ids in [[i for i in range(1000) if i % 3 == k and (k < 2 or i < 600)]]]
+    assert sorted(map(tuple, book.read().collect())) == want and book.last() == 2
+
+
 def test_ledger_counts_each_batch_once(spark, tmp_path):
     book = ledger.Ledger(spark, str(tmp_path / "l"), most_folders=3)
     with pytest.raises(FileNotFoundError):
