@@ -108,3 +108,16 @@ def test_pool_configurations_and_regeneration(spark):
     assert generate.regenerated_diff(made, 12, config).count() == 0
     sides = {r["side"] for r in generate.regenerated_diff(made.where("answer <> 0 or true").limit(11), 12, config).collect()}
     assert sides == {"new"}
+
+
+def test_tiering_violations_keep_bits_and_no_sets(spark):
+    """Which answers are there is kept as bits, for more than 63 of them too, and problems are counted once."""
+    split = spark.createDataFrame([(p, 7, 70) for p in range(5)], "problem_id long, answer long, pass8 int")
+    rows = [(p, i, "Answer: 7", False, True) for p in range(4) for i in range(70)]
+    rows = [r for r in rows if r[:2] != (1, 69)] + [(1, 68, "Answer: 7", False, True)]  # 1: one twice, one missing
+    rows = [(2, None, *r[2:]) if r[:2] == (2, 5) else (3, 70, *r[2:]) if r[:2] == (3, 3) else r for r in rows]
+    samples = spark.createDataFrame(rows, "problem_id long, sample_idx long, completion string, truncated boolean, correct boolean")
+    found = runs.tiering_violations(samples, split, 70)
+    assert sorted(r["message"] for r in found.collect()) == [*(f"{p}: 70 answers, not those of 0 to 69" for p in (1, 2, 3)), "4: 0 answers, not those of 0 to 69"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and plan.count("bit_or") == 2
