@@ -8,6 +8,7 @@ from tallyforge.operators import results as res
 from tallyforge.operators import tree
 from tallyforge.operators import units as u
 from tallyforge.sources.adapters import V_SAMPLES, samples
+from tallyforge.sources.files import stored
 
 from .catalogue import query
 from .metrics_queries import r, tiered_samples
@@ -125,9 +126,9 @@ def number_texts(spark, d):
 
 @query("result_tree")
 def result_tree(spark, d):
-    """All results as one long table, with intervals of 10,000 resamples."""
-    s, rt, specs = common(spark, d).drop("truncated"), rates(spark, d), res.spec_table(spark, SPECS)
-    found = res.contrasts(s, rt, specs)
+    """All results as one long table, with intervals of 10,000 resamples. Scores, rates and contrasts are used several times and computed once."""
+    s, rt, specs = stored(common(spark, d).drop("truncated")), stored(rates(spark, d)), res.spec_table(spark, SPECS)
+    found = stored(res.contrasts(s, rt, specs))
     return res.long_results(
         {"run": res.run_cells(s, rt), "arm": res.arm_cells(s, rt, 3), "arm_tier": res.arm_cells(s, None, 3, by=["tier"]), "contrast": found, "criterion": res.criteria(found, "test", "ood")},
         {"run": ["arm", "seed", "metric"], "arm": ["arm", "metric"], "arm_tier": ["arm", "tier", "metric"], "contrast": ["key", "metric"], "criterion": ["key"]},

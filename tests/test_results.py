@@ -89,6 +89,11 @@ def test_result_tree(spark):
     assert len(e) == 2 and all(x["bound_low"] <= x["delta"] <= x["bound_high"] for x in e)
 
 
+def test_result_tree_computes_scores_once(spark):
+    plan = catalogue.QUERIES["result_tree"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "LogicalRDD" in plan and plan.count("MapInArrow") == 3  # intervals of runs, arms, arms by tier
+
+
 def test_a_cut_answer_that_is_right_is_an_error(spark):
     bad = spark.createDataFrame([("1", 1, 5, "test", 1.0, 0.5), ("0", 1, 5, "test", 0.5, 0.0)], "arm string, seed int, problem_id long, metric string, score double, truncated double")
     with pytest.raises(Exception, match="cut answer counts as right"):
